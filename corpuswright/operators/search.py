@@ -75,7 +75,7 @@ def hybrid_candidates(chunks: DataFrame, questions: DataFrame, vectors: DataFram
 def with_texts(candidates: DataFrame, chunks: DataFrame, questions: DataFrame, retrieve_k: int) -> DataFrame:
     """Candidates with chunk columns and question text."""
     asked = measure(questions)
-    texts = attach(candidates.drop("rank"), chunks, asked.rows * retrieve_k)
+    texts = attach(candidates, chunks, asked.rows * retrieve_k)
     side = questions.select("query_id", "question")
     return texts.join(F.broadcast(side) if asked.fits() else side, "query_id")
 
@@ -177,15 +177,25 @@ def retrieval_hit_rate(hits: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
-def format_hits(hits: DataFrame, block: Callable[[Column, Column], Column], separator: str,
-                fields: list[str], *, reverse: bool = False, out: str = "context") -> DataFrame:
-    """One context string per query from at most ``final_k`` ranked hits.
+def format_layouts(hits: DataFrame, layouts: dict[str, tuple[Callable[[Column, Column], Column], str, bool]],
+                   fields: list[str]) -> DataFrame:
+    """Context strings per query from at most ``final_k`` ranked hits.
 
-    ``block(position, hit)`` builds the text of one hit; ``hit`` holds ``rank``
-    and the named fields, ``position`` counts from 1 in output order. With
-    ``reverse`` the best hit comes last.
+    Each layout is ``(block, separator, reverse)``. ``block(position, hit)``
+    builds the text of one hit; ``hit`` holds ``rank`` and the named fields,
+    ``position`` counts from 1 in output order. With ``reverse`` the best hit
+    comes last. The hits of a query are collected once for all layouts.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("rank", *fields)))
-    listed = F.reverse(ordered) if reverse else ordered
-    texts = F.transform(listed, lambda hit, i: block(i + 1, hit))
-    return hits.groupBy("query_id").agg(F.array_join(texts, separator).alias(out))
+    listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("hits"))
+
+    def text(block: Callable[[Column, Column], Column], separator: str, reverse: bool) -> Column:
+        ordered = F.reverse("hits") if reverse else F.col("hits")
+        return F.array_join(F.transform(ordered, lambda hit, i: block(i + 1, hit)), separator)
+
+    return listed.select("query_id", *[text(*layout).alias(name) for name, layout in layouts.items()])
+
+
+def format_hits(hits: DataFrame, block: Callable[[Column, Column], Column], separator: str,
+                fields: list[str], *, reverse: bool = False, out: str = "context") -> DataFrame:
+    """One layout, see ``format_layouts``."""
+    return format_layouts(hits, {out: (block, separator, reverse)}, fields)
