@@ -45,7 +45,7 @@ def page_window(page: Column, cap: int = fixed.MEDIA_CAP) -> Column:
     """The page and its neighbours; without a page, the default list for the cap."""
     return F.when(
         page.isNotNull() & (page > 0),
-        F.array_sort(F.array_distinct(F.array(page, F.greatest(F.lit(1), page - 1), page + 1))),
+        F.sort_array(F.array_distinct(F.array(page, F.greatest(F.lit(1), page - 1), page + 1))),
     ).otherwise(default_pages(cap))
 
 
@@ -97,7 +97,7 @@ def source_footer(answer: Column, sources: Column, *, mark: str = fixed.SOURCES_
                   title: str = "📚 **[참고 문헌 및 근거 자료]**") -> Column:
     """Append the distinct sources, sorted, unless the answer already cites them."""
     lines = F.array_join(
-        F.transform(F.array_sort(F.array_distinct(sources)), lambda s: F.concat(F.lit("- "), s)), "\n"
+        F.transform(F.sort_array(F.array_distinct(sources)), lambda s: F.concat(F.lit("- "), s)), "\n"
     )
     return F.when(answer.contains(mark), answer).otherwise(
         F.concat(answer, F.lit(f"\n\n{title}\n"), lines)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-EDGE_SPACE = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
-ANY_SPACE = r"[\s\p{Z}]+"
+# Every character ``str.strip`` and ``str.split`` treat as white space.
+WHITE_SPACE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+               "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+ANY_SPACE = f"[{WHITE_SPACE}]+"
 TOKEN_BREAK = r"[^\p{L}0-9]+"
 
 
@@ -26,7 +28,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col(c), EDGE_SPACE, "")
+    return F.btrim(col(c), F.lit(WHITE_SPACE))
 
 
 def norm_ws(c: Column | str) -> Column:

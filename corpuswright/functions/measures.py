@@ -78,7 +78,7 @@ def question_answer_cosine(question: Column, answer: Column) -> Column:
         return F.transform(counts, lambda x: F.struct(x["token"].alias("token"), x["tf"].alias("tf")))
 
     def dot(q: Column, a: Column) -> Column:
-        merged = F.array_sort(F.concat(tagged(q), tagged(a)))
+        merged = F.sort_array(F.concat(tagged(q), tagged(a)))
         start = F.struct(F.lit("").alias("token"), F.lit(0).cast("bigint").alias("tf"),
                          F.lit(0.0).alias("total"))
 

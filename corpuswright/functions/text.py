@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from .. import fixed
-from .core import TOKEN_BREAK, col, let, nonblank, run_end, run_starts, strip
+from .core import TOKEN_BREAK, WHITE_SPACE, col, let, nonblank, run_end, run_starts, strip
 
 
 def tokens(c: Column | str) -> Column:
@@ -31,7 +31,7 @@ def token_counts(c: Column | str) -> Column:
             ),
         ))
 
-    return let(F.array_sort(tokens(c)), counted)
+    return let(F.sort_array(tokens(c)), counted)
 
 
 def numbered_tokens(c: Column | str) -> Column:
@@ -45,7 +45,7 @@ def numbered_tokens(c: Column | str) -> Column:
             ),
         )))
 
-    return let(F.array_sort(tokens(c)), numbered)
+    return let(F.sort_array(tokens(c)), numbered)
 
 
 def context_header(category: Column, entity: Column, title: Column, *,
@@ -154,7 +154,7 @@ def strip_instruction(c: Column | str, marker: str, preamble: str) -> Column:
 def ensure_suffix(c: Column | str, suffix: str) -> Column:
     """Append ``suffix`` unless the text already holds its stripped form."""
     text = col(c)
-    tail = F.regexp_replace(text, r"[\s\p{Z}]+$", "")
+    tail = F.rtrim(text, F.lit(WHITE_SPACE))
     return F.when(text.contains(suffix.strip()), text).otherwise(F.concat(tail, F.lit(suffix)))
 
 

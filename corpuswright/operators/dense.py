@@ -15,11 +15,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from ..functions.vectors import is_finite, prefix_l2
 from ..sizing import BROADCAST_BYTES, Measured, measure
+from .best import DIGITS, Best, id_array
 from .ordinals import top_k
 
-DIGITS = 6
 SCORES_PER_STEP = 4_000_000
 BLOCK_BYTES = 32 * 1024 * 1024
 
@@ -29,46 +31,17 @@ def finite_vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.filter(is_finite(F.col(vector)))
 
 
-class _Best:
-    """Running best ``k`` documents of a set of queries, ties by document id."""
-
-    def __init__(self, k: int):
-        self.k = k
-        self.rows = pd.DataFrame({"q": pd.Series(dtype="int64"), "id": [], "score": pd.Series(dtype="float64")})
-        self.floor: np.ndarray | None = None
-
-    def add(self, ids: np.ndarray, scores: np.ndarray, columns: np.ndarray, total: int) -> None:
-        """``scores`` has one row per document and one column per query in ``columns``."""
-        if self.floor is None:
-            self.floor = np.full(total, -np.inf)
-        n = len(ids)
-        limit = self.floor[columns]
-        if n > self.k:
-            kth = np.partition(scores, n - self.k, axis=0)[n - self.k]
-            limit = np.maximum(limit, kth)
-        doc, query = np.nonzero(scores >= limit)
-        if not len(doc):
-            return
-        fresh = pd.DataFrame({"q": columns[query], "id": ids[doc], "score": scores[doc, query]})
-        merged = pd.concat([self.rows, fresh], ignore_index=True) if len(self.rows) else fresh
-        merged = merged.sort_values(["q", "score", "id"], ascending=[True, False, True], kind="stable")
-        place = merged.groupby("q", sort=False).cumcount()
-        self.rows = merged[place < self.k]
-        full = self.rows[place[self.rows.index] == self.k - 1]
-        self.floor[full["q"].to_numpy()] = full["score"].to_numpy()
-
-
 def _matrix(vectors: pa.Array) -> np.ndarray:
     lists = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
     values = lists.flatten().to_numpy(zero_copy_only=False).astype("float64")
     return values.reshape(len(lists), -1)
 
 
-def _score_into(best: _Best, ids: np.ndarray, docs: np.ndarray, queries: np.ndarray, columns: np.ndarray) -> None:
+def _score_into(best: Best, ids: np.ndarray, docs: np.ndarray, queries: np.ndarray, columns: np.ndarray) -> None:
     step = max(1, SCORES_PER_STEP // max(1, len(columns)))
     for at in range(0, len(ids), step):
         scores = np.round(docs[at:at + step] @ queries[columns].T, DIGITS)
-        best.add(ids[at:at + step], scores, columns, len(queries))
+        best.offer_matrix(scores, columns, ids[at:at + step])
 
 
 def _scan(docs: DataFrame, queries: DataFrame, k: int, out: T.StructType, arrow_schema: pa.Schema) -> DataFrame:
@@ -84,11 +57,11 @@ def _scan(docs: DataFrame, queries: DataFrame, k: int, out: T.StructType, arrow_
         if not names:
             return
         by_cell = {c: np.flatnonzero(query_cells == c) for c in np.unique(query_cells)}
-        best = _Best(k)
+        best = Best(k, len(names))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            ids = np.array(batch.column("chunk_id").to_pylist())
+            ids = id_array(batch.column("chunk_id"))
             vectors = _matrix(batch.column("vector"))
             doc_cells = np.array(batch.column("cell").to_pylist(), dtype="int64")
             for cell in np.unique(doc_cells):
@@ -96,12 +69,7 @@ def _scan(docs: DataFrame, queries: DataFrame, k: int, out: T.StructType, arrow_
                 if columns is not None:
                     rows = np.flatnonzero(doc_cells == cell)
                     _score_into(best, ids[rows], vectors[rows], matrix, columns)
-        if len(best.rows):
-            yield pa.RecordBatch.from_arrays([
-                pa.array([names[q] for q in best.rows["q"]], type=arrow_schema.field(0).type),
-                pa.array(best.rows["id"].to_list(), type=arrow_schema.field(1).type),
-                pa.array(best.rows["score"].to_numpy(), type=pa.float64()),
-            ], schema=arrow_schema)
+        yield best.batch(names, arrow_schema)
 
     return docs.mapInArrow(scan, out)
 
@@ -116,7 +84,7 @@ def _blocks(df: DataFrame, size: Measured, key: str) -> tuple[DataFrame, DataFra
     return cut, blocks
 
 
-def _grid(docs: DataFrame, queries: DataFrame, k: int, out: T.StructType) -> DataFrame:
+def _grid(docs: DataFrame, queries: DataFrame, k: int, out: T.StructType, arrow_schema: pa.Schema) -> DataFrame:
     """Blocks of documents meet blocks of queries, cell by cell; every task holds one
     block of each, however large a cell is."""
     doc_cut, doc_blocks = _blocks(docs, measure(docs), "chunk_id")
@@ -126,20 +94,16 @@ def _grid(docs: DataFrame, queries: DataFrame, k: int, out: T.StructType) -> Dat
     query_side = (query_cut.withColumnRenamed("block", "qb").join(F.broadcast(doc_blocks), "cell")
                   .withColumn("db", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        if not len(left) or not len(right):
-            return empty
-        best = _Best(k)
-        names = right["query_id"].to_list()
-        _score_into(best, left["chunk_id"].to_numpy(), np.vstack(left["vector"]).astype("float64"),
-                    np.vstack(right["vector"]).astype("float64"), np.arange(len(names)))
-        return pd.DataFrame({"query_id": [names[q] for q in best.rows["q"]],
-                             "chunk_id": best.rows["id"].to_list(),
-                             "score": best.rows["score"].to_list()})
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = right.column("query_id").to_pylist()
+        best = Best(k, len(names))
+        if left.num_rows and names:
+            _score_into(best, id_array(left.column("chunk_id")), _matrix(left.column("vector")),
+                        _matrix(right.column("vector")), np.arange(len(names)))
+        return pa.Table.from_batches([best.batch(names, arrow_schema)])
 
     keys = ["cell", "db", "qb"]
-    return doc_side.groupBy(*keys).cogroup(query_side.groupBy(*keys)).applyInPandas(meet, out)
+    return doc_side.groupBy(*keys).cogroup(query_side.groupBy(*keys)).applyInArrow(meet, out)
 
 
 def vector_topk(docs: DataFrame, queries: DataFrame, k: int, *, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -156,12 +120,8 @@ def vector_topk(docs: DataFrame, queries: DataFrame, k: int, *, broadcast_bytes:
         T.StructField("chunk_id", docs.schema["chunk_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
-    if measure(queries).fits(broadcast_bytes):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        parts = _scan(docs, queries, k, out, to_arrow_schema(out))
-    else:
-        parts = _grid(docs, queries, k, out)
+    small = measure(queries).fits(broadcast_bytes)
+    parts = (_scan if small else _grid)(docs, queries, k, out, to_arrow_schema(out))
     return top_k(parts, k, ["query_id"], [F.col("score").desc(), F.col("chunk_id")])
 
 

@@ -66,7 +66,7 @@ def join_chunks(pieces: DataFrame, session: str, seq: str, text: str, *, end: Co
     blocked = rows.withColumn("__block", F.floor(F.col(seq) / F.lit(per_block)))
 
     def joined(at: str, value: str) -> Column:
-        parts = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("value"))))
+        parts = F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("value"))))
         return F.array_join(F.transform(parts, lambda p: p["value"]), separator)
 
     return (blocked.groupBy(session, "__block").agg(joined(seq, text).alias("__part"),

@@ -151,7 +151,7 @@ def refill_contexts(rows: DataFrame, row_id: str, question: str, contexts: str,
     needy = rows.filter(label_only_contexts(clean_list(F.col(contexts))))
     hits = search(needy.select(F.col(row_id).alias("query_id"), F.col(question).alias("question")))
     fresh = hits.groupBy("query_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda h: h["text"]).alias("__fresh"))
+        F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda h: h["text"]).alias("__fresh"))
     return (rows.join(fresh.withColumnRenamed("query_id", row_id), row_id, "left")
             .withColumn("refilled", F.col("__fresh").isNotNull())
             .withColumn(contexts, F.coalesce("__fresh", contexts)).drop("__fresh"))
@@ -186,7 +186,7 @@ def format_layouts(hits: DataFrame, layouts: dict[str, tuple[Callable[[Column, C
     ``position`` counts from 1 in output order. With ``reverse`` the best hit
     comes last. The hits of a query are collected once for all layouts.
     """
-    listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *fields))).alias("hits"))
+    listed = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", *fields))).alias("hits"))
 
     def text(block: Callable[[Column, Column], Column], separator: str, reverse: bool) -> Column:
         ordered = F.reverse("hits") if reverse else F.col("hits")

@@ -117,7 +117,7 @@ def agent_benchmark(t: Tables) -> DataFrame:
                                     drop_build=RP.RATIO, drop_search=RP.RATIO)
         rows = search.attach(hits, RP.docs(t), search.measure(asked.select("query_id")).rows * 3)
         found = rows.groupBy("query_id").agg(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda h: h["source"]), ",").alias("contexts"),
+            F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source"))), lambda h: h["source"]), ",").alias("contexts"),
             F.min_by("lang", "rank").alias("answer"))
         return (asked.join(found, "query_id", "left").na.fill("", ["contexts", "answer"])
                 .select("query_id", "question", "ground_truth", "answer", "contexts"))

@@ -8,6 +8,7 @@ from .. import fixed
 from ..functions import contexts as C
 from ..operators import dense, lexical, search
 from ..operators.chunking import notice_chunks
+from ..session import spread
 from ..sources.html import visible_text
 from . import roles
 from .registry import Tables, query
@@ -22,7 +23,7 @@ def sql_weights(corpus: str, name: str = "", drop: float = fixed.SPARSE_DROP_RAT
 {n}stats AS (SELECT count(*) AS docs, avg(len(ts)) AS mean FROM {n}toks),
 {n}tf AS (SELECT chunk_id, tok, count(*) AS tf FROM (SELECT chunk_id, unnest(ts) AS tok FROM {n}toks) GROUP BY 1, 2),
 {n}len AS (SELECT chunk_id, sum(tf) AS dl, count(*) AS terms FROM {n}tf GROUP BY 1),
-{n}wd AS (SELECT chunk_id, tok, terms, round(tf * 2.2::DOUBLE / (tf + (0.3::DOUBLE + 0.9::DOUBLE / mean * dl)), 6) AS weight
+{n}wd AS (SELECT chunk_id, tok, terms, tf * 2.2::DOUBLE / (tf + (0.3::DOUBLE + 0.9::DOUBLE / mean * dl)) AS weight
   FROM {n}tf JOIN {n}len USING (chunk_id), {n}stats),
 {n}wdp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY weight, tok) AS place FROM {n}wd) WHERE place > floor(terms * {drop}::DOUBLE)),
 {n}df AS (SELECT tok, count(*) AS df FROM {n}tf GROUP BY 1),
@@ -41,16 +42,17 @@ SQL_DOC_SPARSE = f"WITH {SQL_DOCS}, {SQL_ASKED}, {sql_weights('docs')}"
 
 
 def docs(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
+    return spread(t.documents, "doc_id").select(F.col("doc_id").alias("chunk_id"), "text", "lang", "source")
 
 
 def doc_vectors(t: Tables) -> DataFrame:
     """Vectors of the documents that have one."""
-    return roles.vectors(t).drop("cell").join(docs(t).select("chunk_id"), "chunk_id", "left_semi")
+    known = t.documents.select(F.col("doc_id").alias("chunk_id"))
+    return roles.vectors(t).drop("cell").join(known, "chunk_id", "left_semi")
 
 
 def chunks(t: Tables) -> DataFrame:
-    return notice_chunks(roles.notices(t), separator=roles.LINES)
+    return notice_chunks(spread(roles.notices(t), "doc_id"), separator=roles.LINES)
 
 
 RATIO = fixed.SPARSE_DROP_RATIO
@@ -67,22 +69,25 @@ def doc_hits(t: Tables, k: int) -> DataFrame:
                                 drop_build=RATIO, drop_search=RATIO)
 
 
-@query("lexical_weights", f"""WITH {SQL_DOCS}, {SQL_ASKED}, {sql_weights('docs')} SELECT chunk_id, tok AS token, weight FROM wd""")
+@query("lexical_weights", f"""WITH {SQL_DOCS}, {SQL_ASKED}, {sql_weights('docs')} SELECT chunk_id, tok AS token, round(weight, 6) AS weight FROM wd""")
 def lexical_weights(t: Tables) -> DataFrame:
     vector = lexical.lexical_weights("text", lexical.corpus_stats(docs(t), "text"))
-    return lexical.postings_of(docs(t), "chunk_id", vector)
+    return _rounded(lexical.postings_of(docs(t), "chunk_id", vector))
 
 
-@query("prune_small_weights", f"""WITH {SQL_DOCS}, {SQL_ASKED}, {sql_weights('docs')} SELECT chunk_id, tok AS token, weight FROM wdp""")
+def _rounded(postings: DataFrame) -> DataFrame:
+    return postings.withColumn("weight", F.round("weight", 6))
+
+
+@query("prune_small_weights", f"""WITH {SQL_DOCS}, {SQL_ASKED}, {sql_weights('docs')} SELECT chunk_id, tok AS token, round(weight, 6) AS weight FROM wdp""")
 def prune_small_weights(t: Tables) -> DataFrame:
     vector = lexical.lexical_weights("text", lexical.corpus_stats(docs(t), "text"))
-    return lexical.postings_of(docs(t), "chunk_id", lexical.prune_small_weights(vector, RATIO))
+    return _rounded(lexical.postings_of(docs(t), "chunk_id", lexical.prune_small_weights(vector, RATIO)))
 
 
 @query("query_weights", f"""{SQL_DOC_SPARSE} SELECT query_id, tok AS token, weight FROM wqp""")
 def query_weights(t: Tables) -> DataFrame:
-    stats = lexical.corpus_stats(docs(t), "text")
-    return lexical.query_weights(docs(t), "text", roles.questions(t), "query_id", "question", stats, RATIO)
+    return lexical.question_profile(docs(t), "text", roles.questions(t), "query_id", "question", RATIO)[1]
 
 
 @query("sparse_topk", f"{SQL_CHUNK_SPARSE} SELECT query_id, chunk_id, score, rank FROM sparse WHERE rank <= 10")
@@ -210,7 +215,7 @@ s AS (SELECT *, round(1 / (1 + exp(-round(coalesce(len(list_intersect(qs, ps)) /
 SELECT query_id, collection, chunk_id, source, rerank_score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def multi_collection_search(t: Tables) -> DataFrame:
-    web = t.pages.select(F.col("page_id").alias("chunk_id"), visible_text(F.col("html")).alias("text"),
+    web = spread(t.pages, "page_id").select(F.col("page_id").alias("chunk_id"), visible_text(F.col("html")).alias("text"),
                          F.col("url").alias("source"), F.lit(1).alias("page_num"))
     label = C.source_label(F.col("lang"), F.col("source"), fixed.MERGED_SOURCE_LAYOUT, empty_is_missing=False)
     board = docs(t).select("chunk_id", "text", label.alias("source"), F.lit(1).alias("page_num"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.core import strip
+from ..functions.core import WHITE_SPACE, strip
 from ..functions.text import tokens
 from .registry import Tables
 
@@ -20,11 +20,11 @@ LINES = r"\n+"  # the driver documents hold single newlines only
 # --- SQL spellings of shared expressions ---
 
 def sql_strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+    return f"trim({x}, '{WHITE_SPACE}')"
 
 
 def sql_norm(x: str) -> str:
-    return rf"trim(regexp_replace(coalesce({x}, ''), '[\s\p{{Z}}]+', ' ', 'g'))"
+    return f"trim(regexp_replace(coalesce({x}, ''), '[{WHITE_SPACE}]+', ' ', 'g'))"
 
 
 def sql_tokens(x: str) -> str:

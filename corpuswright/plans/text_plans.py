@@ -180,8 +180,8 @@ def turn_template(t: Tables) -> DataFrame:
         X.turn_template(F.col("question"), F.col("gold")).alias("full_turn"))
 
 
-@query("ensure_suffix", r"""SELECT conv_id, turn, CASE WHEN contains(text, 'en') THEN text
-  ELSE regexp_replace(text, '[\s\p{Z}]+$', '') || chr(10) || 'en' END AS prompt FROM conversations""")
+@query("ensure_suffix", f"""SELECT conv_id, turn, CASE WHEN contains(text, 'en') THEN text
+  ELSE rtrim(text, '{core.WHITE_SPACE}') || chr(10) || 'en' END AS prompt FROM conversations""")
 def ensure_suffix(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", X.ensure_suffix("text", "\nen").alias("prompt"))
 

@@ -64,3 +64,10 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *key: str) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores (a small file is one
+    split). Large inputs have more splits than that and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *key) if df.rdd.getNumPartitions() < cores else df

@@ -52,8 +52,8 @@ def scan_metrics_csv(spark: SparkSession, path: str, schema: T.StructType,
 
 def scan_markdown(spark: SparkSession, folder: str, *, file_glob: str = "*.md") -> DataFrame:
     """One row per file: ``source`` (file name), ``path`` and the whole ``text``."""
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", file_glob)
-            .option("recursiveFileLookup", True).text(folder)
+    return (spark.read.option("pathGlobFilter", file_glob)
+            .option("recursiveFileLookup", True).text(folder, wholetext=True)
             .select(F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_path").alias("path"),
                     F.col("value").alias("text")))
 
