@@ -202,9 +202,31 @@ def first_ground_truth(*fields: Column, sentinel: str = fixed.NO_ANSWER) -> Colu
 
 
 def fixed_decimals(c: Column, digits: int) -> Column:
-    """Fixed number of decimals, rounding the exact binary value (``format_string``
-    rounds its shortest decimal spelling instead)."""
-    return F.call_function("format_number", c, F.lit("0." + "0" * digits))
+    """Fixed number of decimals, rounding the exact binary value half to even.
+
+    ``format_string`` rounds the shortest decimal spelling instead, so 0.0525
+    (slightly below in binary) would go up. The scaled value is kept as a
+    product and its exact error term (Dekker's splitting).
+    """
+    scale, splitter = float(10 ** digits), 134217729.0
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * splitter - (x * splitter - x)
+        return high, x - high
+
+    def text(x: Column) -> Column:
+        product = x * F.lit(scale)
+        (xh, xl), (sh, sl) = halves(x), halves(F.lit(scale))
+        error = ((xh * sh - product) + xh * sl + xl * sh) + xl * sl
+        whole = F.floor(product)
+        rest = product - whole
+        up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+        number = whole + F.when(up, 1).otherwise(0)
+        unit = F.lit(10 ** digits)
+        return F.format_string(f"%d.%0{digits}d", F.floor(number / unit), number % unit)
+
+    value = c.cast("double")
+    return F.concat(F.when(value < 0, "-").otherwise(""), let(F.abs(value), text))
 
 
 def format_metric(c: Column, digits: int = 3) -> Column:

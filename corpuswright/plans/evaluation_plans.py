@@ -206,10 +206,10 @@ SELECT pipeline, CASE pipeline WHEN 'routed' THEN printf('%.1f', (SELECT a FROM
   printf('%.3f', s) AS answer_support, printf('%.2f', lat) AS latency FROM m""")
 def comparison_table(t: Tables) -> DataFrame:
     wide = _wide(t)
-    long = routing.three_way_long(wide, ["qa_id", "question", "ground_truth"])
+    long = routing.three_way_long(wide, ["qa_id", "question", "ground_truth", "route_pred"])
     scored = evaluation.with_measures(long, ("answer_support",))
     gold = F.when(F.floor(F.col("qa_id") / 1000) % 2 == 0, R.TEXT).otherwise(R.VISION)
-    accuracy = wide.agg(F.avg((gold == F.col("route_pred")).cast("double")).alias("route_accuracy")).withColumn("pipeline", F.lit("routed"))
+    accuracy = long.groupBy("pipeline").agg(F.avg((gold == F.col("route_pred")).cast("double")).alias("route_accuracy"))
     return reports.comparison_table(
         reports.metric_means(scored, ["answer_support"], ["pipeline"]),
         scored.groupBy("pipeline").agg(F.avg("latency").alias("latency")), accuracy, ["answer_support"], routed="routed")
