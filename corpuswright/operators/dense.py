@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vectors import is_finite, prefix_l2
-from ..sizing import BROADCAST_BYTES, Measured, measure
+from ..session import materialise
+from ..sizing import BROADCAST_BYTES, Measured, broadcast_if_small, measure
 from .best import DIGITS, Best, id_array
 from .ordinals import top_k
 
@@ -79,7 +80,8 @@ def _blocks(df: DataFrame, size: Measured, key: str) -> tuple[DataFrame, DataFra
     row_bytes = max(1, size.bytes // max(1, size.rows))
     per_block = max(1, BLOCK_BYTES // row_bytes)
     blocks = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(per_block)).cast("int").alias("blocks"))
-    cut = df.join(F.broadcast(blocks), "cell").withColumn(
+    blocks = broadcast_if_small(blocks)
+    cut = df.join(blocks, "cell").withColumn(
         "block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("blocks")
     return cut, blocks
 
@@ -89,9 +91,9 @@ def _grid(docs: DataFrame, queries: DataFrame, k: int, out: T.StructType, arrow_
     block of each, however large a cell is."""
     doc_cut, doc_blocks = _blocks(docs, measure(docs), "chunk_id")
     query_cut, query_blocks = _blocks(queries, measure(queries), "query_id")
-    doc_side = (doc_cut.withColumnRenamed("block", "db").join(F.broadcast(query_blocks), "cell")
+    doc_side = (doc_cut.withColumnRenamed("block", "db").join(query_blocks, "cell")
                 .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
-    query_side = (query_cut.withColumnRenamed("block", "qb").join(F.broadcast(doc_blocks), "cell")
+    query_side = (query_cut.withColumnRenamed("block", "qb").join(doc_blocks, "cell")
                   .withColumn("db", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -132,14 +134,19 @@ def dense_topk(docs: DataFrame, queries: DataFrame, k: int, **options) -> DataFr
 
 
 def train_cells(vectors: DataFrame, vector: str, cells: int = 128, seed: int = 42,
-                max_rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """K-means cells: the vectors with a ``cell`` column, and the centroids ``(cell, centroid)``."""
+                max_rounds: int = 10, train_share: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """K-means cells: the vectors with a ``cell`` column, and the centroids ``(cell, centroid)``.
+
+    ``train_share`` fits the centroids on a seeded share of the rows; every row
+    gets its cell either way.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     featured = vectors.withColumn("__features", array_to_vector(F.col(vector).cast("array<double>")))
     model = KMeans(k=cells, seed=seed, maxIter=max_rounds, featuresCol="__features",
-                   predictionCol="cell").fit(featured)
+                   predictionCol="cell").fit(
+        featured if train_share is None else featured.sample(train_share, seed))
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centroids = vectors.sparkSession.createDataFrame(rows, "cell bigint, centroid array<double>")
     placed = model.transform(featured).drop("__features").withColumn("cell", F.col("cell").cast("bigint"))
@@ -162,9 +169,14 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFr
 
 def ivf_topk(docs: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, nprobe: int = 10,
              **options) -> DataFrame:
-    """Top-k inside the ``nprobe`` nearest cells; ``docs(chunk_id, vector, cell)``."""
-    return vector_topk(finite_vectors(docs, "vector"),
-                       probe_cells(finite_vectors(queries, "vector"), centroids, nprobe), k, **options)
+    """Top-k inside the ``nprobe`` nearest cells; ``docs(chunk_id, vector, cell)``.
+
+    Documents of cells nobody probes are left out first; on a collection stored
+    by cell their folders are not even read.
+    """
+    probes = materialise(probe_cells(finite_vectors(queries, "vector"), centroids, nprobe), "probes")
+    wanted = broadcast_if_small(probes.select("cell").distinct())
+    return vector_topk(finite_vectors(docs, "vector").join(wanted, "cell", "left_semi"), probes, k, **options)
 
 
 def progressive_search(docs: DataFrame, queries: DataFrame, stages: list[tuple[int, int]],

@@ -66,8 +66,8 @@ def reverse_eval_pairs(vision: DataFrame, text: DataFrame, key: str) -> tuple[Da
 
 
 def add_latency(summary: DataFrame, latencies: DataFrame, pipeline: str = "pipeline") -> DataFrame:
-    """Mean latency per pipeline; the lookup has one row per pipeline."""
-    return summary.join(F.broadcast(latencies), pipeline, "left")
+    """Mean latency per pipeline; both sides have one row per pipeline."""
+    return summary.join(latencies, pipeline, "left")
 
 
 def expand_to_neighbours(hits: DataFrame, pages: DataFrame, *, max_hits: int | None = None) -> DataFrame:

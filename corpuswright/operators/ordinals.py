@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sizing import broadcast_if_small
+
 SAMPLES_PER_RANGE = 24
 _GROUP, _KEY, _RANGE = "__group", "__key", "__range"
 
@@ -86,14 +88,11 @@ def with_running_sums(df: DataFrame, sums: dict[str, Column], order: Sequence[Co
     return joined.withColumns(out).drop(_GROUP, _KEY, _RANGE, *filled, *names)
 
 
-def with_group_size(df: DataFrame, out: str, group: Sequence[str], *, few_groups: bool) -> DataFrame:
-    """Attach the group's row count by an aggregate and a join, not by a window.
-
-    ``few_groups`` says that the groups are a closed set (labels, splits), so
-    the count table may be broadcast.
-    """
+def with_group_size(df: DataFrame, out: str, group: Sequence[str]) -> DataFrame:
+    """Attach the group's row count by an aggregate and a join, not by a window: a hot
+    group then stays spread over its tasks."""
     counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias(out))
-    return df.join(F.broadcast(counts) if few_groups else counts, list(group))
+    return df.join(broadcast_if_small(counts), list(group))
 
 
 def top_k(df: DataFrame, k: int, group: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:

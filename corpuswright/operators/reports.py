@@ -191,8 +191,7 @@ def comparison_table(summary: DataFrame, latencies: DataFrame, accuracy: DataFra
     ``summary(pipeline, metrics..)``, ``latencies(pipeline, latency)``,
     ``accuracy(pipeline, route_accuracy)``: all with one row per pipeline.
     """
-    joined = (summary.join(F.broadcast(latencies), "pipeline", "left")
-              .join(F.broadcast(accuracy), "pipeline", "left"))
+    joined = summary.join(latencies, "pipeline", "left").join(accuracy, "pipeline", "left")
     shown = F.when(F.col("pipeline") == routed,
                    F.concat(fixed_decimals(F.coalesce(F.col("route_accuracy"), F.lit(0.0)) * 100, 1), F.lit("%"))).otherwise("-")
     return joined.select(

@@ -80,9 +80,9 @@ def _by_position(first: Column, second: Column) -> Column:
 
 def stratified_split(df: DataFrame, label: str, order: Sequence[Column], *, train: float = 0.8,
                      val: float = 0.1, out: str = "split") -> DataFrame:
-    """The same shares within every label. Labels are a closed set."""
+    """The same shares within every label."""
     numbered = with_ordinal(df, "__position", order, [F.col(label)])
-    sized = with_group_size(numbered, "__n", [label], few_groups=True)
+    sized = with_group_size(numbered, "__n", [label])
     n_train = F.floor(F.round(F.col("__n") * F.lit(train), 9))
     n_val = F.floor(F.round(F.col("__n") * F.lit(val), 9))
     return sized.withColumn(out, _by_position(n_train, n_train + n_val)).drop("__position", "__n")

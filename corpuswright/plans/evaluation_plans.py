@@ -73,11 +73,11 @@ def read_score(t: Tables) -> DataFrame:
     return t.events.select("event_id", routing.read_score(raw).alias("score"))
 
 
-def _answer_pass(t: Tables, asked: DataFrame, k: int) -> DataFrame:
+def _answer_pass(t: Tables, asked: DataFrame, k: int, profile: lexical.Profile) -> DataFrame:
     """Route, search ``k`` documents, answer with their texts, score the answer."""
     asked = asked.withColumn("route", R.route_by_cues(F.col("question"), CUES))
     hits = lexical.lexical_topk(RP.docs(t), "chunk_id", "text", asked, "query_id", "question", k,
-                                drop_build=RP.RATIO, drop_search=RP.RATIO)
+                                drop_build=RP.RATIO, profile=profile)
     texts = search.with_texts(hits, RP.docs(t), asked, k)
     answers = search.format_hits(texts, lambda i, h: h["text"], "\n", ["text"], out="answer")
     found = asked.join(answers, "query_id", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
@@ -91,7 +91,8 @@ def _answer_pass(t: Tables, asked: DataFrame, k: int) -> DataFrame:
 SELECT query_id, CASE WHEN s1 >= 0.8 THEN one ELSE three END AS answer, CASE WHEN s1 >= 0.8 THEN s1 ELSE s2 END AS score,
   CAST(CASE WHEN s1 >= 0.8 THEN 1 ELSE 2 END AS BIGINT) AS retry_count, CASE WHEN {SQL_CUE.format(x='question')} THEN 'VISION' ELSE 'TEXT' END AS route FROM s""")
 def bounded_retry(t: Tables) -> DataFrame:
-    done = routing.bounded_retry(roles.questions(t), lambda asked, n: _answer_pass(t, asked, 1 if n == 1 else 3))
+    profile = lexical.question_profile(RP.docs(t), "text", roles.questions(t), "query_id", "question", RP.RATIO)
+    done = routing.bounded_retry(roles.questions(t), lambda asked, n: _answer_pass(t, asked, 1 if n == 1 else 3, profile))
     return done.select("query_id", "answer", "score", "retry_count", "route")
 
 

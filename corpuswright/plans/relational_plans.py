@@ -153,7 +153,7 @@ def sort_media(t: Tables) -> DataFrame:
 @query("first_seen_order", f"""WITH {roles.SQL_HITS}, b AS (SELECT query_id, doc_id, min(rank) AS best_rank FROM ranked GROUP BY 1, 2)
 SELECT query_id, doc_id, best_rank, row_number() OVER (PARTITION BY query_id ORDER BY best_rank) AS doc_rank FROM b""")
 def first_seen_order(t: Tables) -> DataFrame:
-    return M.first_seen_order(ranked_hits(t))
+    return M.first_seen_order(ranked_hits(t).drop("page_num"))
 
 
 def ranked_hits(t: Tables) -> DataFrame:

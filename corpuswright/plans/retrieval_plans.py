@@ -8,7 +8,7 @@ from .. import fixed
 from ..functions import contexts as C
 from ..operators import dense, lexical, search
 from ..operators.chunking import notice_chunks
-from ..session import spread
+from ..session import materialise, spread
 from ..sources.html import visible_text
 from . import roles
 from .registry import Tables, query
@@ -52,7 +52,7 @@ def doc_vectors(t: Tables) -> DataFrame:
 
 
 def chunks(t: Tables) -> DataFrame:
-    return notice_chunks(spread(roles.notices(t), "doc_id"), separator=roles.LINES)
+    return notice_chunks(roles.notices(t), separator=roles.LINES)
 
 
 RATIO = fixed.SPARSE_DROP_RATIO
@@ -87,7 +87,7 @@ def prune_small_weights(t: Tables) -> DataFrame:
 
 @query("query_weights", f"""{SQL_DOC_SPARSE} SELECT query_id, tok AS token, weight FROM wqp""")
 def query_weights(t: Tables) -> DataFrame:
-    return lexical.question_profile(docs(t), "text", roles.questions(t), "query_id", "question", RATIO)[1]
+    return lexical.question_profile(docs(t), "text", roles.questions(t), "query_id", "question", RATIO).asked
 
 
 @query("sparse_topk", f"{SQL_CHUNK_SPARSE} SELECT query_id, chunk_id, score, rank FROM sparse WHERE rank <= 10")
@@ -215,8 +215,10 @@ s AS (SELECT *, round(1 / (1 + exp(-round(coalesce(len(list_intersect(qs, ps)) /
 SELECT query_id, collection, chunk_id, source, rerank_score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
 def multi_collection_search(t: Tables) -> DataFrame:
-    web = spread(t.pages, "page_id").select(F.col("page_id").alias("chunk_id"), visible_text(F.col("html")).alias("text"),
-                         F.col("url").alias("source"), F.lit(1).alias("page_num"))
+    # The page texts are extracted once into a table that every pass reads.
+    web = materialise(spread(t.pages, "page_id").select(
+        F.col("page_id").alias("chunk_id"), visible_text(F.col("html")).alias("text"),
+        F.col("url").alias("source"), F.lit(1).alias("page_num")), "web")
     label = C.source_label(F.col("lang"), F.col("source"), fixed.MERGED_SOURCE_LAYOUT, empty_is_missing=False)
     board = docs(t).select("chunk_id", "text", label.alias("source"), F.lit(1).alias("page_num"))
     retrieve_k, final_k = fixed.SEARCH_PRESETS["multi"]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import WHITE_SPACE, strip
 from ..functions.text import tokens
+from ..session import spread
 from .registry import Tables
 
 LINES = r"\n+"  # the driver documents hold single newlines only
@@ -39,7 +40,7 @@ def sql_blocks(x: str, separator: str = r"\n+") -> str:
 # --- notices ---
 
 def notices(t: Tables) -> DataFrame:
-    return t.documents.select(
+    return spread(t.documents, "doc_id").select(
         "doc_id", F.col("doc_id").cast("string").alias("notice_id"),
         F.split("text", "\n")[0].alias("title"),
         F.struct(F.lit(None).cast("string").alias("year"), F.col("lang").alias("category"),
@@ -80,7 +81,7 @@ def rule_files(t: Tables) -> DataFrame:
         F.lit('\n\n<page doc_id="1-'), F.col("doc_id").cast("string"),
         F.lit('" num="'), number(i), F.lit('"></page>\n\n'))
     body = F.array_join(F.transform(F.split("text", "\n"), page), "")
-    return t.documents.select(F.concat(F.lit("rule_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"),
+    return spread(t.documents, "doc_id").select(F.concat(F.lit("rule_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source"),
                               F.concat(body, F.lit("untagged tail")).alias("text"))
 
 
@@ -113,7 +114,7 @@ rule_chunks AS (
 def qa(t: Tables) -> DataFrame:
     """User turns with the assistant turn after them; the truth is the document numbered
     like the conversation, the contexts are the lines of the next document."""
-    said = t.conversations
+    said = spread(t.conversations, "conv_id")
     asked = said.filter(F.col("role") == "user").select(
         "conv_id", "turn", (F.col("turn") + 1).alias("__next"), F.col("text").alias("question"))
     replied = said.filter(F.col("role") == "assistant").select(

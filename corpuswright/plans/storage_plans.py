@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators import evaluation
-from ..session import new_table_path
+from ..session import new_table_path, spread
 from ..sources import html, readers, writers
 from ..streaming import jobs
 from . import roles
@@ -24,7 +24,7 @@ SQL_TITLE = sql_norm(SQL_UNESCAPED.format(x="regexp_extract(html, '(?is)<title[^
 @query("html_to_notice", rf"""SELECT CAST(page_id AS VARCHAR) AS notice_id, url, {SQL_TITLE} AS title, {SQL_VISIBLE} AS content,
   array_to_string(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>', 1), '|') AS links, '' AS images FROM pages""")
 def html_to_notice(t: Tables) -> DataFrame:
-    found = html.html_to_notice(t.pages, "page_id", "url", "html")
+    found = html.html_to_notice(spread(t.pages, "page_id"), "page_id", "url", "html")
     return found.select("notice_id", "url", "title", "content", F.array_join("links", "|").alias("links"),
                         F.array_join("images", "|").alias("images"))
 
@@ -41,7 +41,7 @@ def listing_rows(t: Tables) -> DataFrame:
 
 def _posts(t: Tables) -> DataFrame:
     """Stored pages as notices in the information-file schema."""
-    parsed = html.html_to_notice(t.pages, "page_id", "url", "html")
+    parsed = html.html_to_notice(spread(t.pages, "page_id"), "page_id", "url", "html")
     return parsed.select("notice_id", "title", F.lit("2024-01-01").alias("date"), "url", "content",
                          F.col("links").alias("attachments"), "images")
 

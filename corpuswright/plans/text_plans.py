@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed
 from ..functions import contexts as C, core, routes as R, text as X
 from ..operators import chunking, filters
+from ..session import spread
 from . import roles
 from .registry import Tables, query
 from .roles import sql_norm, sql_strip
@@ -404,7 +405,7 @@ def length_violations(t: Tables) -> DataFrame:
 
 @query("paragraph_chunks", f"""WITH {roles.SQL_CHUNKS} SELECT doc_id, chunk_no, chunk FROM chunks""")
 def paragraph_chunks(t: Tables) -> DataFrame:
-    return chunking.paragraph_chunks(t.documents.select("doc_id", "text"), "text", separator=roles.LINES)
+    return chunking.paragraph_chunks(spread(t.documents, "doc_id").select("doc_id", "text"), "text", separator=roles.LINES)
 
 
 @query("chunk_index", f"""WITH {roles.SQL_CHUNKS} SELECT chunk_id, parent_id, chunk_no FROM notice_chunks""")
@@ -448,4 +449,4 @@ SELECT chunks, characters, characters * 1.5::DOUBLE + chunks * 50 AS input_token
   round(((characters * 1.5::DOUBLE + chunks * 50) / 1e6 * 0.15 + characters * 1.5::DOUBLE / 1e6 * 0.6) * 1350, 6) AS cost_local FROM s""")
 def token_cost(t: Tables) -> DataFrame:
     return chunking.token_cost(chunking.paragraph_chunks(
-        t.documents.select("doc_id", "text"), "text", separator=roles.LINES), "chunk")
+        spread(t.documents, "doc_id").select("doc_id", "text"), "text", separator=roles.LINES), "chunk")

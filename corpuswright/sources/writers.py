@@ -27,22 +27,19 @@ def append_batch(df: DataFrame, path: str, batch: int) -> None:
 
 
 def build_collection(chunks: DataFrame, path: str, *, cell: str = "cluster_id",
-                     limits: dict[str, int] | None = None, files_per_cell: int = 8) -> None:
+                     limits: dict[str, int] | None = None) -> None:
     """Write a collection afresh, one folder per cell, so that a search reads only the
     probed cells.
 
     Rows over the store limits are left out (see ``length_violations`` for the
-    report). Rows of one cell are spread over ``files_per_cell`` tasks: a cell
-    may hold a large part of the corpus.
+    report). The rebalance hint lets Spark split a cell that holds a large part
+    of the corpus into several write tasks and join small ones.
     """
     limits = {c: n for c, n in (limits or fixed.NOTICE_LIMITS).items() if c in chunks.columns}
     kept = chunks
     for column, n in limits.items():
         kept = kept.filter(F.coalesce(F.octet_length(F.col(column)), F.lit(0)) <= n)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in chunks.columns if c in ("chunk_id", "doc_id", "pk")] or [F.lit(0)]),
-                  F.lit(files_per_cell))
-    (kept.withColumn("__salt", salt).repartition(F.col(cell), F.col("__salt")).drop("__salt")
-     .write.mode("overwrite").partitionBy(cell).parquet(path))
+    kept.hint("rebalance", cell).write.mode("overwrite").partitionBy(cell).parquet(path)
 
 
 def rejected_rows(chunks: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
