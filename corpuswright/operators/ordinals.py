@@ -8,10 +8,12 @@ group spreads over as many ranges as its share of the rows asks for.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.core import let
 from ..sizing import broadcast_if_small
 
 SAMPLES_PER_RANGE = 24
@@ -25,28 +27,57 @@ def _range_count(df: DataFrame) -> int:
 def _with_ranges(df: DataFrame, group: Sequence[Column], order: Sequence[Column]) -> DataFrame:
     """Add the group struct, the sort key and the number of the key range.
 
-    Range limits come from a hash-ordered sample of bounded size, so every
-    evaluation of the plan sees the same limits.
+    Range limits come from a hash-ordered sample of bounded size and enter the
+    plan as constants, so every evaluation sees the same limits. Any limits give
+    right results; good ones give even ranges.
     """
     keyed = df.withColumn(_GROUP, F.struct(*[g.alias(f"g{i}") for i, g in enumerate(group)])
                           if group else F.struct(F.lit(0).alias("g0")))
     keyed = keyed.withColumn(_KEY, F.struct(F.col(_GROUP).alias("g"),
                                             *[o.alias(f"o{i}") for i, o in enumerate(order)]))
-    ranges = _range_count(df)
-    sample = (keyed.select(_KEY).orderBy(F.xxhash64(_KEY), _KEY)
-              .limit(ranges * SAMPLES_PER_RANGE).orderBy(_KEY).collect())
-    limits = [sample[i * len(sample) // ranges][_KEY] for i in range(1, ranges)] if sample else []
+    wanted = _range_count(df)
+    key_type = keyed.schema[_KEY].dataType
+    sample = (keyed.select(_KEY).orderBy(F.xxhash64(_KEY), _KEY).limit(wanted * SAMPLES_PER_RANGE)
+              .orderBy(_KEY).select(*_leaves(F.col(_KEY), key_type)).collect())
+    ranges = min(wanted, len(sample) // SAMPLES_PER_RANGE)
+    limits = [sample[i * len(sample) // ranges] for i in range(1, ranges)]
     if not limits:
         return keyed.withColumn(_RANGE, F.lit(0))
-    key_type = keyed.schema[_KEY].dataType
-    edges = F.array(*[_literal(value, key_type) for value in limits])
-    return keyed.withColumn(_RANGE, F.size(F.filter(edges, lambda e: e <= F.col(_KEY))))
+    return keyed.withColumn(_RANGE, _range_of(F.col(_KEY), [_constant(iter(r), key_type) for r in limits]))
+
+
+def _leaves(value: Column, dtype: T.DataType) -> list[Column]:
+    if isinstance(dtype, T.StructType):
+        return [leaf for f in dtype.fields for leaf in _leaves(value[f.name], f.dataType)]
+    return [value.cast("string")]
+
+
+def _constant(texts: Iterator[str | None], dtype: T.DataType) -> str:
+    """SQL constant of the key type from its leaves as text."""
+    if isinstance(dtype, T.StructType):
+        fields = ", ".join(f"'{f.name}', {_constant(texts, f.dataType)}" for f in dtype.fields)
+        return f"named_struct({fields})"
+    text = next(texts)
+    quoted = "NULL" if text is None else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"CAST({quoted} AS {dtype.simpleString()})"
+
+
+def _range_of(key: Column, limits: list[str]) -> Column:
+    """How many of the sorted limits are at or below the key: first among the heads of
+    blocks of limits, then inside one block, so the work grows with the root of their number."""
+    block = math.isqrt(len(limits)) + 1
+    blocks = [limits[i:i + block] for i in range(0, len(limits), block)]
+    heads = F.expr("array(" + ", ".join(b[0] for b in blocks) + ")")
+    listed = F.expr("array(" + ", ".join("array(" + ", ".join(b) + ")" for b in blocks) + ")")
+
+    def place(k: Column) -> Column:
+        def at_or_below(edges: Column) -> Column:
+            return F.size(F.filter(edges, lambda e: e <= k))
 
+        return let(at_or_below(heads), lambda head: F.when(head == 0, 0).otherwise(
+            (head - 1) * block + at_or_below(F.get(listed, head - 1))))
 
-def _literal(value, dtype) -> Column:
-    if hasattr(dtype, "fields"):
-        return F.struct(*[_literal(value[f.name], f.dataType).alias(f.name) for f in dtype.fields])
-    return F.lit(value).cast(dtype)
+    return let(key, place)
 
 
 def _with_prefix(ranged: DataFrame, totals: dict[str, Column], grouped: bool) -> DataFrame:
