@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,6 +35,9 @@ def finite_vectors(df: DataFrame, vector: str) -> DataFrame:
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
     lists = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    widths = pc.unique(pc.list_value_length(lists))
+    if len(widths) > 1:
+        raise ValueError(f"vectors of one collection need one width, found {widths.to_pylist()}")
     values = lists.flatten().to_numpy(zero_copy_only=False).astype("float64")
     return values.reshape(len(lists), -1)
 

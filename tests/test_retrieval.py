@@ -78,6 +78,13 @@ def test_broken_vectors_are_dropped(spark):
     assert [r["chunk_id"] for r in dense.finite_vectors(df, "vector").collect()] == [1]
 
 
+def test_mixed_widths_are_refused(spark, space):
+    docs, asked = space
+    mixed = vectors(spark, "chunk_id", docs).unionByName(vectors(spark, "chunk_id", docs[:3, :4], start=900)).coalesce(1)
+    with pytest.raises(Exception, match="one width"):
+        dense.dense_topk(mixed, vectors(spark, "query_id", asked), 3).collect()
+
+
 def test_no_questions(spark, space):
     docs, _ = space
     none = spark.createDataFrame([], "query_id bigint, vector array<float>")
