@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, functions as F
@@ -52,14 +53,29 @@ SCOPES = frozenset("html body table td th ul ol dl button object article section
 _NAME = re.compile(r"[A-Za-z0-9]+")
 
 
+@lru_cache(maxsize=4096)
+def _own_role(tag: str, marks: str) -> str:
+    words = {w.lower() for w in _NAME.findall(marks)}
+    if tag in SILENT or words & AROUND and tag not in ("html", "body"):
+        return "out"
+    return "in" if tag in ARTICLE or "main" in words else ""
+
+
+def _marks(attrs) -> str:
+    """Class, id, role and property of an element; a hidden one counts as a dialog."""
+    found = dict(attrs)
+    marks = " ".join(str(found.get(k) or "") for k in ("class", "id", "role", "itemprop")).strip()
+    hidden = "hidden" in found or re.search(r"display\s*:\s*none", str(found.get("style") or ""))
+    return f"{marks} dialog".strip() if hidden else marks
+
+
 class Node:
     __slots__ = ("label", "role", "children", "parent", "path", "tag")
 
     def __init__(self, tag: str, marks: str, parent: "Node | None"):
         self.tag, self.parent = tag, parent
         self.label = f"{tag}.{marks}" if marks else tag
-        words = {w.lower() for w in _NAME.findall(marks)}
-        own = "out" if tag in SILENT or words & AROUND and tag not in ("html", "body") else "in" if tag in ARTICLE or "main" in words else ""
+        own = _own_role(tag, marks)
         if tag == "header" and not (parent and parent.role == "in"):
             own = "out"
         above = parent.role if parent else ""
@@ -74,14 +90,13 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#page", "", None)
 
+    def updatepos(self, i, j):
+        return j  # line numbers are not needed
+
     def handle_starttag(self, tag, attrs):
-        while self.at.parent and tag in CLOSED_BY.get(self._block().tag, ()):
-            self.at = self._block().parent
-        found = dict(attrs)
-        marks = " ".join(str(found.get(k) or "") for k in ("class", "id", "role", "itemprop")).strip()
-        if "hidden" in found or re.search(r"display\s*:\s*none", str(found.get("style") or "")):
-            marks += " dialog"
-        node = Node(tag, marks, self.at)
+        while self.at.parent and tag in CLOSED_BY.get((block := self._block()).tag, ()):
+            self.at = block.parent
+        node = Node(tag, _marks(attrs) if attrs else "", self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -228,13 +243,15 @@ def layout(html: str) -> tuple[str, dict[str, int], list[tuple[Node, str]]]:
     return json.dumps(_shallow(shape), ensure_ascii=False, separators=(",", ":")), hashes, found
 
 
-def main_text(found: list[tuple[Node, str]], template: frozenset[str]) -> str:
-    """Blocks that are slots with a content role, joined in page order."""
+def content(found: list[tuple[Node, str]]) -> list[tuple[str, str]]:
+    """Path and text of the blocks whose role allows content, those of an article or main part alone where there are any."""
     allowed = [(n, t) for n, t in found if n.role != "out"]
-    inside = [(n, t) for n, t in allowed if n.role == "in"]
-    allowed = inside or allowed
-    slots = [t for n, t in allowed if n.path not in template]
-    return "\n\n".join(slots or [t for _, t in allowed])
+    return [(n.path, t) for n, t in [x for x in allowed if x[0].role == "in"] or allowed]
+
+
+def main_text(slots: list[tuple[str, str]], template: frozenset[str]) -> str:
+    """Content blocks that are not template, in page order; all of them if none is left."""
+    return "\n\n".join([t for p, t in slots if p not in template] or [t for _, t in slots])
 
 
 def _host(url):
@@ -248,17 +265,24 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 def _layouts(batches):
     import pyarrow as pa
+    slot = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
     for batch in batches:
-        hosts, marks, shapes, paths, hashes = [], [], [], [], []
-        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            shape, found, _ = layout(html)
-            mark = int.from_bytes(hashlib.blake2b(shape.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-            hosts.append(host), marks.append(mark), shapes.append(shape)
-            paths.append(list(found)), hashes.append(list(found.values()))
+        marks, shapes, paths, hashes, slots = [], [], [], [], []
+        for html in batch.column(3).to_pylist():
+            shape, texts, found = layout(html)
+            marks.append(int.from_bytes(hashlib.blake2b(shape.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True))
+            shapes.append(shape)
+            paths.append(list(texts))
+            hashes.append(list(texts.values()))
+            slots.append([{"path": p, "text": t} for p, t in content(found)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(marks, pa.int64()), pa.array(shapes, pa.string()),
-             pa.array(paths, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))],
-            names=["host", "mark", "shape", "paths", "hashes"])
+            [*batch.columns[:3], pa.array(marks, pa.int64()), pa.array(shapes, pa.string()), pa.array(paths, pa.list_(pa.string())),
+             pa.array(hashes, pa.list_(pa.int64())), pa.array(slots, slot)], names=LAYOUT_COLUMNS)
+
+
+LAYOUT_COLUMNS = ["page_id", "url", "host", "mark", "shape", "paths", "hashes", "slots"]
+LAYOUT_SCHEMA = ("page_id bigint, url string, host string, mark bigint, shape string, paths array<string>, hashes array<bigint>,"
+                 " slots array<struct<path:string,text:string>>")
 
 
 def _alignments(batches):
@@ -272,21 +296,21 @@ def _alignments(batches):
              pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], names=["host", "mark", "path", "pivot"])
 
 
-def induce(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+def induce(read: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``host, mark, template``: for every layout of a host the paths of its template nodes.
 
     ``mark`` is the hash of the page's folded tree. Ties for the pivot go to the smaller mark.
     """
-    seen = stored(_pages(pages).select("host", "html").mapInArrow(
-        _layouts, "host string, mark bigint, shape string, paths array<string>, hashes array<bigint>")
-        .select("host", "mark", "shape", F.explode_outer(F.arrays_zip("paths", "hashes")).alias("n"))
-        .groupBy("host", "mark", "shape", F.col("n.paths").alias("path"))
-        .agg(F.count(F.lit(1)).alias("pages"), F.min("n.hashes").alias("low"), F.max("n.hashes").alias("high")), "layouts")
+    seen = stored(read.select("host", "mark", "shape", F.explode_outer(F.arrays_zip("paths", "hashes")).alias("n"))
+                  .groupBy("host", "mark", F.col("n.paths").alias("path"))
+                  .agg(F.count(F.lit(1)).alias("pages"), F.min("n.hashes").alias("low"), F.max("n.hashes").alias("high"),
+                       F.first("shape").alias("shape")), "layouts")
     shapes = seen.groupBy("host", "mark").agg(F.first("shape").alias("shape"), F.max("pages").alias("pages"))
     pivots = shapes.groupBy("host").agg(F.max_by("shape", F.struct("pages", -F.col("mark"))).alias("pivot_shape"))
     pairs = (shapes.join(pivots, "host").select("host", "mark", "shape", "pivot_shape")
              .mapInArrow(_alignments, "host string, mark bigint, path string, pivot string"))
-    placed = seen.where("path is not null").join(pairs, ["host", "mark", "path"])
+    placed = seen.where("path is not null").select("host", "mark", "path", "pages", "low", "high").join(
+        pairs, ["host", "mark", "path"])
     fixed = (placed.groupBy("host", "pivot")
              .agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"))
              .where((F.col("pages") >= least_pages) & (F.col("low") == F.col("high"))))
@@ -299,30 +323,13 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
 
     A null or empty page gives an empty text, a null or odd address the host "";
     repeated pages repeat. Markup cut off at the end, unclosed elements and text without any element are read as they
-    stand. An empty table gives no rows.
+    stand. An empty table gives no rows. Each page is parsed once: its content blocks and node hashes are written, the
+    wrappers come from the hashes, and template blocks are left out by a join.
     """
-    wrappers = stored(induce(pages, least_pages), "wrappers")
-    by_host = wrappers.groupBy("host").agg(F.collect_list(F.struct("mark", "template")).alias("wrappers"))
-    rows = _pages(pages).join(join_side(by_host), "host", "left").select("page_id", "url", "html", "wrappers")
-
-    def run(batches):
-        import pyarrow as pa
-        for batch in batches:
-            texts = []
-            for html, known in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                template: frozenset = frozenset()
-                if known:
-                    shape, _, found = layout(html)
-                    mark = int.from_bytes(hashlib.blake2b(shape.encode("utf-8", "replace"), digest_size=8).digest(),
-                                          "big", signed=True)
-                    template = frozenset(next((w["template"] for w in known if w["mark"] == mark), ()))
-                else:
-                    root = parse(html)
-                    skeleton(root)
-                    found = blocks(root)
-                texts.append(main_text(found, template))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
-                 pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    read = stored(_pages(pages).select("page_id", "url", "host", "html").mapInArrow(_layouts, LAYOUT_SCHEMA), "pages")
+    wrappers = stored(induce(read, least_pages), "wrappers")
+    rows = read.select("page_id", "url", "host", "mark", "slots").join(join_side(wrappers), ["host", "mark"], "left")
+    rows = rows.withColumn("kept", F.expr(
+        "transform(filter(slots, s -> not array_contains(coalesce(template, array()), s.path)), s -> s.text)"))
+    text = F.array_join(F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("slots.text")), "\n\n")
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
