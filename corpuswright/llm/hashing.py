@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from pyspark.sql import DataFrame
+
 from .common import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -71,3 +73,33 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[tuple[int, int, np.ndar
         s, d = s[order], d[order]
         keep = np.r_[True, (s[1:] != s[:-1]) | (d[1:] != d[:-1])] if len(s) else np.zeros(0, bool)
         yield a, b, s[keep], d[keep]
+
+
+BLOCK = 1 << 12  # counts to a row
+
+
+def block_rows(cells: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """A table of counts as numbered rows of ``BLOCK`` counts, without those that hold none."""
+    used = [i for i in range(len(cells) // BLOCK) if cells[i * BLOCK:(i + 1) * BLOCK].any()]
+    return used, [cells[i * BLOCK:(i + 1) * BLOCK].astype(np.int64).tobytes() for i in used]
+
+
+def _add_blocks(batches):
+    """Sums of the task's rows, one row a block."""
+    import pyarrow as pa
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total[block] = total.get(block, 0) + np.frombuffer(counts, np.int64)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["block", "counts"])
+
+
+def summed_cells(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of all count tables in the columns ``block, counts``; ``size`` is fixed, whatever the corpus."""
+    summed = (rows.where("block is not null").select("block", "counts").repartition("block")
+              .mapInArrow(_add_blocks, "block int, counts binary"))
+    cells = np.zeros(size, np.int64)
+    for row in summed.collect():
+        cells[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.int64)
+    return cells

@@ -22,12 +22,11 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .common import components, join_side, mix, stored, text_rows
-from .hashing import shingle_sets
+from .hashing import block_rows, shingle_sets, summed_cells
 
 SHINGLE = 3
 PERCENT = 90
 CELLS = 1 << 20
-BLOCK = 1 << 12
 LONG = 1000
 OFTEN = 64      # a token is frequent beyond this count above twice the mean cell
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -65,35 +64,14 @@ def _survey(shingle: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-        used = [i for i in range(CELLS // BLOCK) if cells[i * BLOCK:(i + 1) * BLOCK].any()]
+        used, counts = block_rows(cells)
         m = len(used)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(used, pa.int32()),
-             pa.array([cells[i * BLOCK:(i + 1) * BLOCK].tobytes() for i in used], pa.binary())], names=names)
+             pa.array(counts, pa.binary())], names=names)
     return run
 
 
-def _add_blocks(batches):
-    """Sums of the task's count blocks, one row a block."""
-    import pyarrow as pa
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total[block] = total.get(block, 0) + np.frombuffer(counts, np.int64)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["block", "counts"])
-
-
-def _frequencies(survey: DataFrame) -> np.ndarray:
-    """The table of ``CELLS`` counts, a fixed size whatever the corpus."""
-    summed = (survey.where("block is not null").select("block", "counts").repartition("block")
-              .mapInArrow(_add_blocks, "block int, counts binary"))
-    cells = np.zeros(CELLS, np.int64)
-    for row in summed.collect():
-        cells[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.int64)
-    return np.minimum(cells, np.iinfo(np.int32).max).astype(np.int32)
-
-
 def prefix_keys(tokens: np.ndarray, frequency: np.ndarray, often: int, percent: int = PERCENT):
     """Keys of one set: ``key, k, place`` with the place, from 0, of the key's last token in the order."""
     n = len(tokens)
@@ -192,7 +170,8 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tu
     texts = text_rows(docs)
     survey = stored(texts.mapInArrow(_survey(shingle), "doc_id bigint, n bigint, digest binary, block int, counts binary"), "survey")
     rows = survey.where("block is null").select("doc_id", "n", "digest")
-    cells = _frequencies(survey)
+    # A table of CELLS counts, a fixed size whatever the corpus.
+    cells = np.minimum(summed_cells(survey, CELLS), np.iinfo(np.int32).max).astype(np.int32)
     often = int(2 * cells.mean()) + OFTEN
     nodes = stored(rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"))
                    .withColumn("node", F.monotonically_increasing_id()), "nodes")
