@@ -19,7 +19,7 @@ the same links.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import components, join_side, mix, stored, text_rows
 from .hashing import block_rows, shingle_sets, summed_cells
@@ -178,12 +178,11 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tu
     chosen = texts.join(join_side(nodes.select("doc", "digest", "node").withColumnRenamed("digest", "_digest")),
                         F.col("doc_id").eqNullSafe(F.col("doc"))).select("text", "node", F.col("_digest").alias("digest"))
     frequency = docs.sparkSession.sparkContext.broadcast(cells)
-    keys = stored(chosen.mapInArrow(_keys(frequency, often, shingle, percent),
-                                    "key bigint, node bigint, n int, k int, place int"), "keys")
-    heads = (keys.groupBy("key", "k").agg(F.count(F.lit(1)).alias("members"),
-                                          F.min(F.struct("place", "node", "n")).alias("head")).where("members > 1")
-             .select("key", "k", "head"))
-    shared = stored(keys.join(heads, ["key", "k"]), "shared")
+    keys = chosen.mapInArrow(_keys(frequency, often, shingle, percent), "key bigint, node bigint, n int, k int, place int")
+    same = Window.partitionBy("key", "k")
+    shared = stored(keys.select("*", F.count(F.lit(1)).over(same).alias("members"),
+                                F.min(F.struct("place", "node", "n")).over(same).alias("head"))
+                    .where("members > 1").drop("members"), "shared")
     star = (shared.where("node <> head.node")
             .selectExpr("struct(node, n, k, place) as x", "struct(head.node as node, head.n as n, k, head.place as place) as y")
             .where(_possible(percent, "x", "y"))
