@@ -24,7 +24,8 @@ LENGTH = 400
 GRAM = 32
 WINDOW = 256
 STEP = 64          # bytes of the first rank; the anchor has at least LENGTH - WINDOW + 1 >= 2 * STEP bytes to its right
-GATHERED = 5000    # anchors of one rank that a task may hold together
+GATHERED = 5000    # different surroundings of one rank that a task may hold together
+SIDE = 8 << 20     # bytes of positions or runs that are broadcast to the texts
 PLACE = np.uint64(28)
 
 _POWERS: dict[str, np.ndarray] = {}
@@ -105,9 +106,9 @@ def _contexts(length: int):
                 data = text.encode("utf-8", "surrogatepass")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s["rank"] for s in spots], pa.int64()), pa.array([s["members"] for s in spots], pa.int64()),
-                     pa.array([body] * len(spots), pa.string()), pa.array([s["first"] for s in spots], pa.int64()),
+                     pa.array([s["copies"] for s in spots], pa.int64()), pa.array([body] * len(spots), pa.string()), pa.array([s["first"] for s in spots], pa.int64()),
                      pa.array([data[s["first"]:s["last"] + length] for s in spots], pa.binary())],
-                    names=["rank", "members", "body", "first", "bytes"])
+                    names=["rank", "members", "copies", "body", "first", "bytes"])
     return run
 
 
@@ -132,20 +133,20 @@ def _together(length: int):
     """Repeated starts among contexts sorted by rank; a rank cut by the batch's end waits for the next batch."""
     def repeated(rows):
         import pyarrow as pa
-        prints, number, place = _starts([r[3] for r in rows], length)
-        _, back, counts = np.unique(prints, return_inverse=True, return_counts=True)
-        again = counts[back] > 1
+        prints, number, place = _starts([r[4] for r in rows], length)
+        _, back = np.unique(prints, return_inverse=True)
+        again = np.bincount(back, np.array([r[1] for r in rows])[number])[back] > 1
         n, a, b = _runs(number[again], place[again])
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[i][1] for i in n.tolist()], pa.string()), pa.array([rows[i][2] + x for i, x in zip(n.tolist(), a.tolist())], pa.int64()),
-             pa.array([rows[i][2] + x for i, x in zip(n.tolist(), b.tolist())], pa.int64())], names=["body", "first", "last"])
+            [pa.array([rows[i][2] for i in n.tolist()], pa.string()), pa.array([rows[i][3] + x for i, x in zip(n.tolist(), a.tolist())], pa.int64()),
+             pa.array([rows[i][3] + x for i, x in zip(n.tolist(), b.tolist())], pa.int64())], names=["body", "first", "last"])
 
     def run(batches):
         waiting: list[tuple] = []
         for batch in batches:
             for at in range(0, batch.num_rows, GATHERED):
                 piece = batch.slice(at, GATHERED)
-                waiting += zip(*(piece.column(c).to_pylist() for c in (0, 2, 3, 4)))
+                waiting += zip(*(piece.column(c).to_pylist() for c in (0, 2, 3, 4, 5)))
                 cut = len(waiting)
                 while cut and waiting[cut - 1][0] == waiting[-1][0]:
                     cut -= 1
@@ -163,11 +164,12 @@ def _single(length: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece = batch.slice(at, 500)
-                bodies, firsts = piece.column(2).to_pylist(), piece.column(3).to_pylist()
-                prints, number, place = _starts(piece.column(4).to_pylist(), length)
+                bodies, firsts = piece.column(3).to_pylist(), piece.column(4).to_pylist()
+                prints, number, place = _starts(piece.column(5).to_pylist(), length)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(prints.view(np.int64)), pa.array([bodies[i] for i in number.tolist()], pa.string()),
-                     pa.array(np.array(firsts)[number] + place, pa.int64())], names=["print", "body", "first"])
+                     pa.array(np.array(firsts)[number] + place, pa.int64()), pa.array(piece.column(2).to_numpy()[number], pa.int64())],
+                    names=["print", "body", "first", "copies"])
     return run
 
 
@@ -219,16 +221,19 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     near = _shared_ranks(stored(found, "anchors"), "ranks-64").drop("members")
     pairs = near.select("body", "first", "last", F.xxhash64("rank", "following").alias("rank"))
     left = _shared_ranks(pairs, "ranks-128")
-    spots = (left.select("body", "first", "last", "rank", "members").distinct()
-             .groupBy("body").agg(F.collect_list(F.struct("rank", "members", "first", "last")).alias("spots")))
-    rows = texts.join(join_side(stored(spots, "spots")), "body").select("body", "text", "spots")
-    contexts = stored(rows.mapInArrow(_contexts(length), "rank bigint, members bigint, body string, first bigint, bytes binary"), "contexts")
+    spots = stored(left.groupBy("rank", "body", "first", "last").agg(F.count(F.lit(1)).alias("copies")), "spots")
+    spots = (spots.join(spots.groupBy("rank").agg(F.count(F.lit(1)).alias("members")), "rank").groupBy("body")
+             .agg(F.collect_list(F.struct("rank", "members", "copies", "first", "last")).alias("spots")))
+    # Rows of one text bring its surroundings once, with the number of rows.
+    rows = texts.join(join_side(stored(spots, "spots"), SIDE), "body").dropDuplicates(["body"]).select("body", "text", "spots")
+    contexts = stored(rows.mapInArrow(
+        _contexts(length), "rank bigint, members bigint, copies bigint, body string, first bigint, bytes binary"), "contexts")
     schema = "body string, first bigint, last bigint"
     together = (contexts.where(F.col("members") <= GATHERED).repartition("rank").sortWithinPartitions("rank")
                 .mapInArrow(_together(length), schema))
     crowded = contexts.where(F.col("members") > GATHERED)
-    single = stored(crowded.mapInArrow(_single(length), "print bigint, body string, first bigint"), "starts")
-    many = single.groupBy("print").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("print")
+    single = stored(crowded.mapInArrow(_single(length), "print bigint, body string, first bigint, copies bigint"), "starts")
+    many = single.groupBy("print").agg(F.sum("copies").alias("c")).where("c > 1").select("print")
     apart = single.join(many, "print").select("body", "first", F.col("first").alias("last"))
     return together.union(apart).distinct()
 
@@ -243,6 +248,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     runs = stored(repeated_starts(docs, length), "repeats").groupBy("body").agg(
         F.collect_list(F.struct("first", "last")).alias("runs"))
-    rows = (text_rows(docs).withColumn("body", F.md5("text")).join(join_side(stored(runs, "runs")), "body", "left")
+    rows = (text_rows(docs).withColumn("body", F.md5("text")).join(join_side(stored(runs, "runs"), SIDE), "body", "left")
             .select("doc_id", "text", "runs"))
     return rows.mapInArrow(_cut(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
