@@ -239,19 +239,30 @@ def layout(html: str) -> tuple[str, dict[str, int], list[tuple[Node, str]]]:
     for node, text in found:
         texts.setdefault(node.path, []).append(text)
     hashes = {p: int.from_bytes(hashlib.blake2b("\n".join(t).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-              for p, t in texts.items()}
+              for p, t in [*texts.items(), *((p + FIRST, t[:1]) for p, t in texts.items() if len(t) > 1),
+                           *((p + LAST, t[-1:]) for p, t in texts.items() if len(t) > 1)]}
     return json.dumps(_shallow(shape), ensure_ascii=False, separators=(",", ":")), hashes, found
 
 
-def content(found: list[tuple[Node, str]]) -> list[tuple[str, str]]:
-    """Path and text of the blocks whose role allows content, those of an article or main part alone where there are any."""
-    allowed = [(n, t) for n, t in found if n.role != "out"]
-    return [(n.path, t) for n, t in [x for x in allowed if x[0].role == "in"] or allowed]
+def content(found: list[tuple[Node, str]]) -> list[tuple[str, str, str]]:
+    """Path, place and text of the blocks whose role allows content, those of an article or main part alone where there are any.
+
+    The place is the path marked as the first or the last of its repeated node.
+    """
+    count: dict[str, int] = {}
+    for node, _ in found:
+        count[node.path] = count.get(node.path, 0) + 1
+    seen: dict[str, int] = {}
+    placed = []
+    for node, text in found:
+        k = seen[node.path] = seen.get(node.path, 0) + 1
+        place = FIRST if k == 1 else LAST if k == count[node.path] else ""
+        placed.append((node.role, node.path, node.path + place if count[node.path] > 1 else node.path, text))
+    allowed = [x for x in placed if x[0] != "out"]
+    return [x[1:] for x in [x for x in allowed if x[0] == "in"] or allowed]
 
 
-def main_text(slots: list[tuple[str, str]], template: frozenset[str]) -> str:
-    """Content blocks that are not template, in page order; all of them if none is left."""
-    return "\n\n".join([t for p, t in slots if p not in template] or [t for _, t in slots])
+FIRST, LAST = "#first", "#last"
 
 
 def _host(url):
@@ -265,7 +276,7 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 def _layouts(batches):
     import pyarrow as pa
-    slot = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
+    slot = pa.list_(pa.struct([("path", pa.string()), ("place", pa.string()), ("text", pa.string())]))
     for batch in batches:
         marks, shapes, paths, hashes, slots = [], [], [], [], []
         for html in batch.column(3).to_pylist():
@@ -274,7 +285,7 @@ def _layouts(batches):
             shapes.append(shape)
             paths.append(list(texts))
             hashes.append(list(texts.values()))
-            slots.append([{"path": p, "text": t} for p, t in content(found)])
+            slots.append([{"path": p, "place": q, "text": t} for p, q, t in content(found)])
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:3], pa.array(marks, pa.int64()), pa.array(shapes, pa.string()), pa.array(paths, pa.list_(pa.string())),
              pa.array(hashes, pa.list_(pa.int64())), pa.array(slots, slot)], names=LAYOUT_COLUMNS)
@@ -282,7 +293,7 @@ def _layouts(batches):
 
 LAYOUT_COLUMNS = ["page_id", "url", "host", "mark", "shape", "paths", "hashes", "slots"]
 LAYOUT_SCHEMA = ("page_id bigint, url string, host string, mark bigint, shape string, paths array<string>, hashes array<bigint>,"
-                 " slots array<struct<path:string,text:string>>")
+                 " slots array<struct<path:string,place:string,text:string>>")
 
 
 def _alignments(batches):
@@ -309,8 +320,11 @@ def induce(read: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     pivots = shapes.groupBy("host").agg(F.max_by("shape", F.struct("pages", -F.col("mark"))).alias("pivot_shape"))
     pairs = (shapes.join(pivots, "host").select("host", "mark", "shape", "pivot_shape")
              .mapInArrow(_alignments, "host string, mark bigint, path string, pivot string"))
-    placed = seen.where("path is not null").select("host", "mark", "path", "pages", "low", "high").join(
-        pairs, ["host", "mark", "path"])
+    mark = F.regexp_extract("path", "#[a-z]+$", 0)  # the first and the last of a repeated node go with it
+    placed = (seen.where("path is not null").select("host", "mark", "path", "pages", "low", "high", mark.alias("place"),
+                                                    F.regexp_replace("path", "#[a-z]+$", "").alias("node"))
+              .join(pairs.withColumnRenamed("path", "node"), ["host", "mark", "node"])
+              .withColumn("pivot", F.concat("pivot", "place")))
     fixed = (placed.groupBy("host", "pivot")
              .agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"))
              .where((F.col("pages") >= least_pages) & (F.col("low") == F.col("high"))))
@@ -330,6 +344,6 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     wrappers = stored(induce(read, least_pages), "wrappers")
     rows = read.select("page_id", "url", "host", "mark", "slots").join(join_side(wrappers), ["host", "mark"], "left")
     rows = rows.withColumn("kept", F.expr(
-        "transform(filter(slots, s -> not array_contains(coalesce(template, array()), s.path)), s -> s.text)"))
+        "transform(filter(slots, s -> not arrays_overlap(coalesce(template, array()), array(s.path, s.place))), s -> s.text)"))
     text = F.array_join(F.when(F.size("kept") > 0, F.col("kept")).otherwise(F.col("slots.text")), "\n\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
