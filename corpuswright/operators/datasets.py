@@ -12,24 +12,11 @@ from .filters import complete
 from .ordinals import with_ordinal
 from .sampling import renumber
 
-# Cue texts of our own; a parameter of ``balance_routes``. Entries that start with
-# a blank or a parenthesis are suffixes.
-CUES = (
-    "Going by the attached table, ", "Looking at the figure in the notice, ",
-    "According to the chart, ", "From the image in the document, ",
-    "As the timetable shows, ", "Using the diagram, ", "Judging from the screenshot, ",
-    "By the summary table below, ", "From the poster, ", "As drawn in the plan, ",
-    "Reading the map, ", "According to the scanned page, ", "In the list shown as a picture, ",
-    "From the graph, ", "As the photographed form says, ",
-    " (see the table)", " - based on the image", " (answer from the attached figure)",
-    " as shown in the chart", " going by the picture",
-)
-
 ROUTER_INSTRUCTION = "Decide whether the question needs TEXT or VISION retrieval. Answer with one word."
 
 
 def balance_routes(df: DataFrame, *, question: str, route: str, order: Sequence[Column], pick: Column,
-                   cues: Sequence[str] = CUES) -> DataFrame:
+                   cues: Sequence[str]) -> DataFrame:
     """Bring VISION to half of all rows: the first TEXT rows in ``order`` are converted,
     every VISION row gets a visual cue. No row is converted when VISION already has
     half; rows of other routes count in the total and are dropped."""

@@ -175,12 +175,13 @@ def ivf_topk(docs: DataFrame, queries: DataFrame, centroids: DataFrame, k: int,
              **options) -> DataFrame:
     """Top-k inside the ``nprobe`` nearest cells; ``docs(chunk_id, vector, cell)``.
 
-    Documents of cells nobody probes are left out first; on a collection stored
-    by cell their folders are not even read.
+    Documents of cells nobody probes are left out by a literal filter, so on a
+    collection stored by cell their folders are not read. The cells are read to
+    the driver: at most as many as there are centroids, which were broadcast before.
     """
     probes = materialise(probe_cells(finite_vectors(queries, "vector"), centroids, nprobe), "probes")
-    wanted = broadcast_if_small(probes.select("cell").distinct())
-    return vector_topk(finite_vectors(docs, "vector").join(wanted, "cell", "left_semi"), probes, k, **options)
+    wanted = sorted(r["cell"] for r in probes.select("cell").distinct().collect() if r["cell"] is not None)
+    return vector_topk(finite_vectors(docs.filter(F.col("cell").isin(wanted)), "vector"), probes, k, **options)
 
 
 def progressive_search(docs: DataFrame, queries: DataFrame, stages: list[tuple[int, int]],

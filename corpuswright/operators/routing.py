@@ -96,7 +96,8 @@ def three_way_long(wide: DataFrame, keep: Sequence[str],
 def agent_benchmark(parts: Sequence[DataFrame], per_part: int | None, order: str,
                     run: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Questions of all parts (optionally the first ``per_part`` of each), alternate key
-    names resolved, through the agent ``run``; keeps question, truth, answer, contexts."""
+    names resolved, through the agent ``run``; keeps question, truth, answer, contexts.
+    Blank questions are not asked."""
     from .sampling import concat_datasets, head_sample
 
     def resolved(part: DataFrame) -> DataFrame:
@@ -107,7 +108,7 @@ def agent_benchmark(parts: Sequence[DataFrame], per_part: int | None, order: str
         chosen = part if per_part is None else head_sample(part, per_part, [order])
         return chosen.select(F.col(order).alias("query_id"),
                              either("question", "query").alias("question"),
-                             either("ground_truth", "answer").alias("ground_truth"))
+                             either("ground_truth", "answer").alias("ground_truth")).filter(F.trim("question") != "")
 
     return run(concat_datasets([resolved(p) for p in parts], "part"))
 

@@ -229,5 +229,6 @@ def router_experiment(t: Tables) -> DataFrame:
 
     rows = roles.labelled_questions(t).select("doc_id", "question", F.col("gold").alias("route"))
     kept = rows.filter(verified(F.col("question"), [F.col("route")]))
-    balanced = datasets.balance_routes(kept, question="question", route="route", order=[F.col("doc_id")], pick=F.col("doc_id"))
+    balanced = datasets.balance_routes(kept, question="question", route="route", order=[F.col("doc_id")], pick=F.col("doc_id"),
+                                       cues=("By the table, ", " (see the figure)"))
     return reports.label_counts(stratified_split(balanced, "route", [F.col("doc_id")]), "split", "route")

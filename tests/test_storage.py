@@ -90,6 +90,20 @@ def test_collection_is_rebuilt_and_pruned_by_cell(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(cluster_id" in plan
 
 
+def test_search_by_cell_reads_probed_folders_only(spark, tmp_path):
+    from corpuswright.operators import dense
+    path = str(tmp_path / "cells")
+    docs = spark.createDataFrame([(str(i), [1.0, float(i % 3)], i % 3) for i in range(30)], "chunk_id string, vector array<float>, cell long")
+    docs.write.partitionBy("cell").parquet(path)
+    stored = spark.read.schema("chunk_id string, vector array<float>, cell long").parquet(path)
+    centroids = spark.createDataFrame([(c, [1.0, float(c)]) for c in range(3)], "cell long, centroid array<float>")
+    asked = spark.createDataFrame([("q", [0.0, 1.0])], "query_id string, vector array<float>")
+    hits = dense.ivf_topk(stored, asked, centroids, 3, nprobe=1)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(cell" in plan and "(cell" in plan
+    assert {int(r["chunk_id"]) % 3 for r in hits.collect()} == {2}
+
+
 def notice_file(folder, *ids):
     folder.mkdir(exist_ok=True)
     lines = [json.dumps({"notice_id": i, "title": "t", "metadata": {"category": "c"}, "refined_content": f"body {i}"}) for i in ids]
