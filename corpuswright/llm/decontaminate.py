@@ -1,9 +1,9 @@
 """Benchmark decontamination by SimHash and a multi-index over Hamming blocks (DataFrame functions only).
 
 1. Windows of an item's size are laid where a document shares a word shingle
-   with the benchmark. Only such windows can be similar at all; moving a window
-   onto the diagonal of its first or last shared shingle never lowers its
-   similarity, so the diagonals are tried. Equal windows are kept once.
+   with the benchmark. Only such windows can be similar at all. The diagonals of
+   shared shingles are tried; with several gaps in a passage a window between two
+   diagonals could be more similar than either. Equal windows are kept once.
 2. Window and item fingerprints have ``BITS`` bits; every shingle votes with its
    weight, the number of times it occurs.
 3. Fingerprints are cut into ``radius + 1`` blocks. Two that differ in at most
