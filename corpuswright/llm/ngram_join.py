@@ -160,6 +160,21 @@ def _possible(percent: int, x: str, y: str) -> str:
             f"least({x}.n - {x}.place, {y}.n - {y}.place) - 1) >= {percent} * ({x}.n + {y}.n)")
 
 
+def _shared(keys: DataFrame, percent: int) -> DataFrame:
+    """Rows of keys with company of a like size, with ``step`` and the ``head`` of it.
+
+    Along a key's members by size, a step begins where the next size is too large for the one before: no set
+    links across, so steps are groups of their own, and rows alone in one go.
+    """
+    sizes = Window.partitionBy("key", "k").orderBy("n", "node")
+    far = f"{percent} * n > 100 * before"
+    stepped = (keys.withColumn("before", F.lag("n").over(sizes)).withColumn("after", F.lead("n").over(sizes))
+               .where(f"100 * before >= {percent} * n or {percent} * after <= 100 * n")
+               .withColumn("step", F.sum(F.expr(f"if(before is null or {far}, 1, 0)")).over(sizes)))
+    return stepped.drop("before", "after").withColumn(
+        "head", F.min(F.struct("place", "node", "n")).over(Window.partitionBy("key", "k", "step")))
+
+
 def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """``(rows, edges)``: each row's ``doc_id, n, digest, node``, and node pairs that connect the linked nodes.
 
@@ -179,22 +194,21 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tu
                         F.col("doc_id").eqNullSafe(F.col("doc"))).select("text", "node", F.col("_digest").alias("digest"))
     frequency = docs.sparkSession.sparkContext.broadcast(cells)
     keys = chosen.mapInArrow(_keys(frequency, often, shingle, percent), "key bigint, node bigint, n int, k int, place int")
-    same = Window.partitionBy("key", "k")
-    shared = stored(keys.select("*", F.count(F.lit(1)).over(same).alias("members"),
-                                F.min(F.struct("place", "node", "n")).over(same).alias("head"))
-                    .where("members > 1").drop("members"), "shared")
+    shared = stored(_shared(keys, percent), "shared")
     star = (shared.where("node <> head.node")
             .selectExpr("struct(node, n, k, place) as x", "struct(head.node as node, head.n as n, k, head.place as place) as y")
             .where(_possible(percent, "x", "y"))
             .selectExpr("least(x.node, y.node) as a", "greatest(x.node, y.node) as b").distinct())
     first = _verified(stored(star, "pairs"), chosen, shingle, percent)
     labels = components(first)
-    placed = shared.join(labels, "node", "left").select(
-        "key", "k", F.struct("node", "n", "k", "place").alias("x"), F.coalesce("component", "node").alias("c"))
-    mixed = placed.groupBy("key", "k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key", "k")
-    open_keys = stored(placed.join(mixed, ["key", "k"]), "open")
-    other = open_keys.select("key", "k", F.col("x").alias("y"), F.col("c").alias("d"))
-    rest = (open_keys.join(other, ["key", "k"]).where("x.node < y.node and c <> d and " + _possible(percent, "x", "y"))
+    same = ["key", "k", "step"]
+    placed = shared.join(join_side(labels), "node", "left").select(
+        *same, F.struct("node", "n", "k", "place").alias("x"), F.coalesce("component", "node").alias("c"))
+    group = Window.partitionBy(*same)
+    open_keys = stored(placed.withColumn("low", F.min("c").over(group)).withColumn("high", F.max("c").over(group))
+                       .where("low <> high").drop("low", "high"), "open")
+    other = open_keys.select(*same, F.col("x").alias("y"), F.col("c").alias("d"))
+    rest = (open_keys.join(other, same).where("x.node < y.node and c <> d and " + _possible(percent, "x", "y"))
             .selectExpr("x.node as a", "y.node as b").distinct().join(star, ["a", "b"], "left_anti"))
     second = _verified(stored(rest, "pairs"), chosen, shingle, percent)
     edges = first.union(second)
