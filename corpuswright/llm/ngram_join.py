@@ -123,7 +123,21 @@ def _keys(frequency, often: int, shingle: int, percent: int):
     return run
 
 
-def _sets(shingle: int):
+def mark_of(tokens: np.ndarray) -> bytes:
+    """Counts of a set's tokens in a power of two of buckets, about four to a bucket; 255 stands for any more."""
+    buckets = 1 << max(0, (len(tokens) // 4).bit_length())
+    return np.minimum(np.bincount((tokens & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(x: bytes, y: bytes) -> int:
+    """No less than the number of tokens two sets with these marks share."""
+    x, y = (np.frombuffer(m, np.uint8).astype(np.int64) for m in (x, y))
+    x[x == 255] = y[y == 255] = 1 << 40
+    least = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, least).sum(axis=0), y.reshape(-1, least).sum(axis=0)).sum())
+
+
+def _sets(shingle: int, of=np.ndarray.tobytes):
     def run(batches):
         import pyarrow as pa
         for batch in batches:
@@ -134,23 +148,24 @@ def _sets(shingle: int):
                 mine = [i for i in range(b - a) if digests[i] == wanted[a + i]]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).slice(a, b - a).take(pa.array(mine, pa.int64())),
-                     pa.array([s[edges[i]:edges[i + 1]].tobytes() for i in mine], pa.binary())], names=["node", "tokens"])
+                     pa.array(np.diff(edges)[mine], pa.int64()),
+                     pa.array([of(s[edges[i]:edges[i + 1]]) for i in mine], pa.binary())], names=["node", "size", "tokens"])
     return run
 
 
-def _verify(percent: int):
+def _shared_tokens(x: bytes, y: bytes) -> int:
+    return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+
+
+def _verify(percent: int, shared=_shared_tokens):
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            a, b, n, m, x, y = (batch.column(i).to_pylist() for i in range(6))
+            both = [shared(*xy) for xy in zip(x, y)]
+            good = [i for i, c in enumerate(both) if 100 * c >= percent * (n[i] + m[i] - c)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, g in zip(a, good) if g], pa.int64()), pa.array([i for i, g in zip(b, good) if g], pa.int64())],
-                names=["a", "b"])
+                [pa.array([a[i] for i in good], pa.int64()), pa.array([b[i] for i in good], pa.int64())], names=["a", "b"])
     return run
 
 
@@ -216,13 +231,17 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tu
 
 
 def _verified(pairs: DataFrame, chosen: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets link."""
+    """The pairs whose whole sets link; sets travel only for pairs whose marks, a 32nd of their size, allow a link."""
+    likely = _compared(pairs, chosen, _sets(shingle, mark_of), _verify(percent, most_shared), "likely")
+    return _compared(likely, chosen, _sets(shingle), _verify(percent), "edges")
+
+
+def _compared(pairs: DataFrame, chosen: DataFrame, sets, verify, name: str) -> DataFrame:
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = chosen.join(join_side(stored(needed, "needed")), "node", "left_semi").select("text", "node", "digest")
-    sets = stored(texts.mapInArrow(_sets(shingle), "node bigint, tokens binary"), "sets").dropDuplicates(["node"])
-    full = (pairs.join(sets.toDF("a", "left_tokens"), "a").join(sets.toDF("b", "right_tokens"), "b")
-            .select("a", "b", "left_tokens", "right_tokens"))
-    return stored(full.mapInArrow(_verify(percent), "a bigint, b bigint"), "edges")
+    sets = stored(texts.mapInArrow(sets, "node bigint, size bigint, tokens binary"), "sets").dropDuplicates(["node"])
+    full = (pairs.join(sets.toDF("a", "n", "x"), "a").join(sets.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y"))
+    return stored(full.mapInArrow(verify, "a bigint, b bigint"), name)
 
 
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

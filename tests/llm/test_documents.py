@@ -252,3 +252,13 @@ def test_field_finds_held_out_formats():
         found = set(pii.find_spans(text, weights)[1])
         hit, told, true = hit + len(found & set(spans)), told + len(found), true + len(spans)
     assert hit / true > 0.85 and hit / told > 0.85
+
+
+def test_marks_bound_what_sets_share():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        pool = np.unique(rng.integers(0, 1 << 63, 300).astype(np.uint64))
+        x, y = (rng.choice(pool, rng.integers(1, 250), replace=False) for _ in range(2))
+        assert ngram_join.most_shared(ngram_join.mark_of(x), ngram_join.mark_of(y)) >= len(np.intersect1d(x, y))
+    many = np.arange(1, 5000, dtype=np.uint64) << np.uint64(40)  # all in one bucket: beyond what a count holds
+    assert ngram_join.most_shared(ngram_join.mark_of(many), ngram_join.mark_of(many)) >= len(many)
