@@ -24,6 +24,7 @@ from .common import join_side, stored, text_rows
 
 LENGTH = 1024
 ROWS = 128
+LINES = 20_000  # units encoded as one text
 END = 2  # fixed value: the id that ends a document
 
 
@@ -103,26 +104,43 @@ class Reader:
 
 
 def _library(tok, kind: str):
-    """Ids of many units by the tokenizers library: one text, units parted by a special token no unit holds."""
-    marks = [(t.content, i) for i, t in tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
+    """Ids of many units by the tokenizers library, as few texts: the units without white space a line each, the rest one a text.
+
+    A line break before a blank or a visible character is a pre-token, and no id of
+    other text is its id, so the ids part where the units do.
+    """
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, kind) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    mark = ids_of(["\n"])[0]
 
     def encode(many: list[str]) -> list[bytes]:
-        if not many:
-            return []
-        if not marks:
-            return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(many, add_special_tokens=False)]
-        text, mark = marks[0]
-        ids = np.array(tok.encode_batch_fast([text.join(many)], add_special_tokens=False)[0].ids, kind)
-        ends = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
-        starts = [0, *(e + 1 for e in ends[:-1])]
-        if len(ends) != len(many):
-            raise ValueError("a unit holds a special token")
-        size, flat = ids.itemsize, ids.tobytes()
-        return [flat[a * size:b * size] for a, b in zip(starts, ends)]
+        plain = [i for i, unit in enumerate(many) if len(mark) == 1 and _visible(unit)]
+        out: list[bytes] = [b""] * len(many)
+        for start in range(0, len(plain), LINES):
+            part = plain[start:start + LINES]
+            ids = ids_of(["\n".join([many[i] for i in part])])[0]
+            ends = [*np.flatnonzero(ids == mark).tolist(), len(ids)]
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary joins line breaks to other text")
+            size, flat, at = ids.itemsize, ids.tobytes(), 0
+            for i, end in zip(part, ends):
+                out[i] = flat[at * size:end * size]
+                at = end + 1
+        rest = [i for i in range(len(many)) if many[i] and not out[i]]
+        for i, ids in zip(rest, ids_of([many[i] for i in rest])):
+            out[i] = ids.tobytes()
+        return out
 
     return encode
 
 
+def _visible(unit: str) -> bool:
+    """One word, a blank before it or not, and no other white space."""
+    word = unit.removeprefix(" ")
+    return bool(word) and word.split() == [word]
+
+
 def write_ids(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
     """Writes all texts and returns the index: ``part, file, doc_id, start, place, n_tokens``.
 

@@ -206,7 +206,7 @@ class Units:
 
     def _learn(self, missing: set[str], known: dict[str, bytes], lead: str) -> None:
         marked = {u: u[:-1] for u in missing if u and u[-1] in MARKS and u[:-1].isalpha()}
-        new = list(((missing - marked.keys()) | set(marked.values())) - known.keys())
+        new = [u for u in (missing - marked.keys()) | set(marked.values()) if u not in known]
         known.update(zip(new, self.encode([lead + u for u in new])))
         known.update((u, known[word] + self.marks[u[-1]]) for u, word in marked.items())
 
@@ -228,11 +228,11 @@ class Units:
             for first, rest in parts:
                 heads.add(first)
                 spaced.update(rest)
-        missing = spaced - self.spaced.keys()
+        missing = {u for u in spaced if u not in self.spaced}  # the cache is larger by far: never walk it
         self.again.update(spaced - missing)
         self._learn(missing, self.spaced, " ")
         fixed = self.special | {"": b"", "\n": self.marks["\n"]}
-        self._learn(heads - fixed.keys() - self.heads.keys(), self.heads, "")
+        self._learn({u for u in heads if u not in fixed and u not in self.heads}, self.heads, "")
         self.heads.update(fixed)
         head, get = self.heads, self.spaced.__getitem__
         return [b"".join([head[first] + b"".join(map(get, rest)) for first, rest in parts]) for parts in split]
