@@ -9,7 +9,7 @@ Anchors are ranked by their next 64 bytes; then pairs of ranks at that offset ra
 128 bytes; positions whose rank is unique leave after each round. The anchors left
 bring the bytes around them, in which all starts are ranked at the full length, past the
 threshold. A rank is a 64-bit fingerprint that Spark groups by, so equal strings have equal ranks on every
-executor. Anchors of a rank that very many share are not gathered: their starts are grouped one by one.
+executor. Anchors of a rank that very many share are not gathered: pieces of them are, and what a piece holds once is looked for in the others.
 """
 
 from __future__ import annotations
@@ -158,18 +158,32 @@ def _together(length: int):
     return run
 
 
-def _single(length: int):
+def _pieces(length: int):
+    """Starts of a rank too crowded to gather, a piece at a time.
+
+    What repeats within a piece is a run at once (no print) and leaves its print once; a
+    start alone in its piece leaves its print and place, to be looked for in the other pieces.
+    """
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                piece = batch.slice(at, 500)
-                bodies, firsts = piece.column(3).to_pylist(), piece.column(4).to_pylist()
+            for at in range(0, batch.num_rows, GATHERED):
+                piece = batch.slice(at, GATHERED)
+                bodies, firsts = piece.column(3).to_pylist(), piece.column(4).to_numpy()
                 prints, number, place = _starts(piece.column(5).to_pylist(), length)
+                distinct, back = np.unique(prints, return_inverse=True)
+                often = np.bincount(back, piece.column(2).to_numpy()[number]) > 1
+                again = often[back]
+                n, first, last = _runs(number[again], place[again])
+                alone, at_once = number[~again], distinct[often]
+                begin = firsts[alone] + place[~again]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(prints.view(np.int64)), pa.array([bodies[i] for i in number.tolist()], pa.string()),
-                     pa.array(np.array(firsts)[number] + place, pa.int64()), pa.array(piece.column(2).to_numpy()[number], pa.int64())],
-                    names=["print", "body", "first", "copies"])
+                    [pa.concat_arrays([pa.nulls(len(n), pa.int64()), pa.array(prints[~again].view(np.int64)), pa.array(at_once.view(np.int64))]),
+                     pa.array([bodies[i] for i in n.tolist()] + [bodies[i] for i in alone.tolist()] + [None] * len(at_once), pa.string()),
+                     pa.concat_arrays([pa.array(firsts[n] + first), pa.array(begin), pa.nulls(len(at_once), pa.int64())]),
+                     pa.concat_arrays([pa.array(firsts[n] + last), pa.array(begin), pa.nulls(len(at_once), pa.int64())]),
+                     pa.array(np.repeat([0, 1, 2], [len(n), len(alone), len(at_once)]))],
+                    names=["print", "body", "first", "last", "copies"])
     return run
 
 
@@ -231,10 +245,13 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     schema = "body string, first bigint, last bigint"
     together = (contexts.where(F.col("members") <= GATHERED).repartition("rank").sortWithinPartitions("rank")
                 .mapInArrow(_together(length), schema))
-    crowded = contexts.where(F.col("members") > GATHERED)
-    single = stored(crowded.mapInArrow(_single(length), "print bigint, body string, first bigint, copies bigint"), "starts")
-    many = single.groupBy("print").agg(F.sum("copies").alias("c")).where("c > 1").select("print")
-    apart = single.join(many, "print").select("body", "first", F.col("first").alias("last"))
+    part = F.pmod(F.xxhash64("body", "first"), F.ceil(F.col("members") / GATHERED))
+    crowded = (contexts.where(F.col("members") > GATHERED).withColumn("part", part).repartition("rank", "part")
+               .sortWithinPartitions("rank", "part"))
+    starts = stored(crowded.mapInArrow(_pieces(length), "print bigint, body string, first bigint, last bigint, copies bigint"), "starts")
+    many = starts.where("print is not null").groupBy("print").agg(F.sum("copies").alias("c")).where("c > 1").select("print")
+    apart = (starts.where("print is null").select("body", "first", "last")
+             .union(starts.where("body is not null").join(many, "print").select("body", "first", "last")))
     return together.union(apart).distinct()
 
 
