@@ -128,7 +128,9 @@ def test_repeats(docs, nothing, gathered, monkeypatch):
         assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
-def test_language_model(docs, nothing):
+@pytest.mark.parametrize("frequent", [language_model.FREQUENT, 40, 0])
+def test_language_model(docs, nothing, frequent, monkeypatch):
+    monkeypatch.setattr(language_model, "FREQUENT", frequent)
     counts, rows = Counter(), []
     for i, t in TEXTS:
         held = i is not None and zlib.crc32(str(i).encode()) % 7 == 2
