@@ -22,6 +22,7 @@ FILE_ID_PATTERN = r"(\d+(?:-\d+)+)"
 # --- fixed values: source labels ---
 MERGED_SOURCE_LAYOUT = "[공지사항-%s] %s"
 NODE_SOURCE_LAYOUT = "[공지-%s] %s"
+NOTICE_MARK = "[공지사항"
 SOURCE_ID_PATTERN = r"\]\s*(\d+)"
 
 # --- fixed values: sentinels and placeholders ---
@@ -32,6 +33,11 @@ EMPTY_TRUTH = "No ground truth available."
 FAILED_ANSWER = "생성 실패"
 ERROR_MARKS = ("API Error",)
 SOURCES_MARK = "📚"
+PAGES_TITLE = "\n\n📍 **TV-RAG Traceability (Notice Vision):**\n"
+NO_PAGES_TITLE = "\n\n📍 **TV-RAG (텍스트 전용 폴백):**\n"
+NO_PAGES_LINE = "- (이미지 로그 없음 — 본문 기반 응답)"
+CONTEXT_RULE = "=" * 40
+YEAR_BLOCK_SEPARATOR = "\n\n---\n\n"
 
 # --- fixed values: sizes ---
 MIN_CHUNK_LENGTH = 50
@@ -45,7 +51,7 @@ MAX_PASSES = 2
 MEDIA_CAP = 10
 SPARSE_DROP_RATIO = 0.2
 
-# --- fixed values: store limits per column, in characters ---
+# --- fixed values: store limits per column, in UTF-8 bytes ---
 NOTICE_LIMITS = {
     "chunk_id": 100, "parent_id": 100, "year": 20, "category": 500,
     "target": 1000, "entity": 500, "chunk_text": 65535,

@@ -84,8 +84,20 @@ def block_bullet(source: Column, page: Column, text: Column) -> Column:
     return F.concat(F.format_string("- %s (p.%s): ", source, page.cast("string")), text)
 
 
+def block_year(year: Column, entity: Column, text: Column) -> Column:
+    return F.concat(F.format_string("[문서 출처: %s년 %s]\n", F.coalesce(year, F.lit("")), F.coalesce(entity, F.lit(""))),
+                    F.coalesce(text, F.lit("")))
+
+
+def framed(context: Column) -> Column:
+    """The ranked layout's rules above and below."""
+    rule = F.lit(f"\n\n{fixed.CONTEXT_RULE}")
+    return F.concat(rule, context, rule)
+
+
 # Block layouts, each with the separator placed between blocks.
-LAYOUT_SEPARATORS = {"merged": "", "ranked": "\n\n", "node": "", "paged": "", "bullet": "\n"}
+LAYOUT_SEPARATORS = {"merged": "", "ranked": "\n\n", "node": "", "paged": "", "bullet": "\n",
+                     "year": fixed.YEAR_BLOCK_SEPARATOR}
 
 
 def build_prompt(context: Column, question: Column, *, context_title: str = "",
@@ -104,6 +116,14 @@ def source_footer(answer: Column, sources: Column, *, mark: str = fixed.SOURCES_
     )
 
 
+def vision_footer(answer: Column, pages: Column, with_images: Column) -> Column:
+    """Append the pages that were shown, in their order, or the line that says there were none."""
+    title = F.when(with_images, F.lit(fixed.PAGES_TITLE)).otherwise(F.lit(fixed.NO_PAGES_TITLE))
+    lines = F.array_join(F.transform(pages, lambda p: F.concat(F.lit("- "), p)), "\n")
+    listed = F.when(F.coalesce(F.size(pages), F.lit(0)) > 0, lines).otherwise(F.lit(fixed.NO_PAGES_LINE))
+    return F.concat(answer, title, listed)
+
+
 def fill_answer(answer: Column, other_answer: Column) -> Column:
     return F.coalesce(F.nullif(F.coalesce(answer, other_answer), F.lit("")), F.lit(fixed.EMPTY_ANSWER))
 

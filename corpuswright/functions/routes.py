@@ -53,6 +53,13 @@ def parse_route(raw: Column, mode: str) -> Column:
     raise ValueError(f"unknown reading {mode!r}")
 
 
+def route_with_reason(content: Column) -> Column:
+    """``struct<route, reason>`` of a JSON answer; REJECT where it names no route or is no JSON."""
+    parsed = F.from_json(content, "struct<route:string,reason:string>")
+    return F.struct(F.upper(F.coalesce(parsed["route"], F.lit(REJECT))).alias("route"),
+                    F.coalesce(parsed["reason"], F.lit("")).alias("reason"))
+
+
 def first_route(*fields: Column, default: str = "") -> Column:
     """First field that names a route; fields naming neither are passed over."""
     def read(field: Column) -> Column:

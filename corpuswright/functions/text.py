@@ -70,11 +70,13 @@ def metadata_field(metadata: str, name: str) -> Column:
 
 
 def integrate_sections(title: Column, date: Column, url: Column, content: Column,
-                       image_text: Column, attachment_text: Column) -> Column:
+                       image_text: Column, attachment_text: Column, informed: Column | None = None) -> Column:
     """Sections joined by blank lines. Image and attachment sections vanish when
-    absent; the four information lines stay, empty when a value is missing."""
+    absent; the four information lines stay, empty when a value is missing, and
+    vanish where ``informed`` says that there is no information file."""
     def line(label: str, value: Column) -> Column:
-        return F.concat(F.lit(label), F.coalesce(value, F.lit("")))
+        text = F.concat(F.lit(label), F.coalesce(value, F.lit("")))
+        return text if informed is None else F.when(informed, text)
 
     def section(label: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.concat(F.lit(label), value))
@@ -90,6 +92,18 @@ def integrate_sections(title: Column, date: Column, url: Column, content: Column
     )
 
 
+def attachment_text(files: Column) -> Column:
+    """Files ``array<struct<name, text>>`` as one text, each under its name; null without files."""
+    parts = F.transform(files, lambda f: F.concat(F.lit("<"), f["name"], F.lit(">\n"), F.coalesce(f["text"], F.lit(""))))
+    return F.when(F.size(files) > 0, F.array_join(parts, "\n"))
+
+
+def qa_pairs(content: Column, pair: str = "struct<question:string,answer:string>") -> Column:
+    """The list under ``qa_pairs`` of a JSON answer; empty where there is none or the answer is no JSON."""
+    parsed = F.from_json(content, f"struct<qa_pairs:array<{pair}>>")["qa_pairs"]
+    return F.coalesce(parsed, F.array().cast(f"array<{pair}>"))
+
+
 def page_tag(body: Column, file_name: Column, physical_index: Column) -> Column:
     """Document id and printed page from the body, else id from the file name and
     the physical page. ``physical_index`` counts from 1."""

@@ -26,24 +26,26 @@ def rejoin_ground_truth(t: Tables) -> DataFrame:
     return joins.rejoin_ground_truth(rows, verified).select("doc_id", "ground_truth", "matched")
 
 
-@query("match_coverage", f"""WITH known AS (SELECT text FROM documents WHERE lang <> 'fr'),
+@query("match_coverage", f"""WITH known AS (SELECT text FROM documents),
   raw AS (SELECT DISTINCT {sql_strip('text')} AS k FROM known), norm AS (SELECT DISTINCT {sql_norm('text')} AS k FROM known),
-  asked AS (SELECT replace(text, ' ', '  ') AS spaced, text, lang FROM documents),
+  asked AS (SELECT replace(text, ' ', '  ') AS spaced, text, lang FROM documents UNION ALL SELECT text, text, '' FROM benchmark),
   keyed AS (SELECT CASE WHEN lang = 'en' THEN spaced ELSE text END AS q FROM asked)
 SELECT count(*) AS asked, count(*) FILTER (WHERE {sql_strip('q')} IN (SELECT k FROM raw)) AS raw_hits,
   count(*) FILTER (WHERE {sql_norm('q')} IN (SELECT k FROM norm)) AS normalised_hits,
   count(*) FILTER (WHERE {sql_norm('q')} NOT IN (SELECT k FROM norm)) AS misses FROM keyed""")
 def match_coverage(t: Tables) -> DataFrame:
     spaced = F.when(F.col("lang") == "en", F.replace(F.col("text"), F.lit(" "), F.lit("  "))).otherwise(F.col("text"))
-    return joins.match_coverage(t.documents.select(spaced.alias("q")),
-                                t.documents.filter(F.col("lang") != "fr"), "q", "text")
+    asked = t.documents.select(spaced.alias("q")).unionByName(t.benchmark.select(F.col("text").alias("q")))
+    return joins.match_coverage(asked, t.documents, "q", "text")
 
 
-@query("coverage_misses", f"""WITH norm AS (SELECT DISTINCT {sql_norm('text')} AS k FROM documents WHERE lang <> 'fr')
-SELECT doc_id FROM documents WHERE {sql_norm('text')} NOT IN (SELECT k FROM norm)""")
+@query("coverage_misses", f"""WITH norm AS (SELECT DISTINCT {sql_norm('text')} AS k FROM documents),
+  asked AS (SELECT 'document' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'benchmark', item_id, text FROM benchmark)
+SELECT origin, id FROM asked WHERE {sql_norm('text')} NOT IN (SELECT k FROM norm)""")
 def coverage_misses(t: Tables) -> DataFrame:
-    return joins.coverage_misses(t.documents.select("doc_id", "text"),
-                                 t.documents.filter(F.col("lang") != "fr"), "text", "text").select("doc_id")
+    asked = (t.documents.select(F.lit("document").alias("origin"), F.col("doc_id").alias("id"), "text")
+             .unionByName(t.benchmark.select(F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), "text")))
+    return joins.coverage_misses(asked, t.documents, "text", "text").select("origin", "id")
 
 
 @query("reverse_eval_pairs", f"""WITH {roles.SQL_QA}
@@ -59,12 +61,11 @@ def reverse_eval_pairs(t: Tables) -> DataFrame:
 
 
 @query("add_latency", f"""WITH {roles.SQL_RUNS}, s AS (SELECT pipeline, round(avg(answer_correctness), 6) AS answer_correctness FROM runs GROUP BY 1),
-  l AS (SELECT pipeline, round(avg(latency), 4) AS latency FROM runs WHERE pipeline <> 'error' GROUP BY 1)
+  l AS (SELECT pipeline, round(avg(latency), 4) AS latency FROM runs GROUP BY 1)
 SELECT * FROM s LEFT JOIN l USING (pipeline)""")
 def add_latency(t: Tables) -> DataFrame:
     runs = roles.scored_runs(t)
-    latencies = (runs.filter(F.col("pipeline") != "error").groupBy("pipeline")
-                 .agg(F.round(F.avg("latency"), 4).alias("latency")))
+    latencies = runs.groupBy("pipeline").agg(F.round(F.avg("latency"), 4).alias("latency"))
     return joins.add_latency(reports.metric_means(runs, ["answer_correctness"], ["pipeline"]), latencies)
 
 
@@ -117,14 +118,14 @@ def repair_rows(t: Tables) -> DataFrame:
 
 @query("doc_path_lookup", """SELECT e.event_id, CASE WHEN d.doc_id IS NULL THEN NULL ELSE d.source || '.pdf' END AS path,
   CAST(CASE d.doc_id % 3 WHEN 1 THEN d.doc_id WHEN 2 THEN 1 END AS INTEGER) AS page_num
-FROM events e LEFT JOIN (SELECT * FROM documents WHERE lang <> 'es') d ON d.doc_id = CAST(json_extract_string(e.props, '$.k') AS BIGINT)""")
+FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id""")
 def doc_path_lookup(t: Tables) -> DataFrame:
     d, path = F.col("doc_id"), F.concat("source", F.lit(".pdf"))
     entry = (F.when(d % 3 == 0, path)
              .when(d % 3 == 1, F.concat(F.lit('["'), path, F.lit('", '), d.cast("string"), F.lit("]")))
              .otherwise(F.concat(F.lit('{"path": "'), path, F.lit('"}'))))
-    stored = t.documents.filter(F.col("lang") != "es").select("doc_id", joins.parse_path_entry(entry).alias("e"))
-    ids = t.events.select("event_id", roles.answer_key().alias("doc_id"))
+    stored = t.documents.select("doc_id", joins.parse_path_entry(entry).alias("e"))
+    ids = t.events.select("event_id", F.col("event_id").alias("doc_id"))
     return joins.doc_path_lookup(ids, stored.select("doc_id", "e.path", "e.page_num")).select("event_id", "path", "page_num")
 
 
@@ -522,13 +523,13 @@ def qa_seed_text(t: Tables) -> DataFrame:
 
 @query("complete_testset", f"""WITH {roles.SQL_QA}, u AS (
   SELECT 0 AS part, qa_id AS o, question, answer AS ground_truth, ground_truth AS context_used FROM qa
-  UNION ALL SELECT 1, doc_id, string_split(text, chr(10))[1], CASE WHEN lang = 'fr' THEN ' ' ELSE source END, lang FROM documents)
+  UNION ALL SELECT 1, doc_id, text, CASE WHEN lang = 'fr' THEN ' ' ELSE source END, lang FROM documents)
 SELECT row_number() OVER (ORDER BY part, o) - 1 AS id, question, ground_truth, context_used FROM u
 WHERE {sql_strip('question')} <> '' AND {sql_strip('ground_truth')} <> '' AND {sql_strip('context_used')} <> ''""")
 def complete_testset(t: Tables) -> DataFrame:
     first = roles.qa(t).select(F.col("qa_id").alias("o"), "question", F.col("answer").alias("ground_truth"),
                                F.col("ground_truth").alias("context_used"))
-    second = t.documents.select(F.col("doc_id").alias("o"), F.split("text", "\n")[0].alias("question"),
+    second = t.documents.select(F.col("doc_id").alias("o"), F.col("text").alias("question"),
                                 F.when(F.col("lang") == "fr", " ").otherwise(F.col("source")).alias("ground_truth"),
                                 F.col("lang").alias("context_used"))
     return datasets.complete_testset([first, second], "o")

@@ -252,10 +252,14 @@ def _top3(t: Tables) -> DataFrame:
 SQL_TOP3 = f"{SQL_DOC_SPARSE}, top3 AS (SELECT s.query_id, s.rank, chunk_id % 9 AS page, d.*, count(*) OVER (PARTITION BY query_id) AS n FROM sparse s JOIN docs d USING (chunk_id) WHERE rank <= 3)"
 
 
+SQL_RULE = "chr(10) || chr(10) || repeat('=', 40)"
+
+
 @query("format_context", f"""{SQL_TOP3}
 SELECT query_id,
   string_agg('[참고 문서 ' || rank || ']' || chr(10) || '- 출처: ' || source || ' (페이지: ' || page || ')' || chr(10) || '- 내용: ' || text || chr(10) || chr(10), '' ORDER BY rank) AS merged,
-  string_agg('[문서 중요도 순위: ' || rank || '위]' || chr(10) || '- 작성연도: 2024년' || chr(10) || '- 담당부서: ' || source || chr(10) || '- 분류: ' || lang || chr(10) || '- 본문 내용:' || chr(10) || text, chr(10) || chr(10) ORDER BY rank DESC) AS ranked,
+  {SQL_RULE} || string_agg('[문서 중요도 순위: ' || rank || '위]' || chr(10) || '- 작성연도: 2024년' || chr(10) || '- 담당부서: ' || source || chr(10) || '- 분류: ' || lang || chr(10) || '- 본문 내용:' || chr(10) || text, chr(10) || chr(10) ORDER BY rank DESC) || {SQL_RULE} AS ranked,
+  string_agg('[문서 출처: 2024년 ' || source || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank DESC) AS year,
   string_agg(chr(10) || '### 문서 조각 ' || rank || ' [출처: ' || source || '] ###' || chr(10) || text || chr(10), '' ORDER BY rank) AS node,
   string_agg('문서 ' || (n - rank + 1) || ':' || chr(10) || '[출처: ' || source || ' | 페이지: ' || page || ']' || chr(10) || text || chr(10) || chr(10), '' ORDER BY rank DESC) AS paged,
   string_agg('- ' || source || ' (p.' || page || '): ' || text, chr(10) ORDER BY rank) AS bullet FROM top3 GROUP BY 1""")
@@ -267,9 +271,11 @@ def format_context(t: Tables) -> DataFrame:
         "ranked": (lambda i, h: C.block_ranked(h["rank"], F.lit("2024"), h["source"], h["lang"], h["text"]), True),
         "node": (lambda i, h: C.block_node(i, h["source"], h["text"]), False),
         "paged": (lambda i, h: C.block_paged(i, h["source"], h["page_num"], h["text"]), True),
+        "year": (lambda i, h: C.block_year(F.lit("2024"), h["source"], h["text"]), True),
         "bullet": (lambda i, h: C.block_bullet(h["source"], h["page_num"], h["text"]), False),
     }
-    return search.format_layouts(rows, {n: (block, sep[n], back) for n, (block, back) in layouts.items()}, fields)
+    out = search.format_layouts(rows, {n: (block, sep[n], back) for n, (block, back) in layouts.items()}, fields)
+    return out.withColumn("ranked", C.framed(F.col("ranked")))
 
 
 @query("reverse_repack", f"""{SQL_TOP3} SELECT query_id, string_agg(text, chr(10) ORDER BY rank DESC) AS context FROM top3 GROUP BY 1""")
@@ -278,7 +284,7 @@ def reverse_repack(t: Tables) -> DataFrame:
 
 
 SQL_REFILL = f"""WITH {SQL_DOCS}, {roles.SQL_QA},
-rows_in AS (SELECT qa_id, question, CASE WHEN turn >= 2 THEN list_transform(contexts, lambda x: x[1:20]) ELSE contexts END AS contexts FROM qa),
+rows_in AS (SELECT qa_id, question, CASE WHEN turn >= 2 THEN ['[label] ' || qa_id] ELSE contexts END AS contexts FROM qa),
 needy AS (SELECT * FROM rows_in WHERE len(list_filter(contexts, lambda x: length(x) >= 120)) = 0),
 asked_text AS (SELECT qa_id AS query_id, question FROM needy), {sql_weights('docs')},
 cand AS (SELECT s.query_id, s.chunk_id, s.rscore AS score, d.text, list_distinct({sql_tokens('question')}) AS qs, list_distinct({sql_tokens('d.text')}) AS ps
@@ -291,8 +297,8 @@ SELECT qa_id, f.c IS NOT NULL AS refilled, coalesce(f.c, array_to_string(context
 
 @query("refill_contexts", SQL_REFILL)
 def refill_contexts(t: Tables) -> DataFrame:
-    short = F.transform("contexts", lambda x: F.substring(x, 1, 20))
-    rows = roles.qa(t).select("qa_id", "question", F.when(F.col("turn") >= 2, short).otherwise(F.col("contexts")).alias("contexts"))
+    label = F.array(F.concat(F.lit("[label] "), F.col("qa_id").cast("string")))
+    rows = roles.qa(t).select("qa_id", "question", F.when(F.col("turn") >= 2, label).otherwise(F.col("contexts")).alias("contexts"))
     out = search.refill_contexts(rows, "qa_id", "question", "contexts",
                                  lambda needy: search.preset_search("refill", docs(t), needy))
     return out.select("qa_id", "refilled", F.array_join("contexts", "|").alias("contexts"))

@@ -153,13 +153,13 @@ SQL_ROUTES = """routes AS (
 
 
 def labelled_questions(t: Tables) -> DataFrame:
-    """First line of every labelled document as the question of its gold route."""
-    return routes(t).join(t.documents.select("doc_id", F.split("text", "\n")[0].alias("question")), "doc_id")
+    """The text of every labelled document as the question of its gold route."""
+    return routes(t).join(t.documents.select("doc_id", F.col("text").alias("question")), "doc_id")
 
 
 SQL_LABELLED = SQL_ROUTES + """,
 labelled AS (
-  SELECT r.*, string_split(d.text, chr(10))[1] AS question FROM routes r JOIN documents d USING (doc_id))"""
+  SELECT r.*, d.text AS question FROM routes r JOIN documents d USING (doc_id))"""
 
 
 # --- hits: users ask, events answer ---

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .. import fixed
 from ..operators import evaluation
 from ..session import new_table_path, spread
 from ..sources import html, readers, writers
@@ -137,28 +138,27 @@ def scan_markdown(t: Tables) -> DataFrame:
                         F.regexp_replace("text", r"\n\z", "").alias("text"))
 
 
-@query("build_collection", """SELECT doc_id, source AS cell, text FROM documents WHERE strlen(text) <= 4000""")
+@query("build_collection", """SELECT doc_id, source AS cell, text FROM documents WHERE strlen(text) <= 65535""")
 def build_collection(t: Tables) -> DataFrame:
     path = new_table_path(t.spark, "collection")
     rows = t.documents.select("doc_id", "text", F.col("source").alias("cell"))
-    writers.build_collection(rows, path, cell="cell", limits={"text": 4000})
+    writers.build_collection(rows, path, cell="cell", limits=fixed.RULE_LIMITS)
     return writers.read_collection(t.spark, path, rows.schema)
 
 
-@query("rejected_rows", """SELECT doc_id, 'text' AS offending FROM documents WHERE strlen(text) > 4000""")
+@query("rejected_rows", """SELECT doc_id, 'target' AS offending FROM documents WHERE strlen(text) > 1000""")
 def rejected_rows(t: Tables) -> DataFrame:
-    found = writers.rejected_rows(t.documents, {"text": 4000})
+    found = writers.rejected_rows(t.documents.select("doc_id", F.col("text").alias("target")), fixed.NOTICE_LIMITS)
     return found.select("doc_id", F.array_join("offending", ",").alias("offending"))
 
 
 @query("append_batches", """SELECT event_id, value, event_id // 4000 AS batch FROM events""")
 def append_batches(t: Tables) -> DataFrame:
-    """Scored batches appended one after the other; the second is written twice."""
+    """Scored batches written in one pass; the second is then appended again and replaces itself."""
     path = new_table_path(t.spark, "batches")
-    rows = t.events.select("event_id", "value", F.floor(F.col("event_id") / 4000).alias("part"))
-    for batch in [r["part"] for r in rows.select("part").distinct().orderBy("part").collect()]:
-        for _ in range(2 if batch == 1 else 1):
-            writers.append_batch(rows.filter(F.col("part") == batch).drop("part"), path, batch)
+    rows = t.events.select("event_id", "value", F.floor(F.col("event_id") / 4000).alias("batch"))
+    rows.write.partitionBy("batch").parquet(path)
+    writers.append_batch(rows.filter(F.col("batch") == 1).drop("batch"), path, 1)
     return t.spark.read.parquet(path).select("event_id", "value", F.col("batch").cast("bigint").alias("batch"))
 
 

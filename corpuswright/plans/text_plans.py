@@ -58,16 +58,19 @@ def unify_hit_schema(t: Tables) -> DataFrame:
         F.lit(1).alias("page_num"), F.col("doc_id").cast("string").alias("doc_id"), "text")
 
 
-@query("integrate_sections", """SELECT doc_id, '### TITLE: ' || source || chr(10) || chr(10) || '### DATE: ' || chr(10) || chr(10)
-  || '### URL: ' || lang || chr(10) || chr(10) || '### CONTENT:' || chr(10) || text
-  || CASE WHEN lang = 'en' THEN chr(10) || chr(10) || '### IMAGE_OCR:' || chr(10) || source ELSE '' END
-  || CASE WHEN n_chars > 500 THEN chr(10) || chr(10) || '### ATTACHMENT_TEXT:' || chr(10) || lang ELSE '' END AS integrated
+@query("integrate_sections", """SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN lang <> 'de' THEN
+  '### TITLE: ' || source || chr(10) || chr(10) || '### DATE: ' || chr(10) || chr(10)
+  || '### URL: ' || lang || chr(10) || chr(10) || '### CONTENT:' || chr(10) || text END,
+  CASE WHEN lang = 'en' THEN '### IMAGE_OCR:' || chr(10) || source END,
+  CASE WHEN n_chars > 500 THEN '### ATTACHMENT_TEXT:' || chr(10) || '<' || source || '>' || chr(10) || text || chr(10) || '<' || lang || '>' || chr(10) || lang END) AS integrated
 FROM documents""")
 def integrate_sections(t: Tables) -> DataFrame:
     c = F.col
+    files = F.when(c("n_chars") > 500, F.array(F.struct(c("source").alias("name"), c("text")),
+                                               F.struct(c("lang").alias("name"), c("lang").alias("text"))))
     return t.documents.select("doc_id", X.integrate_sections(
         c("source"), F.lit(None).cast("string"), c("lang"), c("text"),
-        F.when(c("lang") == "en", c("source")), F.when(c("n_chars") > 500, c("lang"))).alias("integrated"))
+        F.when(c("lang") == "en", c("source")), X.attachment_text(files), c("lang") != "de").alias("integrated"))
 
 
 @query("page_tag", r"""WITH p AS (
@@ -277,12 +280,31 @@ def strip_wrappers(t: Tables) -> DataFrame:
                               X.strip_wrappers(quoted).alias("quoted"), X.strip_wrappers("text").alias("untouched"))
 
 
-@query("parse_json_answer", """SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k,
-  CASE WHEN event_type = 'error' THEN 'REJECT' ELSE 'TEXT' END AS route FROM events""")
+@query("parse_json_answer", """SELECT event_id, CASE WHEN event_type = 'error' THEN 'REJECT' ELSE upper(event_type) END AS route,
+  CASE WHEN event_type = 'error' THEN '' ELSE props END AS reason FROM events""")
 def parse_json_answer(t: Tables) -> DataFrame:
-    broken = F.when(F.col("event_type") == "error", F.concat(F.lit("not json "), F.col("props"))).otherwise(F.col("props"))
-    parsed = t.events.select("event_id", F.from_json(broken, "struct<k:bigint>")["k"].alias("k"))
-    return parsed.select("event_id", "k", F.when(F.col("k").isNull(), R.REJECT).otherwise(R.TEXT).alias("route"))
+    content = F.to_json(F.struct(F.col("event_type").alias("route"), F.col("props").alias("reason")))
+    broken = F.when(F.col("event_type") == "error", F.concat(F.lit("not json "), content)).otherwise(content)
+    return t.events.select("event_id", R.route_with_reason(broken).alias("r")).select("event_id", "r.route", "r.reason")
+
+
+@query("parse_qa_pairs", """SELECT doc_id, CASE WHEN lang = 'fr' THEN 0 ELSE 2 END AS pairs,
+  CASE WHEN lang = 'fr' THEN '' ELSE text || '|' || lang END AS answers FROM documents""")
+def parse_qa_pairs(t: Tables) -> DataFrame:
+    pair = [F.struct(F.col("source").alias("question"), F.col(c).alias("answer")) for c in ("text", "lang")]
+    content = F.to_json(F.struct(F.array(*pair).alias("qa_pairs")))
+    broken = F.when(F.col("lang") == "fr", F.concat(F.lit("sorry, "), content)).otherwise(content)
+    found = t.documents.select("doc_id", X.qa_pairs(broken).alias("found"))
+    return found.select("doc_id", F.size("found").cast("bigint").alias("pairs"),
+                        F.array_join(F.col("found.answer"), "|").alias("answers"))
+
+
+@query("vision_footer", f"""SELECT doc_id, text || CASE WHEN lang = 'fr' THEN '{fixed.NO_PAGES_TITLE}' || '{fixed.NO_PAGES_LINE}'
+  ELSE '{fixed.PAGES_TITLE}- ' || source || chr(10) || '- ' || lang END AS answer FROM documents""")
+def vision_footer(t: Tables) -> DataFrame:
+    with_images = F.col("lang") != "fr"
+    pages = F.when(with_images, F.array("source", "lang")).otherwise(F.array().cast("array<string>"))
+    return t.documents.select("doc_id", C.vision_footer(F.col("text"), pages, with_images).alias("answer"))
 
 
 @query("source_footer", """SELECT doc_id, CASE WHEN lang = 'fr' THEN text || '📚' ELSE text || chr(10) || chr(10) || '📚 **[참고 문헌 및 근거 자료]**' || chr(10)

@@ -36,11 +36,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate data.
+    """The folder the cluster names for intermediate data; one set by ``setCheckpointDir`` goes first.
 
     Only a local session may fall back to the machine's temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

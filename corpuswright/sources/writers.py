@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from .. import fixed
 from ..operators.filters import length_violations
@@ -27,19 +27,23 @@ def append_batch(df: DataFrame, path: str, batch: int) -> None:
 
 
 def build_collection(chunks: DataFrame, path: str, *, cell: str = "cluster_id",
-                     limits: dict[str, int] | None = None) -> None:
+                     limits: dict[str, int] | None = None) -> tuple[int, int]:
     """Write a collection afresh, one folder per cell, so that a search reads only the
-    probed cells.
+    probed cells; return the numbers of rows stored and rejected.
 
-    Rows over the store limits are left out (see ``length_violations`` for the
-    report). The rebalance hint lets Spark split a cell that holds a large part
+    Rows over the store limits go, with the ``offending`` columns, to the folder
+    ``path`` with ``-rejected`` behind. The rebalance hint lets Spark split a cell that holds a large part
     of the corpus into several write tasks and join small ones.
     """
     limits = {c: n for c, n in (limits or fixed.NOTICE_LIMITS).items() if c in chunks.columns}
     kept = chunks
     for column, n in limits.items():
         kept = kept.filter(F.coalesce(F.octet_length(F.col(column)), F.lit(0)) <= n)
-    kept.hint("rebalance", cell).write.mode("overwrite").partitionBy(cell).parquet(path)
+    stored, rejected = Observation(), Observation()
+    count = F.count(F.lit(1)).alias("rows")
+    kept.observe(stored, count).hint("rebalance", cell).write.mode("overwrite").partitionBy(cell).parquet(path)
+    rejected_rows(chunks, limits).observe(rejected, count).write.mode("overwrite").parquet(f"{path}-rejected")
+    return stored.get.get("rows", 0), rejected.get.get("rows", 0)
 
 
 def rejected_rows(chunks: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:

@@ -98,7 +98,7 @@ def test_media_budget(spark):
 
 def test_media_budget_docs(spark):
     rows = [(1, i + 1, f"rules/{d}.md", p) for i, (d, p) in enumerate([("a", 1), ("a", 1), ("a", 2), ("b", 3), ("c", 4), ("d", 5), ("b", 9)])]
-    rows += [(1, 8, "[공지사항-일반] 77", 1), (1, 9, "no target", 1)]
+    rows += [(1, 8, "[공지사항-일반] 77", 1), (1, 9, "no target", 1), (1, 10, "[web] 12", 1)]
     hits = spark.createDataFrame(rows, "query_id int, rank int, source string, page_num int")
     separate = {(r["target"], r["page"]) for r in media.media_budget_docs(hits, 3, 2, combined=False).collect()}
     assert separate == {("a.pdf", 1), ("a.pdf", 2), ("b.pdf", 3), ("c.pdf", 4), ("77", None)}

@@ -83,7 +83,9 @@ def test_collection_is_rebuilt_and_pruned_by_cell(spark, tmp_path):
     df = spark.range(60).select(F.col("id").cast("string").alias("chunk_id"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("year"),
                                 (F.col("id") % 3).alias("cluster_id"))
     writers.build_collection(df, path)
-    writers.build_collection(df, path)
+    assert writers.build_collection(df, path) == (21, 39)
+    assert spark.read.parquet(f"{path}-rejected").count() == 39
+    assert writers.build_collection(df.limit(0), f"{path}-none") == (0, 0)
     back = writers.read_collection(spark, path, df.schema)
     assert back.count() == 21 and writers.rejected_rows(df).count() == 39
     plan = back.filter("cluster_id = 1")._jdf.queryExecution().executedPlan().toString()

@@ -140,6 +140,15 @@ def test_footer_only_once(spark):
     assert one(spark, C.source_footer(lit("answer 📚"), sources)) == "answer 📚"
 
 
+def test_answers_that_are_no_json(spark):
+    from corpuswright.functions import routes as R, text as X
+    for content, route in ((None, ("REJECT", "")), ("oops", ("REJECT", "")), ('{"route": "text"}', ("TEXT", ""))):
+        assert tuple(one(spark, R.route_with_reason(F.lit(content).cast("string")))) == route
+    for content, n in ((None, 0), ("[", 0), ('{"qa_pairs": [{"question": "a"}]}', 1), ('{"other": 1}', 0)):
+        assert len(one(spark, X.qa_pairs(F.lit(content).cast("string")))) == n
+    assert one(spark, X.attachment_text(F.array().cast("array<struct<name:string,text:string>>"))) is None
+
+
 @pytest.mark.parametrize("answer, truth, f1", [("a b a", "a a c", 2 * 2 / 6), ("", "", 0.0), ("x", None, 0.0), ("same one", "one same", 1.0)])
 def test_token_f1(spark, answer, truth, f1):
     assert one(spark, M.token_f1(lit(answer), lit(truth))) == pytest.approx(f1, abs=1e-6)
