@@ -5,6 +5,11 @@ language, source, measure and bucket are the sketch: two sketches merge by
 adding counts, so a hot source is summed map-side and small sources fall back
 to the merged sketch of their language, then of all rows. A quantile read from
 the buckets is within ``GAMMA - 1`` of the true value, relatively.
+
+A limit lies a factor ``FENCE`` beyond an outer quantile of the rows that pass
+the base rules, zeros counted as values, so one source may have a tighter or a
+looser limit than another. ``MEASURES`` holds the rails no limit leaves: a
+source full of junk cannot loosen its limits past them, nor a narrow one tighten them.
 """
 
 from __future__ import annotations
@@ -15,15 +20,16 @@ from .common import join_side, stored, text_rows, window_hashes, words
 
 GAMMA = 1.02
 LEAST_ROWS = 200  # a source or language with fewer rows uses the wider sketch
-FENCE = 3.0       # limits lie so many quartile distances beyond the outer quartiles, in the log domain
-# Each measure with its sides and the range in which no document is rejected, whatever its sketch says.
-# A limit can only ever be looser than this, so clean documents of a narrow source are safe.
+FENCE = 2.0       # limits lie this factor beyond the outer quantiles
+# Each measure: of how many rows one lies outside the quantile (few for a measure whose junk is frequent), then the rails:
+# the tightest and the loosest upper limit, the loosest and the tightest lower one.
 MEASURES = {
-    "symbol_rate": ("high", None, 0.15),
-    "dup_line_rate": ("high", None, 0.30),
-    "repeat_rate": ("high", None, 0.10),
-    "word_length": ("both", 2.5, 15.0),
+    "symbol_rate": (10, 0.10, 0.30),
+    "dup_line_rate": (100, 0.20, 0.50),
+    "repeat_rate": (100, 0.08, 0.20),
+    "word_length": (20, 10.0, 20.0, 2.0, 3.0),
 }
+ZERO = -100000    # the bucket of zero
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -67,37 +73,44 @@ def measures() -> dict[str, Column]:
 
 def _bucket(value: Column) -> Column:
     import math
-    return F.when(value > 0, F.ceil(F.round(F.log(value) / math.log(GAMMA), 6))).otherwise(-100000).cast("int")
+    return F.when(value > 0, F.ceil(F.round(F.log(value) / math.log(GAMMA), 6))).otherwise(ZERO).cast("int")
 
 
 def sketch(measured: DataFrame) -> DataFrame:
-    """``lang, source, measure, bucket, n``: the mergeable sketch of every group."""
+    """``lang, source, measure, bucket, n``: the mergeable sketch of every group.
+
+    Rows that fail a base rule count 0: they go anyway and say nothing of the others, and a group of such rows
+    alone has the wider sketch's limits.
+    """
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), _bucket(v).alias("bucket"))
                                 for k, v in measures().items()]))
     return (measured.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"),
-                            cells.alias("c"))
+                            F.when(base_failed(), 0).otherwise(1).alias("one"), cells.alias("c"))
             .groupBy("lang", "source", F.col("c.measure").alias("measure"), F.col("c.bucket").alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(F.sum("one").alias("n")))
 
 
-def _quartiles(cells: DataFrame, *group: str) -> DataFrame:
-    """Lower and upper quartile bucket and row count of every group; groups hold a bounded number of buckets."""
+def _outer(cells: DataFrame, *group: str) -> DataFrame:
+    """Buckets of the outer quantiles and row count of every group; groups hold a bounded number of buckets."""
     by = Window.partitionBy(*group, "measure")
     run = by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    return (cells.withColumn("_total", F.sum("n").over(by)).withColumn("_run", F.sum("n").over(run))
+    parts = F.lit(None)
+    for name, (part, *_) in MEASURES.items():
+        parts = F.when(F.col("measure") == name, part).otherwise(parts)
+    return (cells.withColumn("_total", F.sum("n").over(by)).withColumn("_run", F.sum("n").over(run) * parts)
             .groupBy(*group, "measure").agg(
                 F.max("_total").alias("rows"),
-                F.min(F.when(F.col("_run") * 4 >= F.col("_total"), F.col("bucket"))).alias("low"),
-                F.min(F.when(F.col("_run") * 4 >= F.col("_total") * 3, F.col("bucket"))).alias("high")))
+                F.min(F.when(F.col("_run") >= F.col("_total"), F.col("bucket"))).alias("low"),
+                F.min(F.when(F.col("_run") >= F.col("_total") * (parts - 1), F.col("bucket"))).alias("high")))
 
 
 def limits(cells: DataFrame, least_rows: int = LEAST_ROWS, fence: float = FENCE) -> DataFrame:
-    """One row per language and source: ``<measure>_min`` and ``<measure>_max`` (null: no limit)."""
+    """One row per language and source: ``<measure>_max`` and, where it has rails for one, ``<measure>_min``."""
     total = F.sum("n").alias("n")
-    by_lang = _quartiles(cells.groupBy("lang", "measure", "bucket").agg(total), "lang")
-    everything = _quartiles(cells.groupBy("measure", "bucket").agg(total).withColumn("_all", F.lit(1)), "_all")
+    by_lang = _outer(cells.groupBy("lang", "measure", "bucket").agg(total), "lang")
+    everything = _outer(cells.groupBy("measure", "bucket").agg(total).withColumn("_all", F.lit(1)), "_all")
     names = ("rows", "low", "high")
-    wide = (_quartiles(cells, "lang", "source")
+    wide = (_outer(cells, "lang", "source")
             .join(by_lang.select("lang", "measure", *[F.col(c).alias(f"l_{c}") for c in names]), ["lang", "measure"])
             .join(everything.select("measure", *[F.col(c).alias(f"a_{c}") for c in names]), ["measure"]))
 
@@ -105,18 +118,15 @@ def limits(cells: DataFrame, least_rows: int = LEAST_ROWS, fence: float = FENCE)
         return (F.when(F.col("rows") >= least_rows, F.col(name))
                 .when(F.col("l_rows") >= least_rows, F.col(f"l_{name}")).otherwise(F.col(f"a_{name}")).cast("double"))
 
-    reach = fence * (pick("high") - pick("low"))
-    zero = -100000 + 1
-    wide = wide.select(
-        "lang", "source", "measure",
-        F.when(pick("low") > zero, F.pow(F.lit(GAMMA), pick("low") - reach)).alias("lower"),
-        F.when(pick("low") > zero, F.pow(F.lit(GAMMA), pick("high") + reach)).alias("upper"))
+    def value(name: str) -> Column:
+        return F.when(pick(name) > ZERO, F.pow(F.lit(GAMMA), pick(name))).otherwise(0.0)
+
+    wide = wide.select("lang", "source", "measure", (value("low") / fence).alias("lower"), (value("high") * fence).alias("upper"))
     out = []
-    for name, (side, floor, ceiling) in MEASURES.items():
+    for name, (_, *rails) in MEASURES.items():
         of = F.col("measure") == name
-        out.append(F.max(F.when(of, F.greatest(F.coalesce("upper", F.lit(ceiling)), F.lit(ceiling)))).alias(f"{name}_max"))
-        if side == "both":
-            out.append(F.min(F.when(of, F.least(F.coalesce("lower", F.lit(floor)), F.lit(floor)))).alias(f"{name}_min"))
+        for side, limit, least, most in zip(("max", "min"), ("upper", "lower"), rails[::2], rails[1::2]):
+            out.append(F.max(F.when(of, F.least(F.greatest(limit, F.lit(least)), F.lit(most)))).alias(f"{name}_{side}"))
     return wide.groupBy("lang", "source").agg(*out)
 
 
@@ -125,7 +135,7 @@ def within() -> Column:
     good = F.lit(True)
     for name, value in measures().items():
         good &= value <= F.col(f"{name}_max")
-        if MEASURES[name][0] == "both":
+        if len(MEASURES[name]) > 3:
             good &= value >= F.col(f"{name}_min")
     return good
 

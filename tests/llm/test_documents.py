@@ -82,6 +82,20 @@ def test_quality_sketches_merge(docs):
     assert whole == Counter((*k, n) for k, n in halves.items())
 
 
+def test_quality_limits_follow_the_source(spark):
+    plain = " ".join(f"word{i}" for i in range(100))
+    marked = lambda n: plain + "#" * n
+    rows = [(0, marked(0), "plain"), (1, marked(12), "plain"), (2, marked(12), "tables"), (3, marked(28), "tables"),
+            (4, marked(28), "plain"), (5, marked(300), "junk"), (6, marked(12), "odd"), (7, "few", "failed")]
+    rows += [(100, marked(0), "plain")] * 1000 + [(101, marked(25), "tables")] * 300 + [(102, marked(300), "junk")] * 50
+    rows += [(103, "few", "failed")] * 300
+    got = quality.quality_report(spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' as lang"))
+    kept = {r["doc_id"]: r["kept"] for r in got.select("doc_id", "kept").distinct().collect()}
+    assert kept == {0: True, 1: False, 2: True, 3: True, 4: False, 5: False, 6: True, 7: False, 100: True, 101: True, 102: False, 103: False}
+    limits = got.where("doc_id in (1, 2)").orderBy("doc_id").collect()
+    assert [r["symbol_rate_max"] for r in limits] == [0.10, 0.30]
+
+
 def test_bpe_equals_the_library_and_comes_back(docs, nothing, tokenizer):
     got = bpe.decode(bpe.encode(docs))
     want = Counter()
