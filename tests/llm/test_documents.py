@@ -8,10 +8,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from corpuswright.llm import arrow_ids, bpe, decontaminate, language_model, licenses, ngram_join, pii, quality, suffix_dedup
+from corpuswright.llm import attention as model
 
 from .conftest import LONG, TEXTS
 
@@ -161,6 +163,20 @@ def test_language_model(docs, nothing, frequent, monkeypatch):
     assert language_model.score(nothing).count() == 0
 
 
+def test_language_model_learns_from_every_token(docs, monkeypatch):
+    """The targets of all rounds together are all ids of the training rows."""
+    weights = model.fresh(np.ones(model.CLASSES))
+    monkeypatch.setattr(model, "gradients", lambda w, x, y: {n: np.zeros_like(v) for n, v in w.items()})
+
+    class State:
+        value = (model.flat(weights), np.arange(5000) % model.CLASSES, "<u2")
+
+    rows = [np.arange(n, dtype="<u2") for n in (1, 19, 20, 21, 1000, 5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7, 13)), pa.array([r.tobytes() for r in rows])], names=["row", "ids"])
+    out = [b for turn in range(3) for b in language_model._learn(State, turn, 3)([batch])]
+    assert sum(b.column(0)[0].as_py() for b in out) == sum(map(len, rows))
+
+
 def shingles(text, k):
     found = WORD.findall((text or "").translate(LOWER))
     return frozenset(tuple(found[i:i + k]) for i in range(len(found) - k + 1)) if len(found) >= k else frozenset([tuple(found)] if found else [])
