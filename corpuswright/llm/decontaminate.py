@@ -4,12 +4,14 @@
    with the benchmark. Only such windows can be similar at all. The diagonals of
    shared shingles are tried; with several gaps in a passage a window between two
    diagonals could be more similar than either. Equal windows are kept once.
-2. Window and item fingerprints have ``BITS`` bits; every shingle votes with its
-   weight, the number of times it occurs.
+2. Window and item fingerprints have ``BITS`` bits. A shingle's occurrences are
+   numbered and each votes by its own hash, so weighted similarity is the plain
+   similarity of two sets and no repeated shingle moves all sums together.
 3. Fingerprints are cut into ``radius + 1`` blocks. Two that differ in at most
    ``radius`` bits agree in one block, so joining on blocks of equal window size
-   loses none of them.
-4. Candidates within the radius are verified by their exact weighted similarity,
+   loses none of them. Items of less than ``SMALL`` shingles, whose few votes
+   scatter more than the radius allows for, meet their windows by shared shingles.
+4. Candidates are verified by their exact weighted similarity,
    the sum of smaller over the sum of larger shingle counts.
 
 Words are runs of letters and digits of the lower-cased text. An item shorter
@@ -29,6 +31,7 @@ SIMILARITY = 0.8
 BITS = 64
 # A pair at similarity 0.8 has an angle of 27 degrees: about 9.7 of 64 bits differ, standard deviation 2.9.
 RADIUS = 19
+SMALL = 24  # items with fewer shingles are joined exactly
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -75,9 +78,16 @@ def _windows(docs: DataFrame, shingles: DataFrame, k: int) -> DataFrame:
             .groupBy("doc_id", "n", "start", F.xxhash64("w").alias("window")).agg(F.first("w").alias("w")))
 
 
+def _occurrences(rows: DataFrame, key: str, array: str) -> DataFrame:
+    """``key, s``: the hash of every shingle and the number of its occurrence, from 1."""
+    counts = rows.select(key, F.explode(array).alias("h")).groupBy(key, "h").agg(F.count(F.lit(1)).alias("c"))
+    return counts.select(key, "h", F.explode(F.sequence(F.lit(1).cast("bigint"), "c")).alias("i")).select(
+        key, F.xxhash64("h", "i").alias("s"))
+
+
 def _fingerprints(rows: DataFrame, key: str, array: str) -> DataFrame:
-    """``key, fp``: the sign of 64 sums of shingle votes."""
-    votes = rows.select(key, F.explode(array).alias("s"))
+    """``key, fp``: the sign of 64 sums of the votes of numbered shingles."""
+    votes = _occurrences(rows, key, array)
     sums = votes.groupBy(key).agg(*[
         F.sum(F.expr(f"(shiftright(s, {b}) & 1L) * 2 - 1")).alias(f"b{b}") for b in range(BITS)])
     bits = reduce(lambda a, b: a.bitwiseOR(b), [
@@ -95,6 +105,22 @@ def _blocks(radius: int) -> Column:
     return F.explode(F.array(*pieces))
 
 
+def _small_pairs(bodies: DataFrame, marks: DataFrame, items: DataFrame, item_marks: DataFrame, similarity: float) -> DataFrame:
+    """``window, item_id, n, hamming`` of the windows that share one of an item's first shingles.
+
+    Of ``m`` numbered shingles a similar window lacks at most ``m - similarity * m``, so it holds one of any
+    subset with one more.
+    """
+    first = (_occurrences(items, "item_id", "h").groupBy("item_id").agg(F.sort_array(F.collect_set("s")).alias("a"))
+             .select("item_id", F.explode(F.slice(
+                 "a", F.lit(1), F.size("a") - F.ceil(F.size("a") * similarity - 1e-9).cast("int") + 1)).alias("s"))
+             .join(item_marks.select("item_id", "n", "k", F.col("fp").alias("item_fp")), "item_id"))
+    held = _occurrences(bodies.dropDuplicates(["window"]), "window", "w")
+    found = held.join(join_side(stored(first, "first")), "s").select("window", "item_id", "n", "k", "item_fp").distinct()
+    return found.join(marks, ["window", "n", "k"]).select(
+        "window", "item_id", "n", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("hamming"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
                  radius: int = RADIUS) -> DataFrame:
     """``doc_id, item_id, similarity, hamming, start, n_words``: documents with a window like a benchmark item.
@@ -114,15 +140,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         _windows(texts, shingles, k).withColumn("k", F.lit(k)) for k in sizes or [SHINGLE]])
     found = stored(found, "windows")
     bodies = stored(found.groupBy("window", "n", "k").agg(F.first("w").alias("w")), "bodies")
-    marks = bodies.select("window", "n", "k").join(_fingerprints(bodies.select("window", "w"), "window", "w"), "window")
+    once = bodies.dropDuplicates(["window"]).select("window", "w")  # one text may be a window of several sizes
+    marks = stored(bodies.select("window", "n", "k").join(_fingerprints(once, "window", "w"), "window"), "window-marks")
     item_marks = stored(items.select("item_id", "n", "k").join(_fingerprints(items, "item_id", "h"), "item_id"), "marks")
-    left = marks.select("window", "n", "k", "fp", _blocks(radius).alias("b")).select("window", "n", "k", "fp", "b.*")
-    right = item_marks.select("item_id", "n", "k", "fp", _blocks(radius).alias("b")).select(
+    few = F.col("n") - F.col("k") + 1 < SMALL
+    left = marks.where(~few).select("window", "n", "k", "fp", _blocks(radius).alias("b")).select("window", "n", "k", "fp", "b.*")
+    right = item_marks.where(~few).select("item_id", "n", "k", "fp", _blocks(radius).alias("b")).select(
         "item_id", "n", "k", F.col("fp").alias("item_fp"), "b.*")
     near = (left.join(join_side(right), ["n", "k", "block", "value"])
             .withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
             .where(F.col("hamming") <= radius).select("window", "item_id", "n", "hamming").distinct())
-    near = stored(near, "near")
+    near = stored(near.union(_small_pairs(bodies.where(few), marks, items.where(few), item_marks, similarity)), "near")
     counts = bodies.select("window", "n", F.size("w").alias("total"), F.explode("w").alias("s")) \
         .groupBy("window", "n", "total", "s").agg(F.count(F.lit(1)).alias("c"))
     item_counts = items.select("item_id", F.size("h").alias("item_total"), F.explode("h").alias("s")) \

@@ -246,6 +246,18 @@ def test_contamination(spark, docs, nothing):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_contamination_of_cut_passages(spark):
+    """Passages cut at their end: followed by a run of one word, or by the end of the text."""
+    words = lambda name, n: [f"{name}w{j}" for j in range(n)]
+    items = [(i, words(f"a{i}", 100)) for i in range(60)] + [(i, words(f"b{i}", 9)) for i in range(100, 500)]
+    texts = [(i, w[:90] + ["so"] * 40 if i < 100 else w[:8]) for i, w in items]
+    rows = lambda pairs: [(i, " ".join(w)) for i, w in pairs]
+    found = decontaminate.contaminated(spark.createDataFrame(rows(texts), "doc_id long, text string"),
+                                       spark.createDataFrame(rows(items), "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"], r["similarity"]) for r in found.collect()}
+    assert got == {(i, i, 0.811321 if i < 100 else 0.8) for i, _ in items}
+
+
 def brute_pii(text):
     out = [(m.start(), m.end(), "email") for m in pii.EMAIL.finditer(text)]
     out += [(m.start(), m.end(), "ip") for m in pii.IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
