@@ -6,9 +6,10 @@
 2. A host's pivot is its most frequent tree. Every other tree of the host is
    aligned to it by simple tree matching: the largest order-preserving set of
    node pairs with equal labels under matched parents.
-3. Per host and aligned node, the hash of the node's own text is counted with
-   its smallest and largest value over all pages, a sum that is merged
-   map-side. A node with one value on ``LEAST_PAGES`` pages or more is template, the rest are slots.
+   Nodes the pivot lacks have a place by their labels from the root, over all layouts of the host.
+3. Per host and place, the hash of the node's own text is counted with its
+   smallest and largest value over all pages of different content. A node with one value on ``LEAST_PAGES`` such
+   pages or more is template, the rest are slots.
 4. A slot is content unless its element's role says otherwise (menus, headers,
    footers, sidebars, notices, adverts, forms, comments); where a page marks an
    article or main part, only slots inside count.
@@ -296,11 +297,28 @@ LAYOUT_SCHEMA = ("page_id bigint, url string, host string, mark bigint, shape st
                  " slots array<struct<path:string,place:string,text:string>>")
 
 
+def _label_paths(shape: list) -> dict[str, str]:
+    """The place of every path of a tree by the labels from its root; like siblings are folded, so no two are equal."""
+    out, stack = {}, [(shape, "", b"")]
+    while stack:
+        (label, children), path, above = stack.pop()
+        mark = hashlib.blake2b(above + label.encode("utf-8", "replace"), digest_size=12).digest()
+        out[path] = f"~{mark.hex()}"
+        stack.extend((c, f"{path}/{i}", mark) for i, c in enumerate(children))
+    return out
+
+
+def places(a: list, b: list) -> dict[str, str]:
+    """Place of every path of ``a``: the path of ``b`` it pairs with, else one by its labels."""
+    pairs, same = align(a, b)[1], {label: path for path, label in _label_paths(b).items()}
+    return {path: pairs.get(path, same.get(label, label)) for path, label in _label_paths(a).items()}
+
+
 def _alignments(batches):
     import pyarrow as pa
     for batch in batches:
         rows = [(h, m, p, q) for h, m, a, b in zip(*(c.to_pylist() for c in batch.columns))
-                for p, q in align(json.loads(a), json.loads(b))[1].items()]
+                for p, q in places(json.loads(a), json.loads(b)).items()]
         columns = list(zip(*rows)) if rows else [(), (), (), ()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()),
@@ -312,19 +330,21 @@ def induce(read: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
 
     ``mark`` is the hash of the page's folded tree. Ties for the pivot go to the smaller mark.
     """
-    seen = stored(read.select("host", "mark", "shape", F.explode_outer(F.arrays_zip("paths", "hashes")).alias("n"))
+    different = (read.select("host", "mark", "paths", "hashes", F.xxhash64("slots.text").alias("body"))
+                 .dropDuplicates(["host", "mark", "body"]))  # copies of a page say nothing of its layout
+    seen = stored(different.select("host", "mark", F.explode_outer(F.arrays_zip("paths", "hashes")).alias("n"))
                   .groupBy("host", "mark", F.col("n.paths").alias("path"))
-                  .agg(F.count(F.lit(1)).alias("pages"), F.min("n.hashes").alias("low"), F.max("n.hashes").alias("high"),
-                       F.first("shape").alias("shape")), "layouts")
-    shapes = seen.groupBy("host", "mark").agg(F.first("shape").alias("shape"), F.max("pages").alias("pages"))
+                  .agg(F.count(F.lit(1)).alias("pages"), F.min("n.hashes").alias("low"), F.max("n.hashes").alias("high")), "layouts")
+    shapes = (seen.groupBy("host", "mark").agg(F.max("pages").alias("pages"))
+              .join(read.groupBy("host", "mark").agg(F.first("shape").alias("shape")), ["host", "mark"]))
     pivots = shapes.groupBy("host").agg(F.max_by("shape", F.struct("pages", -F.col("mark"))).alias("pivot_shape"))
     pairs = (shapes.join(pivots, "host").select("host", "mark", "shape", "pivot_shape")
              .mapInArrow(_alignments, "host string, mark bigint, path string, pivot string"))
     mark = F.regexp_extract("path", "#[a-z]+$", 0)  # the first and the last of a repeated node go with it
     placed = (seen.where("path is not null").select("host", "mark", "path", "pages", "low", "high", mark.alias("place"),
                                                     F.regexp_replace("path", "#[a-z]+$", "").alias("node"))
-              .join(pairs.withColumnRenamed("path", "node"), ["host", "mark", "node"])
-              .withColumn("pivot", F.concat("pivot", "place")))
+              .join(pairs.withColumnRenamed("path", "node"), ["host", "mark", "node"], "left")
+              .withColumn("pivot", F.concat(F.coalesce("pivot", F.concat(F.lit("~"), "mark", F.lit(":"), "node")), "place")))
     fixed = (placed.groupBy("host", "pivot")
              .agg(F.sum("pages").alias("pages"), F.min("low").alias("low"), F.max("high").alias("high"))
              .where((F.col("pages") >= least_pages) & (F.col("low") == F.col("high"))))

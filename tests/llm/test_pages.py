@@ -35,3 +35,21 @@ def test_alignment_matches_the_largest_common_tree():
 def test_copies_of_one_page_are_not_template(spark):
     pages = spark.createDataFrame([(i, "http://a.example/x", page("<p>One article</p>")) for i in range(8)], "page_id long, url string, html string")
     assert {r["text"] for r in extract.extract(pages).collect()} == {"Same line on every page\n\nOne article"}
+
+
+def texts_of(spark, bodies):
+    rows = [(i, "http://a.example/x", f"<html><body>{b}</body></html>") for i, b in enumerate(bodies)]
+    return [r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+            .orderBy("page_id").collect()]
+
+
+def test_copies_beside_other_pages_are_not_template(spark):
+    copy = "<p>Start</p><p>End</p><blockquote>Only here</blockquote>"
+    others = [f"<p>Other {i}</p><p>Rest {i}</p>" for i in range(4)]
+    assert texts_of(spark, [copy] * 8 + others)[:8] == ["Start\n\nEnd\n\nOnly here"] * 8
+
+
+def test_boilerplate_of_a_second_layout_is_template(spark):
+    first = [f"<div class='one'><p>Text {i}</p></div>" for i in range(7)]
+    second = [f"<div class='{'two' if i % 2 else 'three'}'><p>Piece {i}</p></div><section class='x'>Follow us</section>" for i in range(6)]
+    assert texts_of(spark, first + second) == [f"Text {i}" for i in range(7)] + [f"Piece {i}" for i in range(6)]
