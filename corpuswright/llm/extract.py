@@ -14,7 +14,9 @@
    footers, sidebars, notices, adverts, forms, comments); where a page marks an
    article or main part, only slots inside count.
 
-A page whose text would all go keeps its slots by role alone, as pages of one
+A whole name of class, id, role or itemprop gives an element its role; a part of one ("cookie-notice") only where the
+element holds less than half of the page's text and no headline. Where roles leave no block, the slots of all but silent
+elements count. A page whose text would all go keeps its slots by role alone, as pages of one
 article under several addresses look like template.
 """
 
@@ -54,36 +56,60 @@ SCOPES = frozenset("html body table td th ul ol dl button object article section
 _NAME = re.compile(r"[A-Za-z0-9]+")
 
 
+STATES = frozenset("no not has have with without is hide show enable enabled".split())  # "has-sidebar" is no sidebar
+
+
 @lru_cache(maxsize=4096)
-def _own_role(tag: str, marks: str) -> str:
-    words = {w.lower() for w in _NAME.findall(marks)}
-    if tag in SILENT or words & AROUND and tag not in ("html", "body"):
-        return "out"
-    return "in" if tag in ARTICLE or "main" in words else ""
+def _named(marks: str) -> str:
+    """``"whole"`` where a name of an element is one of ``AROUND``, ``"part"`` where only a part of a name is."""
+    names = marks.lower().split()
+    if any(n in AROUND for n in names):
+        return "whole"
+    parts = [_NAME.findall(n) for n in names]
+    return "part" if any(AROUND & set(p) and not STATES & set(p) for p in parts) else ""
 
 
-def _marks(attrs) -> str:
-    """Class, id, role and property of an element; a hidden one counts as a dialog."""
+def _marks(attrs) -> tuple[str, bool, bool]:
+    """Class, id, role and property of an element, whether it is marked as the main part, and whether it is hidden."""
     found = dict(attrs)
     marks = " ".join(str(found.get(k) or "") for k in ("class", "id", "role", "itemprop")).strip()
-    hidden = "hidden" in found or re.search(r"display\s*:\s*none", str(found.get("style") or ""))
-    return f"{marks} dialog".strip() if hidden else marks
+    hidden = "hidden" in found or bool(re.search(r"display\s*:\s*none", str(found.get("style") or "")))
+    main = any(str(found.get(k) or "").strip().lower() == "main" for k in ("id", "role"))
+    return (f"{marks} dialog".strip() if hidden else marks), main, hidden
 
 
 class Node:
-    __slots__ = ("label", "role", "children", "parent", "path", "tag")
+    __slots__ = ("label", "role", "silent", "main", "named", "children", "parent", "path", "tag")
 
-    def __init__(self, tag: str, marks: str, parent: "Node | None"):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, marks: str, parent: "Node | None", main: bool = False, hidden: bool = False):
+        self.tag, self.parent, self.role = tag, parent, ""
         self.label = f"{tag}.{marks}" if marks else tag
-        own = _own_role(tag, marks)
-        if tag == "header" and not (parent and parent.role == "in"):
-            own = "out"
-        above = parent.role if parent else ""
-        self.role = "out" if "out" in (own, above) else own or above
+        self.main = main or tag in ARTICLE
+        self.silent = hidden or tag in SILENT or bool(parent and parent.silent)
+        self.named = _named(marks) if tag not in ("html", "body") else ""
         self.children: list = []
 
 
+def _set_roles(root: Node) -> None:
+    """Gives every node its role: names by parts count where the element's share of the text is small."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if not isinstance(c, str))
+    size, headed = {}, {}
+    for node in reversed(order):  # children first
+        below = [c for c in node.children if not isinstance(c, str)]
+        plain = not (node.silent or node.named == "whole")
+        size[id(node)] = plain and sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(size[id(c)] for c in below)
+        headed[id(node)] = plain and (node.tag == "h1" or any(headed[id(c)] for c in below))
+    for node in order:
+        above = node.parent.role if node.parent else ""
+        out = (node.silent or node.named == "whole" or node.tag == "header" and above != "in"
+               or node.named == "part" and 2 * size[id(node)] < size[id(root)] and not headed[id(node)])
+        node.role = "out" if out or above == "out" else "in" if node.main else above
+
+
 class Tree(HTMLParser):
     """Builds nodes and text; unclosed and stray tags are repaired as browsers do in the common cases."""
 
@@ -97,7 +123,8 @@ class Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         while self.at.parent and tag in CLOSED_BY.get((block := self._block()).tag, ()):
             self.at = block.parent
-        node = Node(tag, _marks(attrs) if attrs else "", self.at)
+        marks, main, hidden = _marks(attrs) if attrs else ("", False, False)
+        node = Node(tag, marks, self.at, main, hidden)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -130,6 +157,7 @@ def parse(html: str) -> Node:
     tree = Tree()
     tree.feed(html)
     tree.close()
+    _set_roles(tree.root)
     return tree.root
 
 
@@ -258,9 +286,9 @@ def content(found: list[tuple[Node, str]]) -> list[tuple[str, str, str]]:
     for node, text in found:
         k = seen[node.path] = seen.get(node.path, 0) + 1
         place = FIRST if k == 1 else LAST if k == count[node.path] else ""
-        placed.append((node.role, node.path, node.path + place if count[node.path] > 1 else node.path, text))
-    allowed = [x for x in placed if x[0] != "out"]
-    return [x[1:] for x in [x for x in allowed if x[0] == "in"] or allowed]
+        placed.append((node.role, node.silent, node.path, node.path + place if count[node.path] > 1 else node.path, text))
+    allowed = [x for x in placed if x[0] != "out"] or [x for x in placed if not x[1]]
+    return [x[2:] for x in [x for x in allowed if x[0] == "in"] or allowed]
 
 
 FIRST, LAST = "#first", "#last"

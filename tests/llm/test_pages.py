@@ -53,3 +53,20 @@ def test_boilerplate_of_a_second_layout_is_template(spark):
     first = [f"<div class='one'><p>Text {i}</p></div>" for i in range(7)]
     second = [f"<div class='{'two' if i % 2 else 'three'}'><p>Piece {i}</p></div><section class='x'>Follow us</section>" for i in range(6)]
     assert texts_of(spark, first + second) == [f"Text {i}" for i in range(7)] + [f"Piece {i}" for i in range(6)]
+
+
+def kept(body):
+    return [t for _, _, t in extract.content(extract.layout(f"<html><body>{body}</body></html>")[2])]
+
+
+def test_one_class_word_does_not_take_the_article():
+    text = "<h1>Head</h1><p>A long article of many words.</p>"
+    for name in ("has-sidebar", "no-comments", "site right-sidebar", "search-results", "sidebar"):
+        assert kept(f"<div class='{name}'>{text}</div>") == ["Head", "A long article of many words."], name
+    assert kept("<div class='article-header'><h1>Head</h1></div><p>A long article of many words.</p>") == [
+        "Head", "A long article of many words."]
+    assert kept("<div><h1 class='main-title'>Head</h1><p>Text</p></div>") == ["Head", "Text"]
+    assert kept("<div role='main'><p>Text</p></div><p>Around</p>") == ["Text"]
+    assert kept(f"{text}<div class='page-footer'>Foot</div><div class='comments'>Nice</div><nav>Menu</nav>") == [
+        "Head", "A long article of many words."]
+    assert kept("<nav>Menu</nav>") == []
