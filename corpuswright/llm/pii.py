@@ -3,10 +3,10 @@
 The field scores whole candidate segments of a text: a segment's features are
 its shape, its length, its type's own test (checksum, parts, digits) and the
 words beside it. A dynamic program over the candidates of a cluster picks
-boundaries and types together, at most ``MOST`` entities to a cluster. Clusters are the stretches of
-a text that hold a digit, an at sign or a cue word, parted where ``APART`` plain
-characters stand between; all segments in a cluster are finite in number because a
-segment has at most ``LONGEST`` pieces.
+boundaries and types together. Clusters are the stretches of
+a text that hold a digit or an at sign, with the letter groups after the head of a spaced IBAN, parted where ``APART`` plain
+characters stand between; a colon parts pieces, a bracket is a piece. Long clusters are cut only where no segment can
+cross, which changes no result. A segment has at most ``LONGEST`` pieces.
 
 Weights are trained here by maximum likelihood (forward-backward over the same
 segments) on sentences made from formats of each type and look-alikes that are
@@ -34,8 +34,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 ADDED = ("iban", "ssn", "mac", "birth")  # further types only the field finds
 TYPES = KINDS + ADDED
-LONGEST = 9       # pieces of a segment
-MOST = 64         # entities of a cluster; a longer cluster is cut into parts of so many pieces
+LONGEST = 13      # pieces of a segment, brackets included
+WIDEST = 64       # characters of a segment of several pieces
+MOST = 64         # pieces after which a cluster is cut at the next gap that no segment crosses
 APART = 12
 TRAINING = 600    # made sentences; the bound of the training set
 PIECE = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+@:/()-")
@@ -178,19 +179,35 @@ def features(kind: str, text: str, start: int, end: int) -> tuple[str, ...]:
             f"{kind}|joined={any(c in span for c in ' -().')}")
 
 
+_UNIT = re.compile(r"[()]|[^():]+")
+_SPACED_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{1,4}(?![A-Za-z0-9]))+")
+_LETTERS = re.compile(r"(?<= )[A-Z]+(?![A-Z0-9])")
+
+
+def _units(text: str):
+    """Pieces parted at colons and brackets, marks at their edges cut off, and the letter groups of spaced IBANs, in order."""
+    letters = [(m.start() + g.start(), m.start() + g.end()) for m in _SPACED_IBAN.finditer(text) for g in _LETTERS.finditer(m.group())]
+    letters.reverse()  # the next one last
+    for first, last in _pieces(text):
+        while letters and letters[-1][0] < first:
+            yield letters.pop()
+        for unit in _UNIT.finditer(text, first, last):
+            start, end = unit.span()
+            while end > start and text[end - 1] in ".,;-_/%":
+                end -= 1
+            while end > start and text[start] in ".,;-_/%":
+                start += 1
+            if end > start:
+                yield start, end
+    yield from reversed(letters)
+
+
 def clusters(text: str) -> list[list[tuple[int, int]]]:
-    """Pieces with a digit or an at sign, grouped where little stands between; trailing marks are cut off."""
+    """Pieces grouped where little stands between."""
     out: list[list[tuple[int, int]]] = []
-    for start, end in _pieces(text):
-        while end > start and text[end - 1] in ".,:;-_/%":
-            end -= 1
-        while end > start and text[start] in ".,:;-_/%)":
-            start += 1
-        while end > start and text[end - 1] == ")" and "(" not in text[start:end]:
-            end -= 1
-        if end == start:
-            continue
-        if out and start - out[-1][-1][1] <= APART and len(out[-1]) < MOST:
+    for start, end in _units(text):
+        gap = start - out[-1][-1][1] if out else APART + 1
+        if gap <= 1 or gap <= APART and len(out[-1]) < MOST:
             out[-1].append((start, end))
         else:
             out.append([(start, end)])
@@ -202,7 +219,7 @@ def segments(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int, s
     out = []
     for i in range(len(pieces)):
         for j in range(i, min(len(pieces), i + LONGEST)):
-            if j > i and pieces[j][0] - pieces[j - 1][1] > 1:
+            if j > i and (pieces[j][0] - pieces[j - 1][1] > 1 or pieces[j][1] - pieces[i][0] > WIDEST):
                 break
             for kind in TYPES:
                 if found := features(kind, text, pieces[i][0], pieces[j][1]):

@@ -298,6 +298,18 @@ def test_field_finds_held_out_formats():
     assert hit / true > 0.85 and hit / told > 0.85
 
 
+def test_field_finds_joined_and_late_spans():
+    weights = pii.train()
+    for before, value, after, kind in [
+            ("SSN:", "123-45-6789", "", "ssn"), ("IBAN:", "DE89370400440532013000", "", "iban"), ("dob:", "1980-01-02", "", "birth"),
+            ("ssn (", "123-45-6789", ")", "ssn"), ("iban ", "GB29 NWBK 6016 1331 9268 19", " paid", "iban"),
+            ("mac ", "0a:bb:cc:dd:ee:f1", "", "mac"), ("call ", "(030) 1234-5678", "", "phone")]:
+        assert (len(before), len(before) + len(value), kind) in pii.find_spans(before + value + after, weights)[1], value
+    for n in range(58, 70):
+        text = "7, " * n + "iban DE89 3704 0044 0532 0130 00 and"
+        assert (3 * n + 5, 3 * n + 32, "iban") in pii.find_spans(text, weights)[1], n
+
+
 def test_marks_bound_what_sets_share():
     rng = np.random.default_rng(3)
     for _ in range(200):
