@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (arrow_ids, bpe, decontaminate, extract, language_model, licenses, ngram_join, pii, quality,
-               suffix_dedup)
+from . import (arrow_ids, bpe, decontaminate, divergence, extract, language_model, licenses, mixing, ngram_join, oracles, pii,
+               prefix_trie, quality, suffix_dedup)
 
 JOINED = "array_join(transform({c}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"  # in the operator's order
 
@@ -60,7 +60,22 @@ def op10_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.linked(spark.read.parquet(f"{folder}/documents.parquet"))
 
 
+def op11_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.plan(spark.read.parquet(f"{folder}/documents.parquet")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{folder}/conversations.parquet")).drop("ref_conv", "ref_pos", "ref_turn")
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_html_extraction, op2_license_scan, op3_quality_rules, op4_arrow_token_ids, op5_bpe_round_trip,
-                            op6_suffix_dedup, op7_lm_scoring, op8_decontamination, op9_pii, op10_ngram_join)}
-ORACLES: dict[str, str] = {}
+                            op6_suffix_dedup, op7_lm_scoring, op8_decontamination, op9_pii, op10_ngram_join,
+                            op11_source_mixing, op12_prefix_trie, op13_source_divergence)}
+ORACLES: dict[str, str] = {"op11_source_mixing": oracles.SOURCE_MIXING, "op12_prefix_trie": oracles.PREFIX_TRIE,
+                           "op13_source_divergence": oracles.SOURCE_DIVERGENCE}
