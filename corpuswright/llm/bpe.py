@@ -20,14 +20,15 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import text_rows
+from .common import kept_in_process, text_rows
 
 # Fixed value: the pre-token pattern of the vocabulary, white space written as the Unicode property.
 PRE_TOKENS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
               r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 NONE = np.int64(1) << np.int64(62)
 SHORT = 64          # bytes; longer words have a tree of their own
-CACHED = 600_000    # units kept per task
+CACHED = 96 << 20   # bytes of units a worker process keeps, with what Python needs for them
+ENTRY = 170         # bytes of an entry beside its text and ids
 TOGETHER = 256      # texts encoded together
 
 
@@ -203,21 +204,30 @@ class Units:
         self.spaced: dict[str, bytes] = {}  # ids of a blank and the word
         self.heads: dict[str, bytes] = {}
         self.again: set[str] = set()
+        self.held = {"": 0, " ": 0}
 
     def _learn(self, missing: set[str], known: dict[str, bytes], lead: str) -> None:
         marked = {u: u[:-1] for u in missing if u and u[-1] in MARKS and u[:-1].isalpha()}
         new = [u for u in (missing - marked.keys()) | set(marked.values()) if u not in known]
         known.update(zip(new, self.encode([lead + u for u in new])))
         known.update((u, known[word] + self.marks[u[-1]]) for u, word in marked.items())
+        self.held[lead] += self._bytes(known, {*new, *marked})
+
+    @staticmethod
+    def _bytes(known: dict[str, bytes], units) -> int:
+        return sum(2 * len(u) + len(known[u]) + ENTRY for u in units)
 
     def _room(self) -> None:
-        """Keeps the words met in more than one batch; none if these alone fill the cache."""
-        if len(self.spaced) > self.cached:
-            lasting = self.again if len(self.again) <= self.cached * 3 // 4 else set()
-            self.spaced = {u: i for u, i in self.spaced.items() if u in lasting}
-            self.again &= lasting
-        if len(self.heads) > self.cached // 4:
+        """Keeps the words met in more than one batch; none if these alone fill most of the cache."""
+        if self.held[" "] > self.cached * 3 // 4:
+            lasting = {u for u in self.again if u in self.spaced}
+            if self._bytes(self.spaced, lasting) > self.cached // 2:
+                lasting = set()
+            self.spaced = {u: self.spaced[u] for u in lasting}
+            self.again, self.held[" "] = lasting, self._bytes(self.spaced, lasting)
+        if self.held[""] > self.cached // 4:
             self.heads.clear()
+            self.held[""] = 0
 
     def texts(self, texts: list[str]) -> list[bytes]:
         self._room()
@@ -260,16 +270,6 @@ _UNCLEAR = re.compile(r"\s(?:\s|\Z)")
 _BREAK = re.compile(r" (?=\S)")
 
 
-def kept_in_process(name: str, make: Callable[[], object]) -> object:
-    """The object a worker process made under ``name`` before, so that its next task finds the caches warm."""
-    import sys
-    import types
-    shelf = sys.modules.setdefault("_corpuswright_kept", types.ModuleType("_corpuswright_kept"))
-    if not hasattr(shelf, name):
-        setattr(shelf, name, make())
-    return getattr(shelf, name)
-
-
 def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, ids`` of every row; ``ids`` are little-endian 32-bit integers as binary.
 
@@ -277,39 +277,40 @@ def encode(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     as the tokenizers library has it; repeated rows repeat; an empty table gives
     no rows.
     """
-    content = open(tokenizer or vocabulary_file(), encoding="utf-8").read()
-    mark = zlib.crc32(content.encode())
-
-    def run(batches):
-        import pyarrow as pa
-        words = kept_in_process(f"words_{mark}", lambda: Vocabulary(content))
-        units = kept_in_process(f"tree_{mark}", lambda: Units(
-            words.encode_units, {t: np.array([i], "<u4").tobytes() for t, i in words.special.items()}))
-        for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part = batch.slice(at, TOGETHER)
-                ids = units.texts(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "n_tokens", "ids"])
-
-    return text_rows(docs).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    return text_rows(docs).mapInArrow(_task(tokenizer, True, False), "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Adds ``decoded``, the text of ``ids``; null ids give a null. Special tokens are written out."""
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(
+        _task(tokenizer, False, True), "doc_id bigint, n_tokens bigint, ids binary, decoded string")
+
+
+def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one task: a core needs one worker and one vocabulary, not two."""
+    return text_rows(docs).mapInArrow(_task(tokenizer, True, True), "doc_id bigint, n_tokens bigint, ids binary, decoded string")
+
+
+def _task(tokenizer: str | None, encoding: bool, decoding: bool):
     content = open(tokenizer or vocabulary_file(), encoding="utf-8").read()
     mark = zlib.crc32(content.encode())
-    rows = encoded.select("doc_id", "n_tokens", "ids")
 
     def run(batches):
         import pyarrow as pa
         words = kept_in_process(f"words_{mark}", lambda: Vocabulary(content))
+        units = kept_in_process(f"tree_{mark}", lambda: Units(
+            words.encode_units, {t: np.array([i], "<u4").tobytes() for t, i in words.special.items()})) if encoding else None
+        names = ["doc_id", "n_tokens", "ids", "decoded"]
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
-                texts = [None if i is None else words.decode(i) for i in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())],
-                                                 names=["doc_id", "n_tokens", "ids", "decoded"])
-
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded string")
+                if encoding:
+                    ids = units.texts(part.column(1).to_pylist())
+                    columns = [part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
+                else:
+                    ids, columns = part.column(2).to_pylist(), list(part.columns)
+                if decoding:
+                    columns.append(pa.array([None if i is None else words.decode(i) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=names[:len(columns)])
+
+    return run

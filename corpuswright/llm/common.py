@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -49,6 +51,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return materialise(df, f"llm-{name}")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def kept_in_process(name: str, make: Callable[[], object]) -> object:
+    """The object a worker process made under ``name`` before, so that its next task finds the caches warm."""
+    import sys
+    import types
+    shelf = sys.modules.setdefault("_corpuswright_kept", types.ModuleType("_corpuswright_kept"))
+    if not hasattr(shelf, name):
+        setattr(shelf, name, make())
+    return getattr(shelf, name)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply)."""
     x = x.astype(np.uint64, copy=True)
@@ -85,4 +109,4 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
-__all__ = ["SPACES", "text_rows", "words", "window_hashes", "join_side", "stored", "mix", "components", "shared_folder"]
+__all__ = ["SPACES", "text_rows", "words", "window_hashes", "join_side", "stored", "fresh", "kept_in_process", "mix", "components", "shared_folder"]

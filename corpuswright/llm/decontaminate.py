@@ -24,7 +24,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import join_side, stored, text_rows, window_hashes
+from .common import fresh, join_side, stored, text_rows, window_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -56,7 +56,7 @@ def _hashed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, shingles: DataFrame, k: int) -> DataFrame:
-    """``doc_id, start, n, window, w``: every candidate window of ``k``-word shingles, by diagonal.
+    """``doc_id, body, start, n, window, w``: every candidate window of ``k``-word shingles, by diagonal.
 
     The outer explode keeps Spark from deriving a filter on the whole hash
     expression and pushing it below the columns it shares. The first scan finds the diagonals, the second reads the windows of the few
@@ -70,12 +70,12 @@ def _windows(docs: DataFrame, shingles: DataFrame, k: int) -> DataFrame:
         join_side(hits.withColumnRenamed("doc_id", "_doc")),
         F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_body") == F.col("body")))
     found = found.withColumn("_w", _words(F.col("text"))).drop("text")
-    found = window_hashes(found, "_w", k, "h").select("doc_id", "h", F.explode("hits").alias("hit"))
+    found = window_hashes(found, "_w", k, "h").select("doc_id", "body", "h", F.explode("hits").alias("hit"))
     first = F.greatest(F.col("hit.from"), F.lit(0))
     length = F.least(F.col("hit.from") + F.col("hit.n") - (k - 1), F.size("h")) - first
-    return (found.select("doc_id", F.col("hit.n").alias("n"), first.cast("bigint").alias("start"),
+    return (found.select("doc_id", "body", F.col("hit.n").alias("n"), first.cast("bigint").alias("start"),
                          F.slice("h", first + 1, length).alias("w"))
-            .groupBy("doc_id", "n", "start", F.xxhash64("w").alias("window")).agg(F.first("w").alias("w")))
+            .groupBy("doc_id", "body", "n", "start", F.xxhash64("w").alias("window")).agg(F.first("w").alias("w")))
 
 
 def _occurrences(rows: DataFrame, key: str, array: str) -> DataFrame:
@@ -127,11 +127,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     One row per document and item: the most similar window, the first of equal
     ones; ``start`` counts words from 0. Null and empty texts hold no window,
-    rows that repeat a document give its result once, a null ``doc_id`` is kept as
-    one, items without words are ignored and two items of one text are both
+    rows that repeat a document give its result once, all rows without ``doc_id`` count as
+    one document, items without words are ignored and two items of one text are both
     reported. An empty table on either side gives no rows. A window cut off by
     the document's end is compared as it is.
     """
+    rows = _similar(docs, benchmark, similarity, radius)
+    best = F.max_by(F.struct("similarity", "hamming", "start", "n"),
+                    F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("hamming")).alias("h")))
+    return rows.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
+        "doc_id", "item_id", "best.similarity", F.col("best.hamming").cast("bigint").alias("hamming"),
+        "best.start", F.col("best.n").cast("bigint").alias("n_words"))
+
+
+def _similar(docs: DataFrame, benchmark: DataFrame, similarity: float, radius: int) -> DataFrame:
+    """``doc_id, body, start, n, item_id, hamming, similarity``: every window like an item; ``body`` is a hash of the row's text."""
     items = stored(_items(benchmark), "items")
     shingles = stored(items.select("n", "k", F.posexplode("h").alias("place", "h")).distinct(), "shingles")
     sizes = sorted(r["k"] for r in shingles.select("k").distinct().collect())  # at most five
@@ -161,15 +171,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
              .withColumn("similarity", F.col("both") / (F.col("total") + F.col("item_total") - F.col("both")))
              .where(F.col("similarity") >= similarity)
              .select("window", "n", "item_id", "hamming", F.round("similarity", 6).alias("similarity")))
-    rows = found.select("doc_id", "start", "n", "window").join(join_side(stored(exact, "exact")), ["window", "n"])
-    best = F.max_by(F.struct("similarity", "hamming", "start", "n"),
-                    F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("hamming")).alias("h")))
-    return rows.groupBy("doc_id", "item_id").agg(best.alias("best")).select(
-        "doc_id", "item_id", "best.similarity", F.col("best.hamming").cast("bigint").alias("hamming"),
-        "best.start", F.col("best.n").cast("bigint").alias("n_words"))
+    return found.select("doc_id", "body", "start", "n", "window").join(join_side(stored(exact, "exact")), ["window", "n"])
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no window like a benchmark item.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
-    """The rows of ``docs`` without those that :func:`contaminated` names; a row without ``doc_id`` is judged as one."""
-    bad = contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(join_side(stored(bad, "bad")), F.col("doc_id").cast("bigint").eqNullSafe(F.col("_bad")), "left_anti")
+    Rows are told apart by ``doc_id`` and a hash of their text: of rows that share an id, or have none, only those with a
+    window go. Null and empty texts stay; an empty benchmark removes nothing.
+    """
+    doc, body = fresh(docs, "doc", "body")
+    bad = _similar(docs, benchmark, similarity, radius).select(F.col("doc_id").alias(doc), F.col("body").alias(body)).distinct()
+    same = (F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(body)))
+    return docs.join(join_side(stored(bad, "bad")), same, "left_anti")

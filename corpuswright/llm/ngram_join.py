@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import components, join_side, mix, stored, text_rows
+from .common import components, fresh, join_side, mix, stored, text_rows
 from .hashing import block_rows, shingle_sets, summed_cells
 
 SHINGLE = 3
@@ -50,7 +50,7 @@ def _digests(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, l
 def _survey(shingle: int):
     def run(batches):
         import pyarrow as pa
-        names = ["doc_id", "n", "digest", "block", "counts"]
+        names = ["doc_id", "body", "n", "digest", "block", "counts"]
         cells = np.zeros(CELLS, np.int64)
         for batch in batches:
             texts = _texts(batch.column(1))
@@ -62,12 +62,12 @@ def _survey(shingle: int):
                 digests.extend(keys)
             m = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         used, counts = block_rows(cells)
         m = len(used)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(used, pa.int32()),
+            [pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(used, pa.int32()),
              pa.array(counts, pa.binary())], names=names)
     return run
 
@@ -191,15 +191,16 @@ def _shared(keys: DataFrame, percent: int) -> DataFrame:
 
 
 def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """``(rows, edges)``: each row's ``doc_id, n, digest, node``, and node pairs that connect the linked nodes.
+    """``(rows, edges)``: each row's ``doc_id, body, n, digest, node`` (``body`` is a hash of its text), and node pairs that connect the linked nodes.
 
     Nodes are distinct sets. Edges are verified links; of the links inside a
     component that others already connect, not all are listed. Every linked pair ends up in
     one component. Empty sets have no node.
     """
     texts = text_rows(docs)
-    survey = stored(texts.mapInArrow(_survey(shingle), "doc_id bigint, n bigint, digest binary, block int, counts binary"), "survey")
-    rows = survey.where("block is null").select("doc_id", "n", "digest")
+    survey = stored(texts.withColumn("body", F.xxhash64("text")).mapInArrow(
+        _survey(shingle), "doc_id bigint, body bigint, n bigint, digest binary, block int, counts binary"), "survey")
+    rows = survey.where("block is null").select("doc_id", "body", "n", "digest")
     # A table of CELLS counts, a fixed size whatever the corpus.
     cells = np.minimum(summed_cells(survey, CELLS), np.iinfo(np.int32).max).astype(np.int32)
     often = int(2 * cells.mean()) + OFTEN
@@ -263,13 +264,21 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row of each component of ``docs``, the one with the smallest ``doc_id``; rows alone stay.
+    """One row of each component of ``docs``, with all columns: the one with the smallest ``doc_id`` (null last), then
+    the smallest hash of its text.
 
-    Of rows that repeat that ``doc_id`` one stays, the first by text.
+    A row is told apart by ``doc_id`` and text, so rows that share an id go or stay each for itself; of rows equal in
+    both one stays. Rows without words (null, empty, white space) are linked with nothing and all stay. An empty
+    table gives no rows.
     """
-    found = linked(docs, shingle, percent)
-    ids = stored(found.where("n_shingles > 0 and doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    alone = stored(found.where("n_shingles = 0 or component_id is null").select(F.col("doc_id").alias("_id")).distinct(), "alone")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_id"))
-    kept = docs.join(join_side(ids), same, "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.join(join_side(alone), same, "left_semi").join(join_side(ids), same, "left_anti"))
+    rows, edges = links(docs, shingle, percent)
+    rows = stored(rows.where("node is not null").select("doc_id", "body", "node"), "rows")
+    placed = rows.join(components(edges), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("first")
+    doc, body, kept_doc, kept_body = fresh(docs, "doc", "body", "kept_doc", "kept_body")
+    kept = stored(placed.groupBy("c").agg(first).select(F.col("first.doc_id").alias(kept_doc), F.col("first.body").alias(kept_body)), "kept")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    told = docs.withColumns({doc: F.col("doc_id").cast("bigint"), body: F.xxhash64(text)})
+    worded = text.rlike(r"[^ \t-\r]")
+    chosen = told.where(worded).join(join_side(kept), F.col(doc).eqNullSafe(F.col(kept_doc)) & (F.col(body) == F.col(kept_body)), "left_semi")
+    return chosen.dropDuplicates([doc, body]).unionByName(told.where(~worded)).drop(doc, body)
