@@ -25,12 +25,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import join_side, stored
+from .common import join_side, kept_in_process, stored
 
 LEAST_PAGES = 5
 # Elements whose text is never part of an article.
@@ -59,8 +58,20 @@ _NAME = re.compile(r"[A-Za-z0-9]+")
 STATES = frozenset("no not has have with without is hide show enable enabled".split())  # "has-sidebar" is no sidebar
 
 
-@lru_cache(maxsize=4096)
+NAMES_KEPT = 4096
+
+
 def _named(marks: str) -> str:
+    """:func:`_role` through a bounded cache of the worker process; a decorated function would not travel with its code."""
+    known = kept_in_process("element-names", dict)
+    if marks not in known:
+        if len(known) >= NAMES_KEPT:
+            known.clear()
+        known[marks] = _role(marks)
+    return known[marks]
+
+
+def _role(marks: str) -> str:
     """``"whole"`` where a name of an element is one of ``AROUND``, ``"part"`` where only a part of a name is."""
     names = marks.lower().split()
     if any(n in AROUND for n in names):

@@ -12,11 +12,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .common import text_rows
+from .common import kept_in_process, text_rows
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -156,7 +155,6 @@ def _loose(pattern: str) -> str:
     return re.sub(r"(\[[^\]]*\])| ", lambda m: m.group(1) or r"\s+", pattern)
 
 
-@lru_cache(maxsize=1)
 def _machine():
     import ahocorasick
     table = [(r, re.compile(_loose(r.pattern)), "under" if r.kind == "notice" else "") for r in rules()]
@@ -191,7 +189,7 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 def scan(text: str) -> tuple:
     """Counts, places, labels, detections and score of one text."""
-    table, automaton, base = _machine()
+    table, automaton, base = kept_in_process("license-rules", _machine)
     low = text.lower() if text.isascii() else _ascii_lower(text)
     n_words = _count_words(low)
     places = [(m.start(), label) for pattern, label in base for m in pattern.finditer(low)] \
