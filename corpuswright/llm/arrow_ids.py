@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import new_table_path
-from .bpe import TOGETHER, Units, kept_in_process, vocabulary_file
-from .common import join_side, stored, text_rows
+from .bpe import TOGETHER, Units, vocabulary_file
+from .common import join_side, kept_in_process, stored, text_rows
 
 LENGTH = 1024
 ROWS = 128
@@ -145,7 +145,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, length: int = LENGT
     """Writes all texts and returns the index: ``part, file, doc_id, start, place, n_tokens``.
 
     ``start`` counts the ids of all documents before, ``place`` those before in
-    the file. Order is by ``doc_id``, nulls first, then text; null and empty texts give the end id
+    the file. Order is by ``doc_id``, nulls first, then a hash of the text; null and empty texts give the end id
     alone; repeated rows repeat; an empty table gives no files.
     """
     content = open(tokenizer or vocabulary_file(), encoding="utf-8").read()
@@ -190,7 +190,9 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, length: int = LENGT
             writer.close()
             sink.close()
 
-    ordered = text_rows(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # A hash of the text parts rows that share an id, or have none; equal rows may stand in any order.
+    keyed = text_rows(docs).withColumn("body", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "body").sortWithinPartitions("doc_id", "body").drop("body")
     index = stored(ordered.mapInArrow(run, "part int, file string, doc_id bigint, place bigint, n_tokens bigint"), "ids-index")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     totals = (index.groupBy("part").agg(F.sum("n_tokens").alias("ids"))

@@ -29,9 +29,7 @@ def op4_arrow_token_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    tokenizer = bpe.vocabulary_file()
-    encoded = bpe.encode(spark.read.parquet(f"{folder}/documents.parquet"), tokenizer)
-    return bpe.decode(encoded, tokenizer).select(
+    return bpe.round_trip(spark.read.parquet(f"{folder}/documents.parquet")).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
