@@ -34,8 +34,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text and the text they decode to, with digests."""
-    tokenizer = bpe.vocabulary_file()
-    return bpe.decode(bpe.encode(docs, tokenizer), tokenizer).select(
+    return bpe.round_trip(docs).select(
         "doc_id", "n_tokens", "ids", "decoded", F.sha2("ids", 256).alias("ids_sha256"))
 
 
@@ -45,7 +44,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what one stage keeps is written and read by the next."""
+    """All stages over ``documents``; what one stage keeps is written and read by the next.
+
+    Rows are told apart by ``doc_id`` and text, null ids and texts included; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
