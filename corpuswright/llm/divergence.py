@@ -22,7 +22,8 @@ from .common import join_side, stored
 BETWEEN_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # all of ASCII but letters
 SCALE = 1_000_000_000
 SMOOTHING = 5
-STEP = 1 << 23  # bytes of text counted together; a longer text comes alone and whole
+STEP = 1 << 24  # bytes of text counted together; a longer text comes alone and whole
+WAITING = 1 << 20  # counts a task merges before it hands them on
 TILE = 256  # sources of a tile, on average
 BLOCK = 2048  # terms of a block, on average
 SALTS = 32
@@ -39,7 +40,25 @@ def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term of each group, one row a step of texts."""
+    """Occurrences and documents of each term of each group, added up over the task's texts."""
+    waiting: list[pa.Table] = []
+
+    def merged() -> pa.Table:
+        summed = pa.concat_tables(waiting).group_by(["lang", "source", "term"], use_threads=False).aggregate(
+            [("n", "sum"), ("docs", "sum")])
+        return summed.select(["lang", "source", "term", "n_sum", "docs_sum"]).rename_columns(["lang", "source", "term", "n", "docs"])
+
+    for rows in _counted(batches):
+        waiting.append(pa.Table.from_batches([rows]))
+        if sum(map(len, waiting)) > 2 * WAITING:
+            waiting = [merged()]
+            if len(waiting[0]) > WAITING:
+                yield from waiting.pop().to_batches()
+    if waiting:
+        yield from merged().to_batches()
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _steps(batch):
             lists = pc.split_pattern_regex(pc.ascii_lower(part.column("text")), BETWEEN_TERMS)
@@ -54,7 +73,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             langs, sources = (part.column(c).dictionary_encode() for c in ("lang", "source"))
             group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
             key, n = np.unique(group[doc] * size + term, return_counts=True)
-            once = np.unique(doc * size + term)  # a document counts once
+            once = np.sort(doc * size + term)
+            once = once[np.r_[True, once[1:] != once[:-1]]]  # a document counts once
             held = np.unique(group[once // size] * size + once % size, return_counts=True)[1]
             place = key // size
             yield pa.RecordBatch.from_arrays([
