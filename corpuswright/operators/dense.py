@@ -171,6 +171,12 @@ def probe_cells(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFr
         queries.select("query_id", "vector"), "query_id")
 
 
+def probed(queries: DataFrame, centroids: DataFrame, nprobe: int) -> list[int]:
+    """All cells any query probes, at most as many as there are centroids."""
+    probes = probe_cells(finite_vectors(queries, "vector"), centroids, nprobe)
+    return sorted(r["cell"] for r in probes.select("cell").distinct().collect() if r["cell"] is not None)
+
+
 def ivf_topk(docs: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, nprobe: int = 10,
              **options) -> DataFrame:
     """Top-k inside the ``nprobe`` nearest cells; ``docs(chunk_id, vector, cell)``.
@@ -184,11 +190,19 @@ def ivf_topk(docs: DataFrame, queries: DataFrame, centroids: DataFrame, k: int,
     return vector_topk(finite_vectors(docs.filter(F.col("cell").isin(wanted)), "vector"), probes, k, **options)
 
 
-def progressive_search(docs: DataFrame, queries: DataFrame, stages: list[tuple[int, int]],
-                       first_k: int = 100) -> DataFrame:
+def progressive_search(docs: DataFrame, queries: DataFrame, stages: list[tuple[int, int]], first_k: int = 100, *,
+                       centroids: DataFrame | None = None, nprobe: int = 10) -> DataFrame:
     """Full-width top ``first_k``, then per stage ``(dims, keep)`` the nearest by L2 on
-    the first ``dims`` components. Returns the last stage's ``(query_id, chunk_id, distance, rank)``."""
-    hits = dense_topk(docs, queries, first_k).select("query_id", "chunk_id")
+    the first ``dims`` components. Returns the last stage's ``(query_id, chunk_id, distance, rank)``.
+
+    With ``centroids`` the first stage looks into the ``nprobe`` nearest cells of ``docs(.., cell)`` only, and the
+    later stages read the folders of probed cells alone."""
+    if centroids is None:
+        hits = dense_topk(docs, queries, first_k)
+    else:
+        docs = docs.filter(F.col("cell").isin(probed(queries, centroids, nprobe)))
+        hits = ivf_topk(docs, queries, centroids, first_k, nprobe)
+    hits = hits.select("query_id", "chunk_id")
     bound = measure(queries).rows * first_k * 64
     small = F.broadcast(hits) if bound <= BROADCAST_BYTES else hits
     current = (docs.select("chunk_id", F.col("vector").alias("__d")).join(small, "chunk_id")

@@ -96,6 +96,26 @@ def hybrid_search(chunks: DataFrame, questions: DataFrame, vectors: DataFrame |
                   scorer=scorer, normalise=normalise)
 
 
+def stored_candidates(collection, questions: DataFrame, question_vectors: DataFrame | None, retrieve_k: int,
+                      nprobe: int | None = None) -> DataFrame:
+    """Dense and sparse arms of a stored collection fused: ``(query_id, chunk_id, score, rank)``."""
+    arms = [collection.sparse_topk(questions, "query_id", "question", retrieve_k)]
+    if question_vectors is not None and collection.vectors is not None:
+        arms.append(collection.dense_topk(question_vectors, retrieve_k, nprobe))
+    return rrf(arms, retrieve_k)
+
+
+def stored_hybrid_search(collection, questions: DataFrame, question_vectors: DataFrame | None = None, *, retrieve_k: int = 50,
+                         final_k: int = 10, nprobe: int | None = None, scorer: Scorer = coverage_scorer,
+                         normalise: bool = False) -> DataFrame:
+    """``hybrid_search`` over a stored collection: postings, vectors and texts all come from one version of it.
+
+    ``nprobe`` limits the dense arm to the nearest cells.
+    """
+    candidates = stored_candidates(collection, questions, question_vectors, retrieve_k, nprobe)
+    return rerank(with_texts(candidates, collection.texts, questions, retrieve_k), final_k, scorer=scorer, normalise=normalise)
+
+
 def preset_search(preset: str, chunks: DataFrame, questions: DataFrame, **options) -> DataFrame:
     retrieve_k, final_k = fixed.SEARCH_PRESETS[preset]
     return hybrid_search(chunks, questions, retrieve_k=retrieve_k, final_k=final_k, **options)
@@ -123,18 +143,22 @@ def union_collections(hits: list[DataFrame]) -> DataFrame:
     return out
 
 
-def multi_collection_search(collections: dict[str, dict[str, DataFrame]], questions: DataFrame,
+def multi_collection_search(collections: dict, questions: DataFrame,
                             question_vectors: DataFrame | None = None, *, retrieve_k: int = 10,
                             final_k: int = 10, scorer: Scorer = coverage_scorer) -> DataFrame:
     """Hybrid search per collection, then one rerank over all hits.
 
-    Every collection gives ``chunks(chunk_id, text, source, page_num)`` and
+    Every collection is a stored one, or gives ``chunks(chunk_id, text, source, page_num)`` and
     optionally ``vectors``. Chunk ids are prefixed with the collection's name.
     """
     parts = []
     for name, data in collections.items():
-        found = hybrid_candidates(data["chunks"], questions, data.get("vectors"), question_vectors, retrieve_k)
-        rows = with_texts(found, data["chunks"], questions, retrieve_k)
+        if isinstance(data, dict):
+            texts = data["chunks"]
+            found = hybrid_candidates(texts, questions, data.get("vectors"), question_vectors, retrieve_k)
+        else:
+            texts, found = data.texts, stored_candidates(data, questions, question_vectors, retrieve_k)
+        rows = with_texts(found, texts, questions, retrieve_k)
         parts.append(rows.select(
             "query_id", "question", F.lit(name).alias("collection"),
             F.concat(F.lit(f"{name}:"), F.col("chunk_id").cast("string")).alias("chunk_id"),
