@@ -12,7 +12,8 @@ from .common import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-CHUNK = 1 << 20  # bytes of text hashed together
+CHUNK = 1 << 18  # bytes of text hashed together
+PIECE = 1 << 20  # bytes of text taken from an Arrow batch at once
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -29,6 +30,18 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def pieces(batches: Iterator, column: int) -> Iterator:
+    """Slices of the batches with about ``PIECE`` bytes in a text column, so that few texts are Python objects at a time."""
+    import pyarrow.compute as pc
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PIECE, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every word between white space, in order."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)

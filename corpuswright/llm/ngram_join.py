@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import components, fresh, join_side, mix, stored, text_rows
-from .hashing import block_rows, shingle_sets, summed_cells
+from .hashing import block_rows, pieces, shingle_sets, summed_cells
 
 SHINGLE = 3
 PERCENT = 90
@@ -52,7 +52,7 @@ def _survey(shingle: int):
         import pyarrow as pa
         names = ["doc_id", "body", "n", "digest", "block", "counts"]
         cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
+        for batch in pieces(batches, 1):
             texts = _texts(batch.column(1))
             sizes, digests = [], []
             for a, b, s, d in shingle_sets(texts, shingle):
@@ -103,7 +103,7 @@ def _keys(frequency, often: int, shingle: int, percent: int):
     def run(batches):
         import pyarrow as pa
         cells = frequency.value
-        for batch in batches:
+        for batch in pieces(batches, 0):
             texts, nodes, wanted = _texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for a, b, s, d in shingle_sets(texts, shingle):
                 _, digests = _digests(s, d, b - a)
@@ -140,7 +140,7 @@ def most_shared(x: bytes, y: bytes) -> int:
 def _sets(shingle: int, of=np.ndarray.tobytes):
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
+        for batch in pieces(batches, 0):
             texts, wanted = _texts(batch.column(0)), batch.column(2).to_pylist()
             for a, b, s, d in shingle_sets(texts, shingle):
                 _, digests = _digests(s, d, b - a)
