@@ -8,8 +8,12 @@ together, and anchors are about one position in ``WINDOW / 2``.
 Anchors are ranked by their next 64 bytes; then pairs of ranks at that offset rank
 128 bytes; positions whose rank is unique leave after each round. The anchors left
 bring the bytes around them, in which all starts are ranked at the full length, past the
-threshold. A rank is a 64-bit fingerprint that Spark groups by, so equal strings have equal ranks on every
-executor. Anchors of a rank that very many share are not gathered: pieces of them are, and what a piece holds once is looked for in the others.
+threshold. A rank that very many anchors share goes through one more round: starts at like distances from their
+anchor share all but ``CLASS`` of the ``length`` bytes, so each anchor is ranked by these longer strings, one for
+each class of distances, and classes whose string is unique leave. A rank is a 64-bit
+fingerprint that Spark groups by, so equal strings have equal ranks on every
+executor. What is crowded even then repeats nearly whole; it is not gathered: pieces of it are, and what a piece holds
+once is looked for in the others.
 """
 
 from __future__ import annotations
@@ -25,8 +29,12 @@ GRAM = 32
 WINDOW = 256
 STEP = 64          # bytes of the first rank; the anchor has at least LENGTH - WINDOW + 1 >= 2 * STEP bytes to its right
 GATHERED = 5000    # different surroundings of one rank that a task may hold together
+CLASS = 16         # distances from the anchor that are ranked together
+HOT = 10_000       # anchors of one rank from which on its join is a broadcast of the few such ranks
 SIDE = 8 << 20     # bytes of positions or runs that are broadcast to the texts
-PLACE = np.uint64(28)
+PLACE = np.uint64(28)  # bits of a place: a text of 2^28 bytes or more is cut into stretches, see anchors()
+
+STRETCH = 1 << 22  # starts of a stretch of a very long text, which also bounds the arrays made for one text
 
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -60,6 +68,9 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     n, window = len(data), min(WINDOW, length - 2 * STEP + 1)
     if n < length:
         return tuple(np.empty(0, np.int64) for _ in range(5))
+    if n > STRETCH + length:  # places must fit their bits; starts of one stretch, their strings whole
+        parts = [(a, anchors(data[a:a + STRETCH + length - 1], length)) for a in range(0, n - length + 1, STRETCH)]
+        return tuple(np.concatenate([p[i] + (a if i < 3 else 0) for a, p in parts]) for i in range(5))
     prints = Prints(data)
     last = n - length
     grams = prints.at(np.arange(last + window), GRAM)
@@ -92,8 +103,8 @@ def _find(length: int):
             if found:
                 at, first, last, rank, following = (np.concatenate(c) for c in zip(*found))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(rank), pa.array(following)],
-                    names=["body", "first", "last", "rank", "following"])
+                    [pa.array(keys), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array((at - first).astype(np.int32)),
+                     pa.array(rank), pa.array(following)], names=["body", "first", "last", "lead", "rank", "following"])
     return run
 
 
@@ -107,11 +118,70 @@ def _contexts(length: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([s["rank"] for s in spots], pa.int64()), pa.array([s["members"] for s in spots], pa.int64()),
                      pa.array([s["copies"] for s in spots], pa.int64()), pa.array([body] * len(spots), pa.string()), pa.array([s["first"] for s in spots], pa.int64()),
-                     pa.array([data[s["first"]:s["last"] + length] for s in spots], pa.binary())],
-                    names=["rank", "members", "copies", "body", "first", "bytes"])
+                     pa.array([data[s["first"]:s["last"] + length] for s in spots], pa.binary()), pa.array([s["lead"] for s in spots], pa.int32())],
+                    names=["rank", "members", "copies", "body", "first", "bytes", "lead"])
+    return run
+
+
+CONTEXT = "rank bigint, members bigint, copies bigint, body string, first bigint, bytes binary, lead int"
+
+
+def _classes(size: int, lead: int, length: int) -> tuple[np.ndarray, ...]:
+    """Of a context with its anchor at ``lead``: for each class of distances the class, its first and last start, and where the string they share begins."""
+    last = size - length
+    classes = np.arange(max(0, lead - last) // CLASS, lead // CLASS + 1)
+    first = np.maximum(0, lead - classes * CLASS - (CLASS - 1))
+    return classes, first, np.minimum(last, lead - classes * CLASS), lead - classes * CLASS
+
+
+def _longer(length: int):
+    """The string that all starts of a class share, as a rank; its class and context."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for at in range(0, batch.num_rows, GATHERED):
+                piece = batch.slice(at, GATHERED)
+                contexts, leads = piece.column(5).to_pylist(), piece.column(6).to_pylist()
+                base = np.cumsum([0] + [len(c) for c in contexts])[:-1]
+                found = [_classes(len(c), lead, length) for c, lead in zip(contexts, leads)]
+                row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                classes, begin = (np.concatenate([f[i] for f in found]) for i in (0, 3))
+                prints = Prints(b"".join(contexts)).at(base[row] + begin, length - CLASS + 1)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mix(prints + classes.astype(np.uint64)).view(np.int64)), piece.column(3).take(take), piece.column(4).take(take),
+                     pa.array(classes), piece.column(2).take(take)], names=["rank", "body", "first", "class", "copies"])
     return run
 
 
+def _parted(length: int):
+    """Contexts of the classes that are left, each under its longer rank."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for row in range(batch.num_rows):
+                copies, body, first, data, lead, spots = (batch.column(c)[row].as_py() for c in range(6))
+                classes, low, high, _ = _classes(len(data), lead, length)
+                n, offset = len(spots), int(classes[0])
+                low, high = ([int(a[s["class"] - offset]) for s in spots] for a in (low, high))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s["rank"] for s in spots], pa.int64()), pa.array([s["members"] for s in spots], pa.int64()),
+                     pa.array([copies] * n, pa.int64()), pa.array([body] * n, pa.string()), pa.array([first + a for a in low], pa.int64()),
+                     pa.array([data[a:b + length] for a, b in zip(low, high)], pa.binary()), pa.array([lead - a for a in low], pa.int32())],
+                    names=["rank", "members", "copies", "body", "first", "bytes", "lead"])
+    return run
+
+
+def _refined(crowded: DataFrame, length: int) -> DataFrame:
+    """Crowded contexts ranked once more, by strings ``CLASS - 1`` bytes short of the full length; unique ones leave."""
+    longer = stored(crowded.mapInArrow(_longer(length), "rank bigint, body string, first bigint, class bigint, copies bigint"), "longer")
+    again = longer.groupBy("rank").agg(F.count(F.lit(1)).alias("members"), F.sum("copies").alias("rows")).where("rows > 1")
+    left = longer.join(join_side(stored(again.select("rank", "members"), "again")), "rank")
+    spots = left.groupBy("body", "first").agg(F.collect_list(F.struct("rank", "members", "class")).alias("spots"))
+    rows = crowded.join(join_side(stored(spots, "classes")), ["body", "first"]).select("copies", "body", "first", "bytes", "lead", "spots")
+    return stored(rows.mapInArrow(_parted(length), CONTEXT), "parted")
+
+
 def _starts(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Full-length fingerprint, context number and place in it of every start."""
     sizes = np.array([len(c) for c in contexts])
@@ -218,9 +288,14 @@ def _cut(length: int):
 
 
 def _shared_ranks(ranked: DataFrame, name: str) -> DataFrame:
-    """Rows whose ``rank`` occurs more than once, with how often."""
-    again = ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return stored(ranked.join(again, "rank"), name)
+    """Rows whose ``rank`` occurs more than once, with how often.
+
+    Rows of a hot rank stay where they are: of ranks with ``HOT`` rows there are few, and their list goes to the rows.
+    """
+    again = stored(ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"{name}-again")
+    hot = join_side(again.where(F.col("members") >= HOT))
+    rest = ranked.join(hot.select("rank"), "rank", "left_anti").join(again.where(F.col("members") < HOT), "rank")
+    return stored(rest.unionByName(ranked.join(hot, "rank")), name)
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -231,22 +306,24 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length <= 2 * STEP:
         raise ValueError(f"length must exceed {2 * STEP}")
     texts = text_rows(docs).select(F.md5("text").alias("body"), "text").where(F.octet_length("text") >= length)
-    found = texts.mapInArrow(_find(length), "body string, first bigint, last bigint, rank bigint, following bigint")
+    found = texts.mapInArrow(_find(length), "body string, first bigint, last bigint, lead int, rank bigint, following bigint")
     near = _shared_ranks(stored(found, "anchors"), "ranks-64").drop("members")
-    pairs = near.select("body", "first", "last", F.xxhash64("rank", "following").alias("rank"))
+    pairs = near.select("body", "first", "last", "lead", F.xxhash64("rank", "following").alias("rank"))
     left = _shared_ranks(pairs, "ranks-128")
-    spots = stored(left.groupBy("rank", "body", "first", "last").agg(F.count(F.lit(1)).alias("copies")), "spots")
+    spots = stored(left.groupBy("rank", "body", "first", "last", "lead").agg(F.count(F.lit(1)).alias("copies")), "spots")
     spots = (spots.join(spots.groupBy("rank").agg(F.count(F.lit(1)).alias("members")), "rank").groupBy("body")
-             .agg(F.collect_list(F.struct("rank", "members", "copies", "first", "last")).alias("spots")))
+             .agg(F.collect_list(F.struct("rank", "members", "copies", "first", "last", "lead")).alias("spots")))
     # Rows of one text bring its surroundings once, with the number of rows.
     rows = texts.join(join_side(stored(spots, "spots"), SIDE), "body").dropDuplicates(["body"]).select("body", "text", "spots")
     contexts = stored(rows.mapInArrow(
-        _contexts(length), "rank bigint, members bigint, copies bigint, body string, first bigint, bytes binary"), "contexts")
+        _contexts(length), CONTEXT), "contexts")
     schema = "body string, first bigint, last bigint"
-    together = (contexts.where(F.col("members") <= GATHERED).repartition("rank").sortWithinPartitions("rank")
+    few = F.col("members") <= GATHERED
+    refined = _refined(contexts.where(~few), length)
+    together = (contexts.where(few).unionByName(refined.where(few)).repartition("rank").sortWithinPartitions("rank")
                 .mapInArrow(_together(length), schema))
     part = F.pmod(F.xxhash64("body", "first"), F.ceil(F.col("members") / GATHERED))
-    crowded = (contexts.where(F.col("members") > GATHERED).withColumn("part", part).repartition("rank", "part")
+    crowded = (refined.where(~few).withColumn("part", part).repartition("rank", "part")
                .sortWithinPartitions("rank", "part"))
     starts = stored(crowded.mapInArrow(_pieces(length), "print bigint, body string, first bigint, last bigint, copies bigint"), "starts")
     many = starts.where("print is not null").groupBy("print").agg(F.sum("copies").alias("c")).where("c > 1").select("print")

@@ -129,6 +129,9 @@ def test_arrow_files(docs, nothing, tokenizer):
 @pytest.mark.parametrize("gathered", [suffix_dedup.GATHERED, 3, 1])
 def test_repeats(docs, nothing, gathered, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GATHERED", gathered)
+    if gathered < 5:  # hot ranks, and texts in stretches
+        monkeypatch.setattr(suffix_dedup, "HOT", 4)
+        monkeypatch.setattr(suffix_dedup, "STRETCH", 700)
     bodies = [(i, (t or "").encode()) for i, t in TEXTS]
     counts = Counter(b[k:k + 400] for _, b in bodies for k in range(len(b) - 399))
     want = Counter()
