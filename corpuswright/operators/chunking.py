@@ -73,22 +73,22 @@ def chunk_id(parent: Column, number: Column) -> Column:
 
 
 def notice_chunks(notices: DataFrame, *, parent: str = "notice_id", content: str = "refined_content",
-                  min_length: int = fixed.MIN_CHUNK_LENGTH, separator: str = r"\n\n+") -> DataFrame:
+                  min_length: int = fixed.MIN_CHUNK_LENGTH, separator: str = r"\n\n+", keep: Sequence[str] = ()) -> DataFrame:
     """Refined notices to index-ready chunks with flat metadata.
 
-    Needs ``parent``, ``title``, ``metadata`` and ``content`` columns.
+    Needs ``parent``, ``title``, ``metadata`` and ``content`` columns; ``keep`` names others to pass on.
     """
     header = context_header(F.col("metadata.category"), F.col("metadata.entity"), F.col("title"))
     chunks = paragraph_chunks(
         notices.select(F.col(parent).cast("string").alias("parent_id"), header.alias("header"),
-                       "metadata", content),
+                       "metadata", content, *keep),
         content, min_length=min_length, separator=separator,
     )
     return chunks.select(
         chunk_id(F.col("parent_id"), F.col("chunk_no")).alias("chunk_id"),
         "parent_id", "chunk_no",
         *[metadata_field("metadata", name).alias(name) for name in ("year", "category", "target", "entity")],
-        contextual_chunk_text(F.col("header"), F.col("chunk")).alias("chunk_text"),
+        contextual_chunk_text(F.col("header"), F.col("chunk")).alias("chunk_text"), *keep,
     )
 
 

@@ -29,7 +29,8 @@ def _with_ranges(df: DataFrame, group: Sequence[Column], order: Sequence[Column]
 
     Range limits come from a hash-ordered sample of bounded size and enter the
     plan as constants, so every evaluation sees the same limits. Any limits give
-    right results; good ones give even ranges.
+    right results; good ones give even ranges. A table the sample holds whole and that makes one range gets no
+    range column.
     """
     keyed = df.withColumn(_GROUP, F.struct(*[g.alias(f"g{i}") for i, g in enumerate(group)])
                           if group else F.struct(F.lit(0).alias("g0")))
@@ -41,8 +42,8 @@ def _with_ranges(df: DataFrame, group: Sequence[Column], order: Sequence[Column]
               .orderBy(_KEY).select(*_leaves(F.col(_KEY), key_type)).collect())
     ranges = min(wanted, len(sample) // SAMPLES_PER_RANGE)
     limits = [sample[i * len(sample) // ranges] for i in range(1, ranges)]
-    if not limits:
-        return keyed.withColumn(_RANGE, F.lit(0))
+    if not limits:  # too few rows to cut: one window does
+        return keyed
     return keyed.withColumn(_RANGE, _range_of(F.col(_KEY), [_constant(iter(r), key_type) for r in limits]))
 
 
@@ -99,6 +100,8 @@ def with_ordinal(df: DataFrame, out: str, order: Sequence[Column],
     ``order`` must identify a row; add the id as its last column.
     """
     ranged = _with_ranges(df, group, order)
+    if _RANGE not in ranged.columns:
+        return ranged.withColumn(out, F.row_number().over(Window.partitionBy(_GROUP).orderBy(_KEY)).cast("bigint")).drop(_GROUP, _KEY)
     joined = _with_prefix(ranged, {"__before": F.count(F.lit(1))}, bool(group))
     inside = Window.partitionBy(_GROUP, _RANGE).orderBy(_KEY)
     return joined.withColumn(
@@ -111,6 +114,9 @@ def with_running_sums(df: DataFrame, sums: dict[str, Column], order: Sequence[Co
     """Inclusive running sums of the given expressions; nulls count as 0."""
     filled = {f"__v{i}": F.coalesce(expr, F.lit(0)) for i, expr in enumerate(sums.values())}
     ranged = _with_ranges(df.withColumns(filled), group, order)
+    if _RANGE not in ranged.columns:
+        whole = Window.partitionBy(_GROUP).orderBy(_KEY).rowsBetween(Window.unboundedPreceding, 0)
+        return ranged.withColumns({name: F.sum(f"__v{i}").over(whole) for i, name in enumerate(sums)}).drop(_GROUP, _KEY, *filled)
     names = {f"__p{i}": F.sum(f"__v{i}") for i in range(len(sums))}
     joined = _with_prefix(ranged, names, bool(group))
     inside = (Window.partitionBy(_GROUP, _RANGE).orderBy(_KEY)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -10,7 +12,9 @@ from .. import fixed
 from ..functions.core import is_blank, strip
 from ..functions.measures import covered_share, token_f1
 from ..functions.routes import REJECT, TEXT, VISION
+from ..functions.text import distinct_tokens
 from ..session import materialise
+from ..sizing import broadcast_if_small
 
 
 def dispatch(rows: DataFrame, route: str, text: Callable[[DataFrame], DataFrame],
@@ -113,26 +117,44 @@ def agent_benchmark(parts: Sequence[DataFrame], per_part: int | None, order: str
     return run(concat_datasets([resolved(p) for p in parts], "part"))
 
 
-def train_router(rows: DataFrame, text: str, label: str, *, features: int = 1 << 16, seed: int = 42):
-    """Trained two-class router: hashed tf-idf features and logistic regression.
+MICRO = 1_000_000  # weights are whole millionths, so sums do not depend on their order
 
-    ``label`` is 1.0 for VISION. Returns the fitted pipeline; its ``prediction``
-    column is read by ``predicted_route``.
+
+@dataclass(frozen=True)
+class Router:
+    """``weights(token, weight)`` and the prior of a two-class router, in millionths of a natural logarithm."""
+
+    weights: DataFrame
+    prior: int
+
+
+def train_router(rows: DataFrame, text: str, is_vision: Column, *, min_rows: int = 1) -> Router:
+    """Two-class router in closed form: smoothed log ratios of the rows that hold a token.
+
+    A token weighs ``ln((v + 1) / (V + 2)) - ln((t + 1) / (T + 2))`` where ``v`` of ``V`` VISION rows and ``t`` of ``T``
+    TEXT rows hold it; tokens that fewer than ``min_rows`` rows hold are left out. Two aggregates make
+    the model; nothing is iterated or collected but the class sizes.
+    """
+    labelled = rows.select(F.coalesce(is_vision, F.lit(False)).alias("v"), distinct_tokens(text).alias("ts"))
+    sizes = labelled.agg(F.count(F.when(F.col("v"), 1)).alias("v"), F.count(F.when(~F.col("v"), 1)).alias("t")).first()
+    held = labelled.select("v", F.explode("ts").alias("token")).groupBy("token").agg(
+        F.count(F.when(F.col("v"), 1)).alias("v"), F.count(F.when(~F.col("v"), 1)).alias("t"))
+
+    def ratio(part: Column, whole: int) -> Column:
+        return F.log((part + 1.0) / F.lit(whole + 2.0))
+
+    weight = F.round((ratio(F.col("v"), sizes["v"]) - ratio(F.col("t"), sizes["t"])) * MICRO).cast("bigint")
+    weights = held.filter(F.col("v") + F.col("t") >= min_rows).select("token", weight.alias("weight"))
+    return Router(materialise(weights, "router"), round(MICRO * (math.log(sizes["v"] + 1.0) - math.log(sizes["t"] + 1.0))))
+
+
+def predicted_route(model: Router, rows: DataFrame, row_id: str, text: str) -> DataFrame:
+    """Adds ``route_score`` (prior plus the weights of the distinct tokens) and ``route_pred``: VISION above 0.
+
+    ``row_id`` identifies a row. Tokens are added up map-side, so a common token costs one sum a row.
     """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="__tokens", pattern=r"[^\p{L}0-9]+"),
-        HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=features),
-        IDF(inputCol="__tf", outputCol="__features"),
-        LogisticRegression(featuresCol="__features", labelCol=label, maxIter=20, regParam=0.01),
-    ]).fit(rows)
-
-
-def predicted_route(model, rows: DataFrame) -> DataFrame:
-    out = model.transform(rows)
-    route = F.when(F.col("prediction") == 1.0, VISION).otherwise(TEXT)
-    return out.withColumn("route_pred", route).drop(
-        "__tokens", "__tf", "__features", "rawPrediction", "probability", "prediction")
+    held = rows.select(F.col(row_id).alias("__id"), F.explode(distinct_tokens(text)).alias("token"))
+    sums = held.join(broadcast_if_small(model.weights), "token").groupBy("__id").agg(F.sum("weight").alias("__sum"))
+    score = F.lit(model.prior) + F.coalesce("__sum", F.lit(0))
+    out = rows.join(sums, F.col(row_id) == F.col("__id"), "left").withColumn("route_score", score.cast("bigint"))
+    return out.withColumn("route_pred", F.when(F.col("route_score") > 0, VISION).otherwise(TEXT)).drop("__id", "__sum")

@@ -8,31 +8,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .ordinals import with_group_size, with_ordinal, with_running_sums
+from .selection import first_n
 
 
 def head_sample(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """First ``n`` rows in the given order."""
-    return df.orderBy(*order).limit(n)
+    """First ``n`` rows in the given order, as a set: no task gathers them."""
+    return first_n(df, n, [F.col(o) for o in order])
 
 
 def shuffle_key(row_id: str, seed: int) -> Column:
-    return F.xxhash64(F.col(row_id), F.lit(seed))
+    """Place of a row in the seeded order: an MD5, which any engine computes alike."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))
 
 
-def seeded_shuffle(df: DataFrame, row_id: str, seed: int = 42) -> DataFrame:
-    """Reproducible order that does not depend on partitioning."""
-    return df.orderBy(shuffle_key(row_id, seed), row_id)
+def seeded_shuffle(df: DataFrame, row_id: str, seed: int = 42, out: str = "position") -> DataFrame:
+    """Reproducible order that does not depend on partitioning; ``out`` numbers it from 1."""
+    return with_ordinal(df, out, [shuffle_key(row_id, seed), F.col(row_id)])
 
 
 def sample_to_target(df: DataFrame, n: int, unit: str, order: Sequence[str], seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows: whole units (files, pages) drawn without replacement, again
-    from the start when all are used up. ``draw`` numbers the round."""
+    from the start when all are used up. ``draw`` numbers the round. Full rounds take
+    every row; the last one takes the first in a seeded order of its own."""
     available = df.count()
-    rounds = math.ceil(n / available) if available else 0
-    if rounds == 0:
+    if not available:
         return df.withColumn("draw", F.lit(0)).limit(0)
-    repeated = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    return repeated.orderBy("draw", F.xxhash64(F.col(unit), F.col("draw"), F.lit(seed)), unit, *order).limit(n)
+    full, rest = divmod(n, available)
+    draws = F.sequence(F.lit(0), F.lit(full - 1)) if full else F.array().cast("array<int>")
+    whole = df.withColumn("draw", F.explode(draws))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(full)), F.col(unit).cast("string")))
+    last = first_n(df, rest, [place, F.col(unit), *[F.col(o) for o in order]])
+    return whole.unionByName(last.withColumn("draw", F.lit(full)))
 
 
 def renumber(df: DataFrame, out: str, order: Sequence[Column], start: int = 0) -> DataFrame:

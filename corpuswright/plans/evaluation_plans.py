@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import routes as R
-from ..operators import datasets, evaluation, lexical, reports, routing, search
+from ..operators import datasets, evaluation, lexical, reports, routing, sampling, search
 from . import retrieval_plans as RP, roles
 from .registry import Tables, query
 from .roles import sql_tokens
@@ -19,13 +19,36 @@ def route_by_cues(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", R.route_by_cues(F.col("text"), CUES).alias("route"))
 
 
-@query("route_classifier")
+SQL_ROUTER = f"""WITH {roles.SQL_ROUTES}, texts AS (SELECT doc_id, list_distinct({sql_tokens('text')}) AS ts FROM documents),
+lab AS (SELECT t.doc_id, ts, gold = 'VISION' AS v, md5('7:' || t.doc_id) < '4' AS held_out FROM texts t JOIN routes USING (doc_id)),
+size AS (SELECT count(*) FILTER (v) AS nv, count(*) FILTER (NOT v) AS nt FROM lab WHERE NOT held_out),
+tok AS (SELECT token, count(*) FILTER (v) AS v, count(*) FILTER (NOT v) AS t FROM (SELECT v, unnest(ts) AS token FROM lab WHERE NOT held_out) GROUP BY 1),
+wt AS (SELECT token, CAST(round((ln((v + 1.0::DOUBLE) / (nv + 2.0::DOUBLE)) - ln((t + 1.0::DOUBLE) / (nt + 2.0::DOUBLE))) * 1000000) AS BIGINT) AS weight FROM tok, size WHERE v + t >= 2),
+sums AS (SELECT doc_id, sum(weight) AS s FROM (SELECT doc_id, unnest(ts) AS token FROM texts) JOIN wt USING (token) GROUP BY 1),
+scored AS (SELECT doc_id, CAST(round(1000000 * (ln(nv + 1.0::DOUBLE) - ln(nt + 1.0::DOUBLE))) + coalesce(s, 0) AS BIGINT) AS route_score FROM texts LEFT JOIN sums USING (doc_id), size)"""
+
+
+def _router(t: Tables) -> tuple[DataFrame, routing.Router]:
+    """Labelled documents with a quarter held out by MD5, and the router of the rest."""
+    labelled = t.documents.select("doc_id", "text").join(roles.routes(t), "doc_id").withColumn(
+        "held_out", sampling.shuffle_key("doc_id", 7) < "4")
+    return labelled, routing.train_router(labelled.filter(~F.col("held_out")), "text", F.col("gold") == R.VISION, min_rows=2)
+
+
+@query("route_classifier", f"""{SQL_ROUTER} SELECT doc_id, route_score, CASE WHEN route_score > 0 THEN 'VISION' ELSE 'TEXT' END AS route_pred FROM scored""")
 def route_classifier(t: Tables) -> DataFrame:
     """Router trained on the documents' gold routes and applied to all documents."""
-    texts = t.documents.select("doc_id", "text")
-    labelled = texts.join(roles.routes(t), "doc_id").withColumn("label", (F.col("gold") == R.VISION).cast("double"))
-    model = routing.train_router(labelled, "text", "label", features=1 << 12)
-    return routing.predicted_route(model, texts).select("doc_id", "route_pred")
+    _, model = _router(t)
+    return routing.predicted_route(model, t.documents.select("doc_id", "text"), "doc_id", "text").drop("text")
+
+
+@query("route_classifier_held_out", f"""{SQL_ROUTER} SELECT gold, count(*) AS n, count(*) FILTER ((route_score > 0) = (gold = 'VISION')) AS correct
+FROM lab JOIN scored USING (doc_id) JOIN routes USING (doc_id) WHERE held_out GROUP BY 1""")
+def route_classifier_held_out(t: Tables) -> DataFrame:
+    """Hits per class on the documents the router has not seen."""
+    labelled, model = _router(t)
+    judged = routing.predicted_route(model, labelled.filter("held_out"), "doc_id", "text")
+    return judged.groupBy("gold").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("route_pred") == F.col("gold"), 1)).alias("correct"))
 
 
 @query("dispatch", f"""SELECT conv_id, turn, CASE WHEN {SQL_CUE.format(x='text')} THEN 'vision:' || role ELSE 'text:' || length(text) END AS answer FROM conversations""")

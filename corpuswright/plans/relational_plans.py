@@ -425,14 +425,18 @@ def head_sample(t: Tables) -> DataFrame:
     return sampling.head_sample(t.documents.select("doc_id", "text"), 150, ["doc_id"])
 
 
-@query("seeded_shuffle")
+@query("seeded_shuffle", """SELECT doc_id, lang, row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) AS position FROM documents""")
 def seeded_shuffle(t: Tables) -> DataFrame:
     return sampling.seeded_shuffle(t.documents.select("doc_id", "lang"), "doc_id", 42)
 
 
-@query("sample_to_target")
+@query("sample_to_target", """WITH n AS (SELECT count(*) AS n FROM documents), target AS (SELECT n * 5 // 3 AS want, n FROM n),
+  o AS (SELECT doc_id, source, row_number() OVER (ORDER BY md5('42:' || want // n || ':' || doc_id), doc_id) AS place, want, n FROM documents, target)
+SELECT doc_id, source, 0 AS draw FROM o UNION ALL SELECT doc_id, source, 1 FROM o WHERE place <= want % n""")
 def sample_to_target(t: Tables) -> DataFrame:
-    return sampling.sample_to_target(t.documents.select("doc_id", "source"), 2000, "doc_id", [])
+    """Five thirds of the documents: each once, and two thirds of them again."""
+    rows = t.documents.select("doc_id", "source")
+    return sampling.sample_to_target(rows, rows.count() * 5 // 3, "doc_id", [])
 
 
 # --- sets ---
@@ -479,7 +483,8 @@ def stratified_split(t: Tables) -> DataFrame:
     return sampling.stratified_split(roles.routes(t).select("doc_id", "gold"), "gold", [F.col("doc_id")])
 
 
-@query("stratified_split_seeded")
+@query("stratified_split_seeded", f"""WITH {roles.SQL_ROUTES}, o AS (SELECT doc_id, gold, row_number() OVER (PARTITION BY gold ORDER BY md5('42:' || doc_id), doc_id) AS p, count(*) OVER (PARTITION BY gold) AS n FROM routes)
+SELECT doc_id, gold, CASE WHEN p <= floor(round(n * 0.8, 9)) THEN 'train' WHEN p <= floor(round(n * 0.8, 9)) + floor(round(n * 0.1, 9)) THEN 'val' ELSE 'test' END AS split FROM o""")
 def stratified_split_seeded(t: Tables) -> DataFrame:
     return sampling.stratified_split(roles.routes(t).select("doc_id", "gold"), "gold",
                                      [sampling.shuffle_key("doc_id", 42), F.col("doc_id")])

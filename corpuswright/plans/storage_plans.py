@@ -15,6 +15,7 @@ from ..sources import html, readers, writers
 from ..streaming import jobs
 from . import roles
 from .registry import Tables, query
+from .evaluation_plans import sql_f1
 from .retrieval_plans import SQL_VISIBLE
 from .roles import sql_norm
 
@@ -174,7 +175,25 @@ def stream_ingest(t: Tables) -> DataFrame:
     return t.spark.read.parquet(f"{base}/out").select("chunk_id", "parent_id", "category", "entity", "chunk_text")
 
 
-@query("stream_score", f"""WITH {roles.SQL_QA} SELECT qa_id, length(answer) AS n_answer FROM qa""")
+@query("stream_ingest_expiring", f"""WITH {roles.SQL_CHUNKS} SELECT chunk_id, CASE doc_id % 10 WHEN 0 THEN 2::BIGINT ELSE 1 END AS times, chunk_text FROM notice_chunks""")
+def stream_ingest_expiring(t: Tables) -> DataFrame:
+    """Notices of ten days, each day's again on the next; after a gap the first day's come once more, too late to be known."""
+    base = new_table_path(t.spark, "expiring")
+    n = roles.notices(t)
+    day = F.pmod("doc_id", F.lit(10))
+    batches = [(d, (day == d) | (day == d - 1)) for d in range(10)] + [(30, day == 9), (40, day == 0)]
+    schema = n.drop("doc_id").schema.add("seen_at", T.TimestampType())
+    for number, (seen, rows) in enumerate(batches):
+        seen_at = F.timestamp_seconds(F.lit(1_700_000_000 + 86_400 * seen))
+        n.filter(rows).drop("doc_id").withColumn("seen_at", seen_at).coalesce(1).write.json(f"{base}/in/batch={number}")
+        source = jobs.stream_notices(t.spark, f"{base}/in", schema)
+        jobs.stream_ingest(source, f"{base}/out", f"{base}/checkpoint", separator=roles.LINES, seen_at="seen_at").awaitTermination()
+    return (t.spark.read.parquet(f"{base}/out").groupBy("chunk_id", "chunk_text")
+            .agg(F.count(F.lit(1)).alias("times")).select("chunk_id", "times", "chunk_text"))
+
+
+@query("stream_score", f"""WITH {roles.SQL_QA}, f AS ({sql_f1('answer', 'ground_truth')})
+SELECT qa_id, length(answer) AS n_answer, coalesce(f1, 0) AS token_f1 FROM qa LEFT JOIN f USING (qa_id)""")
 def stream_score(t: Tables) -> DataFrame:
     base = new_table_path(t.spark, "score")
     rows = roles.qa(t)
@@ -182,4 +201,4 @@ def stream_score(t: Tables) -> DataFrame:
     stream = jobs.stream_notices(t.spark, f"{base}/in", rows.schema, "parquet", files_per_batch=1)
     jobs.stream_score(stream, lambda d: evaluation.with_measures(d, ("token_f1",)), f"{base}/out",
                       f"{base}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{base}/out").select("qa_id", F.length("answer").cast("bigint").alias("n_answer"))
+    return t.spark.read.parquet(f"{base}/out").select("qa_id", F.length("answer").cast("bigint").alias("n_answer"), "token_f1")

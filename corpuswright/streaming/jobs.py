@@ -19,20 +19,30 @@ def stream_notices(spark: SparkSession, folder: str, schema: T.StructType, fmt:
 
 
 def stream_ingest(notices: DataFrame, sink: str, checkpoint: str, *, key: str = "notice_id",
-                  content: str = "refined_content", separator: str = r"\n\n+") -> StreamingQuery:
+                  content: str = "refined_content", separator: str = r"\n\n+", seen_at: str | None = None,
+                  memory: str = "7 days") -> StreamingQuery:
     """Chunk every new notice once and append the chunks to a parquet table.
 
-    Processed ids stay in the state store and offsets in the checkpoint, so a
-    restart neither repeats nor loses a notice. For many ids use the RocksDB
-    state store (``spark.sql.streaming.stateStore.providerClass``).
+    With an event time column ``seen_at`` a notice is remembered for ``memory`` after it was seen and then forgotten, so
+    the state holds the ids of that span only, however long the stream runs. A repeat that comes later is
+    ingested again; ``late_repeats`` counts it. Without ``seen_at`` all ids stay in the state store, which
+    grows with the corpus. Offsets lie in the checkpoint: a restart neither repeats nor loses a notice.
     """
-    fresh = notices.dropDuplicates([key])
-    chunks = notice_chunks(fresh, parent=key, content=content, separator=separator)
+    if seen_at is None:
+        fresh = notices.dropDuplicates([key])
+    else:
+        fresh = notices.withWatermark(seen_at, memory).dropDuplicatesWithinWatermark([key])
+    chunks = notice_chunks(fresh, parent=key, content=content, separator=separator, keep=[seen_at] if seen_at else [])
     return (chunks.writeStream.format("parquet").option("path", sink)
             .option("checkpointLocation", checkpoint).outputMode("append")
             .trigger(availableNow=True).start())
 
 
+def late_repeats(chunks: DataFrame, key: str = "parent_id", seen_at: str = "seen_at") -> DataFrame:
+    """``key, times``: notices the stream took more than once because their first time was forgotten."""
+    return (chunks.groupBy(key).agg(F.count_distinct(seen_at).alias("times")).filter(F.col("times") > 1))
+
+
 def stream_score(rows: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str,
                  checkpoint: str) -> StreamingQuery:
     """Score rows batch by batch. Each batch owns a folder, so a replayed batch
