@@ -153,6 +153,14 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, length: int = LENGT
     mark = zlib.crc32(content.encode())
 
     def run(batches):
+        import gc
+        gc.disable()  # nothing here makes cycles, and collections walk the whole cache
+        try:
+            yield from written(batches)
+        finally:
+            gc.enable()
+
+    def written(batches):
         import os
 
         import pyarrow as pa
