@@ -28,6 +28,7 @@ PRE_TOKENS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{
 NONE = np.int64(1) << np.int64(62)
 SHORT = 64          # bytes; longer words have a tree of their own
 CACHED = 96 << 20   # bytes of units a worker process keeps, with what Python needs for them
+TREE_CACHED = 32 << 20  # the same for the trees here, whose process also holds the vocabulary
 ENTRY = 170         # bytes of an entry beside its text and ids
 TOGETHER = 256      # texts encoded together
 
@@ -207,7 +208,7 @@ class Units:
         self.held = {"": 0, " ": 0}
 
     def _learn(self, missing: set[str], known: dict[str, bytes], lead: str) -> None:
-        marked = {u: u[:-1] for u in missing if u and u[-1] in MARKS and u[:-1].isalpha()}
+        marked = {u: u[:-1] for u in missing if u.endswith(ENDS) and u[:-1].isalpha()}
         new = [u for u in (missing - marked.keys()) | set(marked.values()) if u not in known]
         known.update(zip(new, self.encode([lead + u for u in new])))
         known.update((u, known[word] + self.marks[u[-1]]) for u, word in marked.items())
@@ -215,7 +216,7 @@ class Units:
 
     @staticmethod
     def _bytes(known: dict[str, bytes], units) -> int:
-        return sum(2 * len(u) + len(known[u]) + ENTRY for u in units)
+        return 2 * sum(map(len, units)) + sum(map(len, map(known.__getitem__, units))) + ENTRY * len(units)
 
     def _room(self) -> None:
         """Keeps the words met in more than one batch; none if these alone fill most of the cache."""
@@ -266,6 +267,7 @@ class Units:
 
 
 MARKS = ".,;:!?"
+ENDS = tuple(MARKS)
 _UNCLEAR = re.compile(r"\s(?:\s|\Z)")
 _BREAK = re.compile(r" (?=\S)")
 
@@ -299,7 +301,7 @@ def _task(tokenizer: str | None, encoding: bool, decoding: bool):
         import pyarrow as pa
         words = kept_in_process(f"words_{mark}", lambda: Vocabulary(content))
         units = kept_in_process(f"tree_{mark}", lambda: Units(
-            words.encode_units, {t: np.array([i], "<u4").tobytes() for t, i in words.special.items()})) if encoding else None
+            words.encode_units, {t: np.array([i], "<u4").tobytes() for t, i in words.special.items()}, TREE_CACHED)) if encoding else None
         names = ["doc_id", "n_tokens", "ids", "decoded"]
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
