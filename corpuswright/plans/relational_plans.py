@@ -137,6 +137,14 @@ def choose_by_route(t: Tables) -> DataFrame:
 
 # --- media ---
 
+@query("media_sets", f"""WITH {roles.SQL_HITS}, {roles.SQL_MEDIA}
+SELECT h.query_id, count(DISTINCT (h.doc_id, m.path)) AS files FROM hits h JOIN media m USING (doc_id) WHERE lower(path) LIKE '%.pdf' OR lower(path) LIKE '%.png' GROUP BY 1""")
+def media_sets(t: Tables) -> DataFrame:
+    """Files of every query's documents, counted from bitmaps."""
+    sets, _ = M.media_sets(roles.hits(t), roles.media(t))
+    return sets.groupBy("query_id").agg(F.sum(F.bitmap_count("files")).alias("files"))
+
+
 @query("hits_to_media", f"""WITH {roles.SQL_HITS}, {roles.SQL_MEDIA}
 SELECT DISTINCT h.query_id, h.doc_id, m.path FROM hits h JOIN media m USING (doc_id) WHERE lower(path) LIKE '%.pdf' OR lower(path) LIKE '%.png'""")
 def hits_to_media(t: Tables) -> DataFrame:

@@ -67,6 +67,35 @@ def media_manifest(t: Tables) -> DataFrame:
     return listed.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query("notice_folders", f"""SELECT CAST(page_id AS VARCHAR) AS folder_id, {SQL_TITLE} AS title, url, {SQL_VISIBLE} AS content FROM pages""")
+def notice_folders(t: Tables) -> DataFrame:
+    """The same notices, folders listed by the tasks, their whole content compared."""
+    path = new_table_path(t.spark, "notice-folders")
+    writers.write_json(_posts(t).repartition("notice_id"), path, ("notice_id",))
+    return readers.notice_folders(t.spark, path, file_glob="*.json").select("folder_id", "title", "url", "content")
+
+
+@query("media_folders", """SELECT CAST(page_id AS VARCHAR) AS doc_id, 'attachments' AS kind, count(*) AS files, CAST(sum(strlen(url) + 1) AS BIGINT) AS bytes FROM pages GROUP BY 1
+UNION ALL SELECT CAST(page_id AS VARCHAR), 'images', count(*), CAST(sum(strlen(url) + 1) AS BIGINT) FROM pages WHERE page_id % 2 = 0 GROUP BY 1""")
+def media_folders(t: Tables) -> DataFrame:
+    """Files and bytes of every notice folder, listed by the tasks and never opened."""
+    path = new_table_path(t.spark, "media-folders")
+    kinds = F.when(F.col("page_id") % 2 == 0, F.array(F.lit("attachments"), F.lit("images"))).otherwise(F.array(F.lit("attachments")))
+    files = t.pages.select(F.col("page_id").alias("notice_id"), F.explode(kinds).alias("kind"), "url")
+    files.repartition("notice_id").write.partitionBy("notice_id", "kind").text(path)
+    listed = readers.media_folders(t.spark, path, keep=F.col("file_name").endswith(".txt"))
+    return listed.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+@query("markdown_folders", "SELECT item_id, text FROM benchmark")
+def markdown_folders(t: Tables) -> DataFrame:
+    path = new_table_path(t.spark, "markdown-folders")
+    t.benchmark.repartition("item_id").write.partitionBy("item_id").text(path)
+    files = readers.markdown_folders(t.spark, path, file_glob="*.txt")
+    return files.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"),
+                        F.regexp_replace("text", r"\n\z", "").alias("text"))
+
+
 @query("scan_json_wrapped", """SELECT item_id, text FROM benchmark""")
 def scan_json_wrapped(t: Tables) -> DataFrame:
     """Objects under ``examples``, ``data`` and ``chunks``, and bare rows, one per line."""

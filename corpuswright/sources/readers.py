@@ -3,12 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import fixed, schemas
 from ..functions.core import null_if_nan
 from ..operators.media import is_media
+from .folders import PER_TASK, folder_files
+
+
+def notice_folders(spark: SparkSession, folder: str, *, file_glob: str = "info.json", per_task: int = PER_TASK) -> DataFrame:
+    """``scan_notices`` for very many folders: tasks list and read them, the driver holds the notice folders' names only.
+
+    A file that is no object is skipped, as there.
+    """
+    files = folder_files(spark, folder, glob=file_glob, per_task=per_task)
+    notice = F.from_json(F.col("content").cast("string"), schemas.NOTICE, {"mode": "PERMISSIVE"})
+    parsed = files.select(notice.alias("n"), F.regexp_replace("folder", "^notice_id=", "").alias("folder_id"))
+    told = reduce(lambda x, y: x | y, [F.col(f"n.`{f.name}`").isNotNull() for f in schemas.NOTICE.fields])
+    return parsed.filter(told).select("n.*", "folder_id")
+
+
+def markdown_folders(spark: SparkSession, folder: str, *, file_glob: str = "*.md", per_task: int = PER_TASK) -> DataFrame:
+    """``scan_markdown`` with the listing in tasks."""
+    files = folder_files(spark, folder, glob=file_glob, per_task=per_task)
+    return files.select(F.col("file_name").alias("source"), "path", F.col("content").cast("string").alias("text"))
+
+
+def media_folders(spark: SparkSession, folder: str, *, keep: Column | None = None, per_task: int = PER_TASK) -> DataFrame:
+    """``media_manifest`` with the listing in tasks; each path comes once, in no order. No file is opened."""
+    files = folder_files(spark, folder, content=False, per_task=per_task)
+    rows = files.select("path", "length", F.regexp_replace("folder", "^notice_id=", "").alias("doc_id"),
+                        F.regexp_replace("kind", "^kind=", "").alias("kind"), "file_name")
+    wanted = is_media(F.col("file_name")) if keep is None else keep
+    return rows.filter(F.col("kind").isin("attachments", "images") & (F.col("doc_id") != fixed.UNKNOWN_DOCUMENT) & wanted)
 
 
 def scan_notices(spark: SparkSession, folder: str, *, file_glob: str = "info.json",
@@ -42,11 +71,12 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def scan_metrics_csv(spark: SparkSession, path: str, schema: T.StructType,
-                     metrics: Sequence[str] = ()) -> DataFrame:
+                     metrics: Sequence[str] = (), *, multi_line: bool = True) -> DataFrame:
     """Report with a header line; a byte-order mark before it does no harm, because
-    columns go by position. NaN becomes null in the ``metrics``."""
+    columns go by position. NaN becomes null in the ``metrics``. Without ``multi_line``, for reports whose cells hold
+    no line breaks, a large file is read by many tasks."""
     raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-           .option("multiLine", True).option("escape", '"').csv(path))
+           .option("multiLine", multi_line).option("escape", '"').csv(path))
     return raw.withColumns({m: null_if_nan(m) for m in metrics}) if metrics else raw
 
 
