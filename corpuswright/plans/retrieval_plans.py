@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed
 from ..functions import contexts as C
-from ..operators import dense, lexical, search
+from ..operators import dense, lexical, quantised, search
 from ..operators.chunking import notice_chunks
 from ..session import materialise, spread
 from ..sources.html import visible_text
@@ -130,6 +130,14 @@ def ivf_topk(t: Tables) -> DataFrame:
     return dense.ivf_topk(roles.vectors(t), roles.question_vectors(t), centroids, 10, nprobe=3)
 
 
+@query("ivf_trained_all_cells", f"""WITH {roles.SQL_VECTORS}, s AS (SELECT a.query_id, d.chunk_id, round(list_inner_product(a.v, d.v), 6) AS score FROM asked a, vecs d)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10""")
+def ivf_trained_all_cells(t: Tables) -> DataFrame:
+    """With all trained cells probed the search is the exact one."""
+    placed, centroids = dense.train_cells(roles.vectors(t).drop("cell"), "vector", cells=16)
+    return dense.ivf_topk(placed, roles.question_vectors(t), centroids, 10, nprobe=16)
+
+
 @query("ivf_trained")
 def ivf_trained(t: Tables) -> DataFrame:
     """Cells from k-means instead of the given labels."""
@@ -137,6 +145,25 @@ def ivf_trained(t: Tables) -> DataFrame:
     return dense.ivf_topk(placed, roles.question_vectors(t), centroids, 10, nprobe=4)
 
 
+def _coded(t: Tables):
+    words = quantised.train_codewords(roles.vectors(t))
+    return materialise(quantised.with_codes(spread(roles.vectors(t), "chunk_id").drop("cell"), words), "codes"), words
+
+
+@query("quantised_topk")
+def quantised_topk(t: Tables) -> DataFrame:
+    coded, words = _coded(t)
+    return quantised.quantised_topk(coded, roles.question_vectors(t), words, 10)
+
+
+@query("quantised_recall", f"""WITH {roles.SQL_VECTORS} SELECT (SELECT count(*) FROM asked) * least(10, (SELECT count(*) FROM vecs)) AS wanted, TRUE AS enough""")
+def quantised_recall(t: Tables) -> DataFrame:
+    """At least 95 of 100 exact hits are found by codes of a sixteenth of the vectors' size."""
+    exact = dense.dense_topk(roles.vectors(t), roles.question_vectors(t), 10)
+    measured = quantised.recall(quantised_topk(t), exact)
+    return measured.select("wanted", (F.col("recall") >= 0.95).alias("enough"))
+
+
 @query("progressive_search", f"""WITH {roles.SQL_VECTORS},
   s0 AS (SELECT a.query_id, d.chunk_id, a.v AS q, d.v AS d, round(list_inner_product(a.v, d.v), 6) AS score FROM asked a, vecs d),
   r0 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM s0),
