@@ -221,6 +221,19 @@ def stream_ingest_expiring(t: Tables) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("times")).select("chunk_id", "times", "chunk_text"))
 
 
+@query("stream_join_chunks", """SELECT conv_id AS session, string_agg(text, '' ORDER BY turn) AS text FROM conversations GROUP BY 1""")
+def stream_join_chunks(t: Tables) -> DataFrame:
+    """Turns as streamed pieces: out of order over four batches, each piece once more in the next one."""
+    base = new_table_path(t.spark, "pieces")
+    batch = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    for number in range(5):
+        rows = t.conversations.where((batch == number) | (batch == number - 1)).select("conv_id", "turn", "text")
+        rows.repartition(2, "turn").write.parquet(f"{base}/in/batch={number}")
+        stream = jobs.stream_notices(t.spark, f"{base}/in", rows.schema, "parquet")
+        jobs.stream_join_chunks(stream, f"{base}/out", f"{base}/checkpoint", session="conv_id", seq="turn").awaitTermination()
+    return jobs.assembled(t.spark.read.parquet(f"{base}/out"))
+
+
 @query("stream_score", f"""WITH {roles.SQL_QA}, f AS ({sql_f1('answer', 'ground_truth')})
 SELECT qa_id, length(answer) AS n_answer, coalesce(f1, 0) AS token_f1 FROM qa LEFT JOIN f USING (qa_id)""")
 def stream_score(t: Tables) -> DataFrame:

@@ -43,6 +43,58 @@ def late_repeats(chunks: DataFrame, key: str = "parent_id", seen_at: str = "seen
     return (chunks.groupBy(key).agg(F.count_distinct(seen_at).alias("times")).filter(F.col("times") > 1))
 
 
+def stream_join_chunks(pieces: DataFrame, sink: str, checkpoint: str, *, session: str = "session", seq: str = "seq",
+                       text: str = "text", end_mark: str | None = None) -> StreamingQuery:
+    """Put streamed answer pieces in order, session by session, as they come.
+
+    Pieces are numbered from 0. Runs without a gap are written at once as parts ``(session, first, last, text)``;
+    a piece that comes before its predecessors waits in the state, one that comes again is dropped, and nothing
+    from the first piece equal to ``end_mark`` on is written. The state of a session is its next number and the
+    pieces that wait, never its text; ``assembled`` joins the parts. Null texts count as empty.
+    """
+    kind = pieces.schema[session].dataType
+    parts = T.StructType([T.StructField("session", kind), T.StructField("first", T.LongType()), T.StructField("last", T.LongType()),
+                          T.StructField("text", T.StringType())])
+    kept = T.StructType([T.StructField("next", T.LongType()), T.StructField("ended", T.BooleanType()),
+                         T.StructField("seqs", T.ArrayType(T.LongType())), T.StructField("texts", T.ArrayType(T.StringType()))])
+
+    def assemble(key, frames, state):
+        import pandas as pd
+
+        following, ended, waiting = 0, False, {}
+        if state.exists:
+            following, ended, seqs, texts = state.get
+            waiting = dict(zip(seqs, texts))
+        for frame in frames:
+            for number, piece in zip(frame["seq"], frame["text"]):
+                if not ended and number >= following:
+                    waiting.setdefault(int(number), "" if piece is None else piece)
+        first, run = following, []
+        while not ended and following in waiting:
+            piece = waiting.pop(following)
+            ended = end_mark is not None and piece == end_mark
+            if not ended:
+                run.append(piece)
+                following += 1
+        if ended:
+            waiting = {}
+        state.update((following, ended, list(waiting), list(waiting.values())))
+        if run:
+            yield pd.DataFrame({"session": [key[0]], "first": [first], "last": [following - 1], "text": ["".join(run)]})
+
+    named = pieces.select(F.col(session).alias("session"), F.col(seq).cast("bigint").alias("seq"), F.col(text).alias("text"))
+    ordered = (named.filter(F.col("seq").isNotNull()).groupBy("session")
+               .applyInPandasWithState(assemble, parts, kept, "append", "NoTimeout"))
+    return (ordered.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start())
+
+
+def assembled(parts: DataFrame) -> DataFrame:
+    """``session, text`` of the parts a stream has written so far."""
+    listed = F.sort_array(F.collect_list(F.struct("first", "text")))
+    return parts.groupBy("session").agg(F.array_join(F.transform(listed, lambda p: p["text"]), "").alias("text"))
+
+
 def stream_score(rows: DataFrame, score: Callable[[DataFrame], DataFrame], sink: str,
                  checkpoint: str) -> StreamingQuery:
     """Score rows batch by batch. Each batch owns a folder, so a replayed batch

@@ -39,3 +39,27 @@ def test_state_stays_flat_and_late_repeats_are_counted(spark, tmp_path):
     out = spark.read.parquet(f"{base}/out")
     assert out.count() == 243
     assert sorted((r["parent_id"], r["times"]) for r in jobs.late_repeats(out).collect()) == [("n0", 2), ("n1", 2)]
+
+
+def test_pieces_in_any_order_give_the_batch_answer(spark, tmp_path):
+    """Late and repeated pieces, an end mark, a gap that never fills, a restart."""
+    from corpuswright.operators import evaluation
+
+    base = str(tmp_path)
+    answers = {"a": ["x", "y", "<end>", "late"], "b": ["1", "2", "3", "4", "5"], "c": [None, "n"], "d": ["p", "q", "r"]}
+    pieces = [(s, i, t) for s, ts in answers.items() for i, t in enumerate(ts) if (s, i) != ("d", 1)]
+    batches = [[pieces[i] for i in order if i < len(pieces)] for order in ([6, 2, 0, 11], [1, 6, 5, 9, 12], [3, 4, 4, 7, 8, 10, 2], [0, 1, 7])]
+    seen = sorted({p for b in batches for p in b}, key=str)
+    schema = "session string, seq long, text string"
+    sizes = []
+    for number, batch in enumerate(batches + [[]]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.parquet(f"{base}/in/batch={number}")
+        stream = jobs.stream_notices(spark, f"{base}/in", spark.createDataFrame([], schema).schema, "parquet")
+        query = jobs.stream_join_chunks(stream, f"{base}/out", f"{base}/checkpoint", end_mark="<end>")
+        query.awaitTermination()
+        sizes.append(spark.read.parquet(f"{base}/out").count())
+    assert sizes[-1] == sizes[-2]  # nothing new, nothing again
+    got = {r["session"]: r["text"] for r in jobs.assembled(spark.read.parquet(f"{base}/out")).collect()}
+    whole = spark.createDataFrame([p for p in seen if p[0] != "d"], schema).na.fill("", ["text"])
+    want = {r["session"]: r["answer"] for r in evaluation.join_chunks(whole, "session", "seq", "text", end=F.col("text") == "<end>").collect()}
+    assert got == want | {"d": "p"}  # what follows the gap waits
