@@ -17,6 +17,7 @@ from ..functions.core import let
 from ..sizing import broadcast_if_small
 
 SAMPLES_PER_RANGE = 24
+WINDOW_ROWS = 1 << 20  # groups of at most so many rows, as measured, are numbered by one window each
 _GROUP, _KEY, _RANGE = "__group", "__key", "__range"
 
 
@@ -24,6 +25,14 @@ def _range_count(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _fit_windows(df: DataFrame, group: Sequence[Column]) -> bool:
+    """Whether the largest group is small enough for one task. The counts are added map-side; one number is returned."""
+    if not group:
+        return False
+    counts = df.groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]).agg(F.count(F.lit(1)).alias("__n"))
+    return (counts.agg(F.max("__n").alias("n")).first()["n"] or 0) <= WINDOW_ROWS
+
+
 def _with_ranges(df: DataFrame, group: Sequence[Column], order: Sequence[Column]) -> DataFrame:
     """Add the group struct, the sort key and the number of the key range.
 
@@ -97,8 +106,11 @@ def with_ordinal(df: DataFrame, out: str, order: Sequence[Column],
                  group: Sequence[Column] = ()) -> DataFrame:
     """Dense 1-based position of each row in ``order`` (ascending) within ``group``.
 
-    ``order`` must identify a row; add the id as its last column.
+    ``order`` must identify a row; add the id as its last column. Groups that all fit a window cost one shuffle;
+    otherwise every group is cut into ranges.
     """
+    if _fit_windows(df, group):
+        return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("bigint"))
     ranged = _with_ranges(df, group, order)
     if _RANGE not in ranged.columns:
         return ranged.withColumn(out, F.row_number().over(Window.partitionBy(_GROUP).orderBy(_KEY)).cast("bigint")).drop(_GROUP, _KEY)
@@ -112,6 +124,9 @@ def with_ordinal(df: DataFrame, out: str, order: Sequence[Column],
 def with_running_sums(df: DataFrame, sums: dict[str, Column], order: Sequence[Column],
                       group: Sequence[Column] = ()) -> DataFrame:
     """Inclusive running sums of the given expressions; nulls count as 0."""
+    if _fit_windows(df, group):
+        so_far = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumns({name: F.sum(F.coalesce(expr, F.lit(0))).over(so_far) for name, expr in sums.items()})
     filled = {f"__v{i}": F.coalesce(expr, F.lit(0)) for i, expr in enumerate(sums.values())}
     ranged = _with_ranges(df.withColumns(filled), group, order)
     if _RANGE not in ranged.columns:

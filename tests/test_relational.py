@@ -9,7 +9,12 @@ from corpuswright.functions import routes as R
 from corpuswright.operators import datasets, evaluation, filters, joins, media, ordinals, reports, routing, sampling
 
 
-def test_ordinals_with_a_hot_group(spark):
+@pytest.fixture(params=[0, 1 << 20], ids=["ranges", "windows"])
+def both_ways(request, monkeypatch):
+    monkeypatch.setattr(ordinals, "WINDOW_ROWS", request.param)
+
+
+def test_ordinals_with_a_hot_group(spark, both_ways):
     rng = random.Random(5)
     rows = [("hot" if i % 3 else f"g{i % 7}", rng.randrange(40), i) for i in range(900)]
     df = spark.createDataFrame(rows, "g string, v int, i int").repartition(6)
@@ -21,14 +26,14 @@ def test_ordinals_with_a_hot_group(spark):
     assert got == expected
 
 
-def test_ordinals_with_nulls_and_strings(spark):
+def test_ordinals_with_nulls_and_strings(spark, both_ways):
     df = spark.createDataFrame([(None, "b"), ("x", "a"), (None, "a"), ("é", None)], "g string, s string")
     got = ordinals.with_ordinal(df, "n", [F.col("s")], [F.col("g")]).collect()
     assert {(r["g"], r["s"], r["n"]) for r in got} == {(None, "a", 1), (None, "b", 2), ("x", "a", 1), ("é", None, 1)}
     assert ordinals.with_ordinal(df.limit(0), "n", [F.col("s")]).count() == 0
 
 
-def test_running_sums(spark):
+def test_running_sums(spark, both_ways):
     df = spark.range(1, 501).withColumn("v", F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id"))).repartition(5)
     got = {r["id"]: r["s"] for r in ordinals.with_running_sums(df, {"s": F.col("v")}, [F.col("id")]).collect()}
     total, expected = 0, {}
