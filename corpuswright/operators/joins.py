@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.contexts import page_window
 from ..functions.core import norm_ws, strip
-from ..sizing import BROADCAST_BYTES
+from ..session import materialise
+from ..sizing import broadcast_if_small
 
 
 def keep_last(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -70,15 +71,14 @@ def add_latency(summary: DataFrame, latencies: DataFrame, pipeline: str = "pipel
     return summary.join(latencies, pipeline, "left")
 
 
-def expand_to_neighbours(hits: DataFrame, pages: DataFrame, *, max_hits: int | None = None) -> DataFrame:
+def expand_to_neighbours(hits: DataFrame, pages: DataFrame) -> DataFrame:
     """Hit pages plus the pages before and after, as an equi-join on (doc_id, page).
 
-    With a known number of hits, the hits are broadcast and the pages stay put.
+    The wanted pages are written once and measured; where they fit a broadcast, the page texts stay put.
     """
-    wanted = (hits.select("query_id", "doc_id", F.explode(page_window(F.col("page_num"))).alias("page_num"))
-              .distinct())
-    small = max_hits is not None and max_hits * 3 * 64 <= BROADCAST_BYTES
-    return pages.join(F.broadcast(wanted) if small else wanted, ["doc_id", "page_num"])
+    wanted = materialise(hits.select("query_id", "doc_id", F.explode(page_window(F.col("page_num"))).alias("page_num")).distinct(),
+                         "wanted-pages")
+    return pages.join(broadcast_if_small(wanted), ["doc_id", "page_num"])
 
 
 def chunk_to_parent(chunks: DataFrame, parents: DataFrame, parent: str = "parent_id") -> DataFrame:

@@ -148,8 +148,9 @@ def with_group_size(df: DataFrame, out: str, group: Sequence[str]) -> DataFrame:
 
 
 def top_k(df: DataFrame, k: int, group: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
-    """First ``k`` rows per group. Spark cuts every task to ``k`` per group before
-    the shuffle, so a hot group costs ``k`` rows per task."""
+    """First ``k`` rows per group. Up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1,000 by default) Spark cuts
+    every task to ``k`` per group before the shuffle, so a hot group costs ``k`` rows per task; a larger ``k``
+    shuffles the whole group."""
     window = Window.partitionBy(*group).orderBy(*order)
     return (df.withColumn(rank, F.row_number().over(window).cast("bigint"))
             .filter(F.col(rank) <= k))

@@ -550,10 +550,12 @@ def complete_testset(t: Tables) -> DataFrame:
 
 @query("compare_dataset", f"""WITH {roles.SQL_HITS}, {roles.SQL_QA}
 SELECT qa_id AS query_id, question, answer AS text_answer, ground_truth AS vision_answer,
-  coalesce((SELECT array_to_string(list_sort(list(DISTINCT source)), ',') FROM ranked r WHERE r.rank <= 7 AND r.query_id = qa.qa_id), '') AS sources FROM qa""")
+  coalesce((SELECT array_to_string(list_sort(list(DISTINCT source)), ',') FROM ranked r WHERE r.rank <= 7 AND r.query_id * 1000 = qa.qa_id), '') AS sources FROM qa""")
 def compare_dataset(t: Tables) -> DataFrame:
     pairs = roles.qa(t).withColumnRenamed("qa_id", "query_id")
-    best = search.rank_by_score(roles.hits(t), "query_id", "score", "chunk_id", 7)
+    # User u asks the first question of conversation u.
+    hits = roles.hits(t).withColumn("query_id", F.col("query_id") * 1000)
+    best = search.rank_by_score(hits, "query_id", "score", "chunk_id", 7)
     answers = pairs.select("query_id", F.col("answer").alias("text_answer"), F.col("ground_truth").alias("vision_answer"))
     out = datasets.compare_dataset(pairs.select("query_id", "question"), answers, best)
     return out.select("query_id", "question", "text_answer", "vision_answer", F.array_join("retrieved_sources", ",").alias("sources"))
