@@ -212,7 +212,8 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, length: int = LENGT
 def read_ids(index: DataFrame, length: int = LENGTH, rows: int = ROWS) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` of every index row, read from the files; ids as little-endian 32-bit integers.
 
-    Rows of one file lie together in the index, so a task keeps one file open.
+    Rows of one file lie together in the index, so a task keeps one file open. Every document has its end id at least; an
+    empty index gives no rows.
     """
     def run(batches):
         import pyarrow as pa
@@ -235,7 +236,7 @@ def read_ids(index: DataFrame, length: int = LENGTH, rows: int = ROWS) -> DataFr
 
 
 def digests(index: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` from the files."""
+    """``doc_id, start, n_tokens, ids_crc32`` from the files, one row for each index row (null and repeated ids included)."""
     return read_ids(index).select("doc_id", "start", "n_tokens", F.crc32("ids").cast("bigint").alias("ids_crc32"))
 
 

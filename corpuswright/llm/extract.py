@@ -394,13 +394,13 @@ def induce(read: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``page_id, url, text, n_chars`` of every page: its main text, blocks joined by an empty line.
 
-    A null or empty page gives an empty text, a null or odd address the host "";
-    repeated pages repeat. Markup cut off at the end, unclosed elements and text without any element are read as they
+    A null or empty page gives an empty text. Pages with a null or odd address belong to no host and have no wrapper: they say
+    nothing of each other. Repeated pages repeat. Markup cut off at the end, unclosed elements and text without any element are read as they
     stand. An empty table gives no rows. Each page is parsed once: its content blocks and node hashes are written, the
     wrappers come from the hashes, and template blocks are left out by a join.
     """
     read = stored(_pages(pages).select("page_id", "url", "host", "html").mapInArrow(_layouts, LAYOUT_SCHEMA), "pages")
-    wrappers = stored(induce(read, least_pages), "wrappers")
+    wrappers = stored(induce(read.where("host <> ''"), least_pages), "wrappers")
     rows = read.select("page_id", "url", "host", "mark", "slots").join(join_side(wrappers), ["host", "mark"], "left")
     rows = rows.withColumn("kept", F.expr(
         "transform(filter(slots, s -> not arrays_overlap(coalesce(template, array()), array(s.path, s.place))), s -> s.text)"))

@@ -301,7 +301,7 @@ def _shared_ranks(ranked: DataFrame, name: str) -> DataFrame:
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``body, first, last``: runs of starts, in bytes, of strings that also start elsewhere; ``body`` is the text's MD5.
 
-    ``length`` is at least ``2 * STEP + 1``.
+    Rows of one text give its runs once; null, empty and short texts and an empty table give none. ``length`` is at least ``2 * STEP + 1``.
     """
     if length <= 2 * STEP:
         raise ValueError(f"length must exceed {2 * STEP}")

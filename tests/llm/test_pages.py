@@ -70,3 +70,9 @@ def test_one_class_word_does_not_take_the_article():
     assert kept(f"{text}<div class='page-footer'>Foot</div><div class='comments'>Nice</div><nav>Menu</nav>") == [
         "Head", "A long article of many words."]
     assert kept("<nav>Menu</nav>") == []
+
+
+def test_pages_without_address_have_no_wrapper(spark):
+    rows = [(i, None if i % 2 else "nowhere", f"<html><body><p>Own {i}</p><section>Shared by all</section></body></html>") for i in range(8)]
+    got = extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {f"Own {i}\n\nShared by all" for i in range(8)}
