@@ -287,15 +287,16 @@ def _cut(length: int):
     return run
 
 
-def _shared_ranks(ranked: DataFrame, name: str) -> DataFrame:
-    """Rows whose ``rank`` occurs more than once, with how often.
+def _with_members(ranked: DataFrame, name: str, least: int = 2) -> DataFrame:
+    """Rows of ranks with at least ``least`` rows, with their number as ``members``.
 
     Rows of a hot rank stay where they are: of ranks with ``HOT`` rows there are few, and their list goes to the rows.
     """
-    again = stored(ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"{name}-again")
-    hot = join_side(again.where(F.col("members") >= HOT))
-    rest = ranked.join(hot.select("rank"), "rank", "left_anti").join(again.where(F.col("members") < HOT), "rank")
-    return stored(rest.unionByName(ranked.join(hot, "rank")), name)
+    counts = ranked.groupBy("rank").agg(F.count(F.lit(1)).alias("members"))
+    counts = stored(counts.where(F.col("members") >= least), f"{name}-counts")
+    hot = join_side(counts.where(F.col("members") >= HOT))
+    rest = ranked.join(hot.select("rank"), "rank", "left_anti").join(counts.where(F.col("members") < HOT), "rank")
+    return rest.unionByName(ranked.join(hot, "rank"))
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -307,11 +308,11 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError(f"length must exceed {2 * STEP}")
     texts = text_rows(docs).select(F.md5("text").alias("body"), "text").where(F.octet_length("text") >= length)
     found = texts.mapInArrow(_find(length), "body string, first bigint, last bigint, lead int, rank bigint, following bigint")
-    near = _shared_ranks(stored(found, "anchors"), "ranks-64").drop("members")
+    near = stored(_with_members(stored(found, "anchors"), "ranks-64"), "ranks-64").drop("members")
     pairs = near.select("body", "first", "last", "lead", F.xxhash64("rank", "following").alias("rank"))
-    left = _shared_ranks(pairs, "ranks-128")
+    left = stored(_with_members(pairs, "ranks-128"), "ranks-128")
     spots = stored(left.groupBy("rank", "body", "first", "last", "lead").agg(F.count(F.lit(1)).alias("copies")), "spots")
-    spots = (spots.join(spots.groupBy("rank").agg(F.count(F.lit(1)).alias("members")), "rank").groupBy("body")
+    spots = (_with_members(spots, "spots", least=1).groupBy("body")
              .agg(F.collect_list(F.struct("rank", "members", "copies", "first", "last", "lead")).alias("spots")))
     # Rows of one text bring its surroundings once, with the number of rows.
     rows = texts.join(join_side(stored(spots, "spots"), SIDE), "body").dropDuplicates(["body"]).select("body", "text", "spots")
