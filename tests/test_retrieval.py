@@ -130,7 +130,7 @@ def sparse_brute(docs, asked, k, build, drop):
 
 @pytest.mark.parametrize("limit, build, drop", [(1 << 26, 0.2, 0.2), (0, 0.2, 0.2), (1 << 26, 0.0, 0.0), (0, 0.0, 0.0)])
 def test_sparse_topk_both_ways(spark, limit, build, drop, monkeypatch):
-    monkeypatch.setattr(lexical, "CHARACTERS_PER_STEP", 500)
+    monkeypatch.setattr(lexical, "TOKENS_PER_STEP", 90)
     monkeypatch.setattr(lexical, "MATCHES_PER_STEP", 64)
     if limit == 0:
         monkeypatch.setattr(lexical, "measure", lambda df: type("M", (), {"fits": lambda self, n=0: False})())
