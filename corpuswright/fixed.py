@@ -82,3 +82,6 @@ SEARCH_PRESETS = {
     "comparison": (30, 7),
     "refill": (50, 5),
 }
+
+# --- fixed value: what stands before a question in a training row ---
+QUESTION_PREFIX = "질문: "

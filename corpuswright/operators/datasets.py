@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import fixed
 from ..functions.routes import TEXT, VISION, other_route
 from ..functions.text import inject_cue
 from .filters import complete
@@ -33,7 +34,7 @@ def balance_routes(df: DataFrame, *, question: str, route: str, order: Sequence[
 
 
 def sft_rows(question: Column, route: Column, *, instruction: str = ROUTER_INSTRUCTION,
-             prefix: str = "질문: ") -> dict[str, Column]:
+             prefix: str = fixed.QUESTION_PREFIX) -> dict[str, Column]:
     return {"instruction": F.lit(instruction), "input": F.concat(F.lit(prefix), question),
             "output": F.upper(route)}
 
