@@ -29,6 +29,7 @@ GRAM = 32
 WINDOW = 256
 STEP = 64          # bytes of the first rank; the anchor has at least LENGTH - WINDOW + 1 >= 2 * STEP bytes to its right
 GATHERED = 5000    # different surroundings of one rank that a task may hold together
+TOGETHER = 1 << 16  # starts of a stretch whose contexts meet in one row
 CLASS = 16         # distances from the anchor that are ranked together
 HOT = 10_000       # anchors of one rank from which on its join is a broadcast of the few such ranks
 SIDE = 8 << 20     # bytes of positions or runs that are broadcast to the texts
@@ -155,20 +156,26 @@ def _longer(length: int):
 
 
 def _parted(length: int):
-    """Contexts of the classes that are left, each under its longer rank."""
+    """Contexts of the classes that are left, each under its longer rank; a row holds those of a stretch of a text."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
             for row in range(batch.num_rows):
-                copies, body, first, data, lead, spots = (batch.column(c)[row].as_py() for c in range(6))
-                classes, low, high, _ = _classes(len(data), lead, length)
-                n, offset = len(spots), int(classes[0])
-                low, high = ([int(a[s["class"] - offset]) for s in spots] for a in (low, high))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s["rank"] for s in spots], pa.int64()), pa.array([s["members"] for s in spots], pa.int64()),
-                     pa.array([copies] * n, pa.int64()), pa.array([body] * n, pa.string()), pa.array([first + a for a in low], pa.int64()),
-                     pa.array([data[a:b + length] for a, b in zip(low, high)], pa.binary()), pa.array([lead - a for a in low], pa.int32())],
-                    names=["rank", "members", "copies", "body", "first", "bytes", "lead"])
+                body, contexts, spots = (batch.column(c)[row].as_py() for c in range(3))
+                left: dict[int, list] = {}
+                for s in spots:
+                    left.setdefault(s["first"], []).append(s)
+                out = []
+                for c in contexts:
+                    classes, low, high, _ = _classes(len(c["bytes"]), c["lead"], length)
+                    for s in left.get(c["first"], ()):
+                        i = s["class"] - int(classes[0])
+                        a, b = int(low[i]), int(high[i])
+                        out.append((s["rank"], s["members"], c["copies"], body, c["first"] + a, c["bytes"][a:b + length], c["lead"] - a))
+                kinds = [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.binary(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)] if out else
+                                                 [pa.array([], k) for k in kinds],
+                                                 names=["rank", "members", "copies", "body", "first", "bytes", "lead"])
     return run
 
 
@@ -177,8 +184,10 @@ def _refined(crowded: DataFrame, length: int) -> DataFrame:
     longer = stored(crowded.mapInArrow(_longer(length), "rank bigint, body string, first bigint, class bigint, copies bigint"), "longer")
     again = longer.groupBy("rank").agg(F.count(F.lit(1)).alias("members"), F.sum("copies").alias("rows")).where("rows > 1")
     left = longer.join(join_side(stored(again.select("rank", "members"), "again")), "rank")
-    spots = left.groupBy("body", "first").agg(F.collect_list(F.struct("rank", "members", "class")).alias("spots"))
-    rows = crowded.join(join_side(stored(spots, "classes")), ["body", "first"]).select("copies", "body", "first", "bytes", "lead", "spots")
+    part = F.floor(F.col("first") / TOGETHER).alias("part")  # a stretch of a text bounds what meets in one row
+    spots = left.groupBy("body", part).agg(F.collect_list(F.struct("first", "rank", "members", "class")).alias("spots"))
+    contexts = crowded.groupBy("body", part).agg(F.collect_list(F.struct("copies", "first", "bytes", "lead")).alias("contexts"))
+    rows = contexts.join(spots, ["body", "part"]).select("body", "contexts", "spots")
     return stored(rows.mapInArrow(_parted(length), CONTEXT), "parted")
 
 
