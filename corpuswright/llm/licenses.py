@@ -20,7 +20,7 @@ from .common import kept_in_process, text_rows
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # Base phrases and their labels.
-BASE = (("general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
+BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 KINDS = ("tag", "grant", "notice", "name", "address")  # from the surest to the weakest, also their order
 SURE = {"tag": 1.0, "grant": 1.0, "notice": 0.9, "name": 0.6, "address": 0.8, "base": 0.7}
