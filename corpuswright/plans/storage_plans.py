@@ -12,6 +12,7 @@ from .. import fixed
 from ..operators import evaluation
 from ..session import new_table_path, spread
 from ..sources import html, readers, writers
+from ..sources.folders import write_folders
 from ..streaming import jobs
 from . import roles
 from .registry import Tables, query
@@ -51,7 +52,7 @@ def _posts(t: Tables) -> DataFrame:
 @query("scan_notices", f"""SELECT CAST(page_id AS VARCHAR) AS folder_id, {SQL_TITLE} AS title, url, length({SQL_VISIBLE}) AS n_content FROM pages""")
 def scan_notices(t: Tables) -> DataFrame:
     path = new_table_path(t.spark, "notices")
-    writers.write_json(_posts(t).repartition("notice_id"), path, ("notice_id",))
+    writers.write_json(_posts(t).repartition("notice_id"), path, ("notice_id",), many_folders=True)
     found = readers.scan_notices(t.spark, path, file_glob="*.json")
     return found.select("folder_id", "title", "url", F.length("content").cast("bigint").alias("n_content"))
 
@@ -62,7 +63,7 @@ def media_manifest(t: Tables) -> DataFrame:
     path = new_table_path(t.spark, "media")
     kinds = F.when(F.col("page_id") % 2 == 0, F.array(F.lit("attachments"), F.lit("images"))).otherwise(F.array(F.lit("attachments")))
     files = t.pages.select(F.col("page_id").alias("notice_id"), F.explode(kinds).alias("kind"), "url")
-    files.repartition("notice_id").write.partitionBy("notice_id", "kind").text(path)
+    write_folders(files, path, ("notice_id", "kind"), "url", "txt")
     listed = readers.media_manifest(t.spark, path, keep=F.col("file_name").endswith(".txt"))
     return listed.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("files"))
 
@@ -71,7 +72,7 @@ def media_manifest(t: Tables) -> DataFrame:
 def notice_folders(t: Tables) -> DataFrame:
     """The same notices, folders listed by the tasks, their whole content compared."""
     path = new_table_path(t.spark, "notice-folders")
-    writers.write_json(_posts(t).repartition("notice_id"), path, ("notice_id",))
+    writers.write_json(_posts(t).repartition("notice_id"), path, ("notice_id",), many_folders=True)
     return readers.notice_folders(t.spark, path, file_glob="*.json").select("folder_id", "title", "url", "content")
 
 
@@ -82,7 +83,7 @@ def media_folders(t: Tables) -> DataFrame:
     path = new_table_path(t.spark, "media-folders")
     kinds = F.when(F.col("page_id") % 2 == 0, F.array(F.lit("attachments"), F.lit("images"))).otherwise(F.array(F.lit("attachments")))
     files = t.pages.select(F.col("page_id").alias("notice_id"), F.explode(kinds).alias("kind"), "url")
-    files.repartition("notice_id").write.partitionBy("notice_id", "kind").text(path)
+    write_folders(files, path, ("notice_id", "kind"), "url", "txt")
     listed = readers.media_folders(t.spark, path, keep=F.col("file_name").endswith(".txt"))
     return listed.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
@@ -90,7 +91,7 @@ def media_folders(t: Tables) -> DataFrame:
 @query("markdown_folders", "SELECT item_id, text FROM benchmark")
 def markdown_folders(t: Tables) -> DataFrame:
     path = new_table_path(t.spark, "markdown-folders")
-    t.benchmark.repartition("item_id").write.partitionBy("item_id").text(path)
+    write_folders(t.benchmark, path, ("item_id",), "text", "txt")
     files = readers.markdown_folders(t.spark, path, file_glob="*.txt")
     return files.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"),
                         F.regexp_replace("text", r"\n\z", "").alias("text"))
@@ -162,7 +163,7 @@ def write_csv_report(t: Tables) -> DataFrame:
 @query("scan_markdown", "SELECT item_id, text FROM benchmark")
 def scan_markdown(t: Tables) -> DataFrame:
     path = new_table_path(t.spark, "markdown")
-    t.benchmark.repartition("item_id").write.partitionBy("item_id").text(path)
+    write_folders(t.benchmark, path, ("item_id",), "text", "txt")
     files = readers.scan_markdown(t.spark, path, file_glob="*.txt")
     return files.select(F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"),
                         F.regexp_replace("text", r"\n\z", "").alias("text"))

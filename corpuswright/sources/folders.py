@@ -1,4 +1,4 @@
-"""Files of very many folders as a table, listed by the tasks.
+"""Files of very many folders as a table, listed and written by the tasks.
 
 A plain reader lists every file on the driver before the first task runs. This
 Python data source gives the driver the top folder's entries only; each
@@ -11,7 +11,8 @@ import fnmatch
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, folder string, kind string, file_name string, length bigint, content binary"
@@ -106,3 +107,53 @@ def folder_files(spark: SparkSession, path: str, *, glob: str = "*", content: bo
     spark.dataSource.register(FolderFiles)
     return (spark.read.format(FolderFiles.name()).option("path", path).option("glob", glob)
             .option("content", str(content).lower()).option("per_task", str(per_task)).load())
+
+
+# --- writing ---
+
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = {c: f"%{c:02X}" for c in (*range(1, 32), *map(ord, "\"#%'*/:=?\\{[]^"), 127)}  # as Spark's own writer does
+
+
+def in_tasks(spark: SparkSession, path: str) -> bool:
+    """Whether the tasks can list and write ``path`` themselves; a bare path belongs to Spark's default file system."""
+    default = spark.conf.get("spark.hadoop.fs.defaultFS", "file:///")
+    return scheme(path) == "file" or (scheme(path) == "" and default.startswith("file:"))
+
+
+def write_folders(df: DataFrame, path: str, keys: tuple[str, ...], text: str, extension: str) -> None:
+    """One file of lines for each distinct ``keys``, in folders ``key=value/...`` below ``path``, written by the tasks.
+
+    Spark's writer sets the rights of every file by a process of its own and the driver then moves folder after folder. Here
+    a task writes each file where it belongs. Names depend on the partition only, so a task that runs again replaces
+    its files. What lay at ``path`` is replaced. Schemes the tasks do not know go through Spark's writer, as ``.txt``.
+    """
+    spark = df.sparkSession
+    # A fixed number: joined by their bytes, very many tiny files would be one task's.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    named = [F.nullif(F.col(f"`{k}`").cast("string"), F.lit("")).alias(k) for k in keys]  # both are one folder
+    rows = df.select(*named, F.col(text).alias("__line")).repartition(tasks, F.col(f"`{keys[0]}`"))
+    if not in_tasks(spark, path):
+        rows.write.mode("overwrite").partitionBy(*keys).text(path)
+        return
+    rows.limit(0).write.mode("overwrite").partitionBy(*keys).text(path)
+    listed = rows.select(F.array(*[F.col(f"`{k}`") for k in keys]).alias("values"), "__line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _store(path)
+        name = f"part-{TaskContext.get().partitionId():05d}.{extension}"
+        now, out, files = None, None, 0
+        for batch in batches:
+            for values, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if values != now:
+                    if out is not None:
+                        out.close()
+                    folder = "/".join([base, *(f"{k}={(v or NO_VALUE).translate(_ESCAPED)}" for k, v in zip(keys, values))])
+                    system.create_dir(folder, recursive=True)
+                    now, out, files = values, system.open_output_stream(f"{folder}/{name}"), files + 1
+                out.write(((line or "") + "\n").encode())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    listed.sortWithinPartitions("values").mapInArrow(run, "files bigint").agg(F.sum("files")).collect()

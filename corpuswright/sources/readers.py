@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from .. import fixed, schemas
 from ..functions.core import null_if_nan
 from ..operators.media import is_media
-from .folders import PER_TASK, folder_files
+from .folders import PER_TASK, folder_files, in_tasks
 
 
 def notice_folders(spark: SparkSession, folder: str, *, file_glob: str = "info.json", per_task: int = PER_TASK) -> DataFrame:
@@ -21,8 +21,12 @@ def notice_folders(spark: SparkSession, folder: str, *, file_glob: str = "info.j
     files = folder_files(spark, folder, glob=file_glob, per_task=per_task)
     notice = F.from_json(F.col("content").cast("string"), schemas.NOTICE, {"mode": "PERMISSIVE"})
     parsed = files.select(notice.alias("n"), F.regexp_replace("folder", "^notice_id=", "").alias("folder_id"))
-    told = reduce(lambda x, y: x | y, [F.col(f"n.`{f.name}`").isNotNull() for f in schemas.NOTICE.fields])
-    return parsed.filter(told).select("n.*", "folder_id")
+    return parsed.filter(_told("n")).select("n.*", "folder_id")
+
+
+def _told(notice: str) -> Column:
+    """Whether any field of a parsed notice is there."""
+    return reduce(lambda x, y: x | y, [F.col(f"{notice}.`{f.name}`").isNotNull() for f in schemas.NOTICE.fields])
 
 
 def markdown_folders(spark: SparkSession, folder: str, *, file_glob: str = "*.md", per_task: int = PER_TASK) -> DataFrame:
@@ -42,7 +46,15 @@ def media_folders(spark: SparkSession, folder: str, *, keep: Column | None = Non
 
 def scan_notices(spark: SparkSession, folder: str, *, file_glob: str = "info.json",
                  id_pattern: str = r"/(?:notice_id=)?([^/=]+)/[^/]+$") -> DataFrame:
-    """Every ``<id>/info.json``; unreadable files are skipped. ``folder_id`` is the folder's name."""
+    """Every ``<id>/info.json``; unreadable files are skipped. ``folder_id`` is the folder's name.
+
+    Tasks list and read the folders where they can, so the driver never holds the list of files.
+    """
+    if in_tasks(spark, folder):
+        files = folder_files(spark, folder, glob=file_glob)
+        notice = F.from_json(F.col("content").cast("string"), schemas.NOTICE, {"mode": "PERMISSIVE"})
+        parsed = files.select(notice.alias("n"), F.regexp_extract("path", id_pattern, 1).alias("folder_id"))
+        return parsed.filter(_told("n")).select("n.*", "folder_id")
     return (spark.read.schema(schemas.NOTICE).option("multiLine", True).option("mode", "DROPMALFORMED")
             .option("recursiveFileLookup", True).option("pathGlobFilter", file_glob).json(folder)
             .withColumn("folder_id", F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1)))
@@ -95,8 +107,10 @@ def media_manifest(spark: SparkSession, folder: str, *, keep: Column | None = No
     Only paths and sizes are read. ``keep`` is a predicate on the file name,
     PDF and image names by default.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-             .select("path", "length"))
+    if in_tasks(spark, folder):  # the same paths, listed by the tasks
+        files = folder_files(spark, folder, content=False).select(F.concat(F.lit("file:"), "path").alias("path"), "length")
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
     parts = files.select("path", "length", *[
         F.regexp_extract("path", layout, i).alias(n)
         for i, n in enumerate(("doc_id", "kind", "file_name"), start=1)])

@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, ty
 
 from .. import fixed
 from ..operators.filters import length_violations
+from .folders import in_tasks, write_folders
 
 
-def write_json(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+def write_json(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), *, many_folders: bool = False) -> None:
+    """JSON lines. ``many_folders`` is for about one folder a row: the tasks write them, the rows of a folder to one file."""
+    if many_folders and in_tasks(df.sparkSession, path):
+        line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in partition_by]))
+        write_folders(df.select(*partition_by, line.alias("__json")), path, partition_by, "__json", "json")
+        return
     df.write.mode("overwrite").partitionBy(*partition_by).json(path)
 
 
