@@ -215,7 +215,7 @@ def stream_ingest_expiring(t: Tables) -> DataFrame:
     schema = n.drop("doc_id").schema.add("seen_at", T.TimestampType())
     for number, (seen, rows) in enumerate(batches):
         seen_at = F.timestamp_seconds(F.lit(1_700_000_000 + 86_400 * seen))
-        n.filter(rows).drop("doc_id").withColumn("seen_at", seen_at).coalesce(1).write.json(f"{base}/in/batch={number}")
+        n.filter(rows).drop("doc_id").withColumn("seen_at", seen_at).write.json(f"{base}/in/batch={number}")
         source = jobs.stream_notices(t.spark, f"{base}/in", schema)
         jobs.stream_ingest(source, f"{base}/out", f"{base}/checkpoint", separator=roles.LINES, seen_at="seen_at").awaitTermination()
     return (t.spark.read.parquet(f"{base}/out").groupBy("chunk_id", "chunk_text")
@@ -240,8 +240,9 @@ SELECT qa_id, length(answer) AS n_answer, coalesce(f1, 0) AS token_f1 FROM qa LE
 def stream_score(t: Tables) -> DataFrame:
     base = new_table_path(t.spark, "score")
     rows = roles.qa(t)
-    rows.repartition(4).write.parquet(f"{base}/in")
-    stream = jobs.stream_notices(t.spark, f"{base}/in", rows.schema, "parquet", files_per_batch=1)
+    files = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), t.spark.sparkContext.defaultParallelism)
+    rows.repartition(4 * files).write.parquet(f"{base}/in")
+    stream = jobs.stream_notices(t.spark, f"{base}/in", rows.schema, "parquet", files_per_batch=files)
     jobs.stream_score(stream, lambda d: evaluation.with_measures(d, ("token_f1",)), f"{base}/out",
                       f"{base}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{base}/out").select("qa_id", F.length("answer").cast("bigint").alias("n_answer"), "token_f1")
