@@ -31,7 +31,8 @@ from .ordinals import top_k
 
 SHARD_DOCUMENTS = 1 << 14
 BLOCK = 128
-SHARDS_TOGETHER = 64
+ENTRIES = 1 << 21  # entries a task sorts into blocks at a time
+ROWS_OUT = 1 << 14
 TOPS = 128  # block maxima kept per token; a larger k searches without a floor from the start
 BYTES_PER_HIT = 64
 MARGIN = 1e-5  # scores are compared after rounding to DIGITS places
@@ -63,60 +64,112 @@ def numbered(chunks: DataFrame, shards: int, first: int = 0) -> DataFrame:
     return dealt.withColumn("place", (F.row_number().over(inside) - 1).cast("int"))
 
 
-def entries(documents: DataFrame, text: str, stats: CorpusStats, drop_ratio: float = fixed.SPARSE_DROP_RATIO) -> DataFrame:
-    """``token, shard, place, weight``: every distinct token of every numbered document; null weights
-    are the document's smallest, which count for frequencies only."""
-    out = T.StructType([T.StructField("token", T.StringType()), T.StructField("shard", T.IntegerType()),
-                        T.StructField("place", T.IntegerType()), T.StructField("weight", T.DoubleType())])
-    schema = to_arrow_schema(out)
-    place = F.struct("shard", "place")
+def blocks(documents: DataFrame, text: str, stats: CorpusStats, drop_ratio: float = fixed.SPARSE_DROP_RATIO) -> DataFrame:
+    """``token, shard, df, top, places, weights``: postings of the numbered documents, in blocks of at most ``BLOCK``.
+
+    A task reads documents as they are stored, by shard and place, and gathers ``ENTRIES`` entries at a time, so no
+    entry is ever a row. ``df`` stands at the first block a token has in such a part of a shard and is 0 at
+    its others. Each document's smallest weights count for frequencies only: a token that has no other
+    entries there gives a row with a null ``top`` and no places.
+    """
+    out = T.StructType([T.StructField("token", T.StringType()), T.StructField("shard", T.IntegerType()), T.StructField("df", T.LongType()),
+                        T.StructField("top", T.DoubleType()), T.StructField("places", T.ArrayType(T.IntegerType())),
+                        T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    names, most, block = to_arrow_schema(out), ENTRIES, BLOCK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
         for ids, lists in _text_steps(batches):
             counts = _count_tokens(lists)
             weight, kept = _weights(counts, stats, drop_ratio)
             shard, at = (c.to_numpy(zero_copy_only=False) for c in ids.flatten())
-            yield pa.RecordBatch.from_arrays(
-                [counts.words.take(pa.array(counts.word)), pa.array(shard[counts.doc]), pa.array(at[counts.doc]),
-                 pa.array(weight, mask=~kept)], schema=schema)
-
-    return documents.select(place.alias("id"), tokens(text).alias("ts")).mapInArrow(run, out)
-
-
-def lists(found: DataFrame) -> DataFrame:
-    """``token, shard, df, tops, ps``: the postings of one token in one shard, in place order, and the largest
-    weights of its blocks, falling. A shard bounds what is gathered."""
-    entry = F.when(F.col("weight").isNotNull(), F.struct("place", "weight"))
-    listed = found.groupBy("token", "shard").agg(F.count(F.lit(1)).alias("df"), F.sort_array(F.collect_list(entry)).alias("ps"))
-    tops = F.transform(_cuts(), lambda ps: F.array_max(ps["weight"]))
-    return listed.withColumn("tops", _largest(F.when(F.size("ps") > 0, tops).otherwise(F.array().cast("array<double>"))))
-
-
-def _cuts() -> Column:
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size("ps") - 1) / BLOCK).cast("int")),
-                       lambda i: F.slice("ps", i * BLOCK + 1, F.lit(BLOCK)))
-
-
-def _largest(tops: Column) -> Column:
-    return F.slice(F.sort_array(tops, asc=False), 1, TOPS)
-
-
-def postings(listed: DataFrame, buckets: int) -> DataFrame:
-    """Blocks of at most ``BLOCK`` postings, each with its largest weight."""
-    blocks = listed.filter(F.size("ps") > 0).select("token", "shard", F.explode(_cuts()).alias("ps"))
-    return blocks.select("token", "shard", F.array_max(F.col("ps.weight")).alias("top"), F.col("ps.place").alias("places"),
-                         F.col("ps.weight").alias("weights"), bucket_of(F.col("token"), buckets).alias("bucket"))
-
+            waiting.append((counts.words, counts.word, shard[counts.doc], at[counts.doc], weight, kept))
+            size += len(weight)
+            if size >= most:
+                yield from _blocks_of(waiting, block, names).to_batches(max_chunksize=ROWS_OUT)
+                waiting, size = [], 0
+        if size:
+            yield from _blocks_of(waiting, block, names).to_batches(max_chunksize=ROWS_OUT)
+
+    return documents.select(F.struct("shard", "place").alias("id"), tokens(text).alias("ts")).mapInArrow(run, out)
+
+
+def _blocks_of(steps: list[tuple], block: int, names: pa.Schema) -> pa.Table:
+    """Blocks of the entries ``(words, word, shard, place, weight, kept)`` of some steps, each step with words of its own."""
+    words = pa.chunked_array([s[0] for s in steps]).combine_chunks().dictionary_encode()
+    codes = words.indices.to_numpy().astype("int64")
+    first = np.cumsum([0] + [len(s[0]) for s in steps])
+    word = np.concatenate([codes[f + s[1]] for f, s in zip(first, steps)])
+    shard, place, weight, kept = (np.concatenate([s[i] for s in steps]) for i in range(2, 6))
+    shards, shard = np.unique(shard, return_inverse=True)
+    group = word * len(shards) + shard
+    order = np.argsort(group * (int(place.max()) + 1) + place)
+    group, place, weight, kept = group[order], place[order], weight[order], kept[order]
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    groups, df = group[starts], np.diff(np.r_[starts, len(group)])
+    held = np.add.reduceat(kept.astype("int64"), starts)
+    parts = np.maximum(1, -(-held // block))  # a group without kept entries has one empty block
+    lead = np.cumsum(np.r_[0, parts])[:-1]
+    nth = np.arange(parts.sum()) - np.repeat(lead, parts)
+    sizes = np.minimum(block, np.repeat(held, parts) - nth * block)
+    edges = np.cumsum(np.r_[0, sizes])
+    place, weight = place[kept], weight[kept]
+    full = np.flatnonzero(sizes)
+    top = np.zeros(len(sizes))
+    if len(full):
+        top[full] = np.maximum.reduceat(weight, edges[full])
+    owner = np.repeat(groups, parts)
+    offsets = pa.array(edges, pa.int32())
+    return pa.Table.from_arrays([
+        words.dictionary.take(pa.array(owner // len(shards))), pa.array(shards[owner % len(shards)], pa.int32()),
+        pa.array(np.where(nth == 0, np.repeat(df, parts), 0), pa.int64()), pa.array(top, mask=sizes == 0),
+        pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32()), type=names.field(4).type),
+        pa.ListArray.from_arrays(offsets, pa.array(weight, pa.float64()), type=names.field(5).type)], schema=names)
+
+
+def vocabulary(postings: DataFrame) -> DataFrame:
+    """``token, df, tops, bucket`` of stored ``postings(token, df, top, bucket)``: document frequency and the ``TOPS``
+    largest block maxima, falling.
+
+    Blocks are merged as they lie in their files, by token, then all parts of a token in one sorted stream.
+    """
+    tops = F.when(F.col("top").isNotNull(), F.array("top")).otherwise(F.array().cast("array<double>"))
+    merge = _merge(TOPS)
+    schema = "bucket int, token string, df bigint, tops array<double>"
+    parts = postings.select("bucket", "token", "df", tops.alias("tops")).mapInArrow(merge, schema)
+    whole = parts.repartition("bucket").sortWithinPartitions("bucket", "token").mapInArrow(merge, schema)
+    return whole.select("token", "df", "tops", "bucket")
+
+
+def _merge(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds up neighbouring rows of one token and keeps its ``most`` largest ``tops``; the state is one token's row."""
+    def merged(table: pa.Table) -> pa.Table:
+        token, bucket = (table.column(c).combine_chunks() for c in ("token", "bucket"))
+        starts = np.flatnonzero(np.r_[True, pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False)])
+        tops = table.column("tops").combine_chunks()
+        row = np.repeat(np.arange(len(token)), pc.list_value_length(tops).to_numpy(zero_copy_only=False))
+        owner, value = np.searchsorted(starts, row, side="right") - 1, tops.flatten().to_numpy(zero_copy_only=False)
+        order = np.lexsort((-value, owner))
+        owner, value = owner[order], value[order]
+        keep = np.arange(len(owner)) - np.searchsorted(owner, owner) < most
+        edges = np.searchsorted(owner[keep], np.arange(len(starts) + 1))
+        return pa.table({"bucket": bucket.take(pa.array(starts)), "token": token.take(pa.array(starts)),
+                         "df": pa.array(np.add.reduceat(table.column("df").to_numpy(), starts), pa.int64()),
+                         "tops": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(value[keep], pa.float64()))})
 
-def vocabulary(listed: DataFrame, buckets: int) -> DataFrame:
-    """``token, df, tops, bucket``: document frequency and the ``TOPS`` largest block maxima, falling.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            done = merged(table if last is None else pa.concat_tables([last, table.cast(last.schema)]))
+            last = done.slice(len(done) - 1)
+            yield from done.slice(0, len(done) - 1).combine_chunks().to_batches()
+        if last is not None:
+            yield from last.combine_chunks().to_batches()
 
-    Merged in two levels, so that a token of all shards never gathers all their maxima at once.
-    """
-    out = listed.select("token", F.floor(F.col("shard") / SHARDS_TOGETHER).alias("some"), "df", "tops")
-    for keys in (["token", "some"], ["token"]):
-        out = out.groupBy(*keys).agg(F.sum("df").alias("df"), _largest(F.flatten(F.collect_list("tops"))).alias("tops"))
-    return out.withColumn("bucket", bucket_of(F.col("token"), buckets))
+    return run
 
 
 @dataclass(frozen=True)

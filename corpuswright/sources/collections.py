@@ -21,7 +21,6 @@ from ..operators import dense, inverted
 from ..operators.filters import length_violations
 from ..functions.text import tokens
 from ..operators.lexical import CorpusStats
-from ..session import materialise, spread
 
 SEGMENT = ("array<struct<name:string,documents:bigint,rejected:bigint,shards:int,vectors:bigint,tokens:bigint>>")
 MANIFEST = (f"version bigint, segments {SEGMENT}, buckets int, mean_length double, drop_ratio double, cells int,"
@@ -176,10 +175,11 @@ def _write(chunks: DataFrame, path: str, current: Collection | None, vectors: Da
     else:
         buckets = max(FEWEST_BUCKETS, min(MOST_BUCKETS, total // BUCKET_TOKENS))
         mean = total / documents if documents else 0.0
-    found = inverted.entries(spread(stored), text, CorpusStats(documents, mean), drop_ratio)
-    listed = materialise(inverted.lists(found), "posting-lists")
-    _by_bucket(inverted.postings(listed, buckets), f"{path}/postings/segment={name}", "shard")
-    _by_bucket(inverted.vocabulary(listed, buckets), f"{path}/vocabulary/segment={name}")
+    found = inverted.blocks(stored, text, CorpusStats(documents, mean), drop_ratio)
+    found = found.withColumn("bucket", inverted.bucket_of(F.col("token"), buckets))
+    _by_bucket(found, f"{path}/postings/segment={name}", "shard")
+    listed = spark.read.schema(found.schema).parquet(f"{path}/postings/segment={name}")
+    _by_bucket(inverted.vocabulary(listed), f"{path}/vocabulary/segment={name}")
     n_vectors, vectors_schema = 0, current.manifest["vectors_schema"] if current else None
     if vectors is not None:
         n_vectors, vectors_schema = _store_vectors(vectors, stored, path, name, cells, current)
@@ -193,7 +193,10 @@ def _write(chunks: DataFrame, path: str, current: Collection | None, vectors: Da
 
 
 def _by_bucket(rows: DataFrame, path: str, *also: str) -> None:
-    rows.repartition("bucket", *also).sortWithinPartitions("bucket", "token", *also).write.partitionBy("bucket").parquet(path)
+    """Every task writes its rows to the folders of their buckets, without a shuffle; a folder has at most a file a task."""
+    context = rows.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows.coalesce(tasks).sortWithinPartitions("bucket", "token", *also).write.partitionBy("bucket").parquet(path)
 
 
 def _store_vectors(vectors: DataFrame, stored: DataFrame, path: str, name: str, cells: int,

@@ -180,3 +180,36 @@ def test_empty_collections(spark, path):
     assert stored.sparse_topk(questions(spark, 3), "query_id", "question", 5).count() == 0
     with pytest.raises(FileNotFoundError):
         collections.open_collection(spark, path + "-absent")
+
+
+def test_blocks_hold_all_entries_without_a_shuffle(spark, path, small_parts, monkeypatch):
+    """Entries are gathered in the task, in parts of any size; blocks and vocabulary equal a plain count."""
+    monkeypatch.setattr(inverted, "ENTRIES", 150)
+    monkeypatch.setattr(inverted, "TOPS", 3)
+    monkeypatch.setattr(inverted, "ROWS_OUT", 9)
+    made = corpus(spark, 130, words=WORDS[:60]).collect()
+    collections.create(spark.createDataFrame(made, "chunk_id long, text string, kind string"), path)
+    stored = collections.open_collection(spark, path)
+    numbers = {r["chunk_id"]: (r["shard"], r["place"]) for r in stored.index.documents.collect()}
+    mean = sum(len(r["text"].split()) for r in made) / len(made)
+    want, found, df, tops = {}, {}, {}, {}
+    for r in made:
+        words = r["text"].lower().split()
+        counted = sorted((words.count(w) * 2.2 / (words.count(w) + 0.3 + 0.9 / mean * len(words)), w) for w in set(words))
+        for i, (weight, w) in enumerate(counted):
+            df[w] = df.get(w, 0) + 1
+            if i >= len(counted) * 2 // 10:
+                want[w, numbers[r["chunk_id"]]] = round(weight, 9)
+    for b in stored.index.postings.where("top is not null").collect():
+        assert 1 <= len(b["places"]) <= 4 and b["top"] == max(b["weights"])
+        tops.setdefault(b["token"], []).append(b["top"])
+        for place, weight in zip(b["places"], b["weights"]):
+            assert (b["token"], (b["shard"], place)) not in found
+            found[b["token"], (b["shard"], place)] = round(weight, 9)
+    assert found == want
+    known = {r["token"]: (r["df"], r["tops"]) for r in stored.index.vocabulary.collect()}
+    assert known == {w: (n, sorted(tops.get(w, []), reverse=True)[:3]) for w, n in df.items()}
+    placed = stored._table("texts", stored._texts_schema())
+    built = inverted.blocks(placed, "text", lexical.CorpusStats(130, mean))
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "HashAggregate" not in plan, plan
