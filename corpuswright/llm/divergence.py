@@ -22,8 +22,8 @@ from .common import join_side, stored
 BETWEEN_TERMS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # all of ASCII but letters
 SCALE = 1_000_000_000
 SMOOTHING = 5
-STEP = 1 << 24  # bytes of text counted together; a longer text comes alone and whole
-WAITING = 1 << 20  # counts a task merges before it hands them on
+STEP = 1 << 22  # bytes of text counted together; a longer text comes alone and whole
+WAITING = 1 << 18  # counts a task merges before it hands them on; with STEP, what bounds its memory
 TILE = 256  # sources of a tile, on average
 BLOCK = 2048  # terms of a block, on average
 SALTS = 32

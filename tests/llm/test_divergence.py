@@ -6,6 +6,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from corpuswright.llm import divergence
@@ -84,3 +85,24 @@ def test_odd_rows(spark, docs, nothing):
     got = divergence.audit(docs, min_docs=1).collect()
     want = brute([(r["text"], r["lang"], r["source"]) for r in docs.collect()], 1, 50)
     assert sorted(map(tuple, got)) == want
+
+
+def test_a_task_counts_many_terms_in_bounded_memory():
+    """Texts of ever new terms: what waits in a task stays small, and no count is lost."""
+    rows = 160
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"] * rows, "source": [f"s{i % 5}" for i in range(rows)],
+                                           "text": [" ".join(f"{a}q{_letters(b * rows * 600 + i * 600 + j)}" for j, a in enumerate(["x", "y", "z"] * 200))
+                                                    for i in range(rows)]}) for b in range(24)]
+    usual = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(pool)
+    try:
+        total = sum(pc.sum(out.column("n")).as_py() for out in divergence._count(iter(batches)))
+    finally:
+        pa.set_memory_pool(usual)
+    assert total == 24 * rows * 600
+    assert pool.max_memory() < 48 << 20, pool.max_memory()
+
+
+def _letters(n: int) -> str:
+    return "".join(chr(97 + int(d)) for d in str(n))
