@@ -2,10 +2,12 @@
 
 import json
 import os
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from corpuswright.operators import media
+from corpuswright.sizing import Measured
 from corpuswright.sources import folders, readers
 
 
@@ -78,3 +80,15 @@ def test_buckets_beyond_the_first(spark):
     counts = {r["query_id"]: r["n"] for r in sets.groupBy("query_id").agg(F.sum(F.bitmap_count("files")).alias("n")).collect()}
     assert counts == {1: 35000, 2: 70000}
     assert media.media_of(sets.where("query_id = 1"), numbered).select("path").distinct().count() == 35000
+
+
+def test_files_of_few_folders_are_many_tasks_work(spark, monkeypatch):
+    hits = spark.createDataFrame([(q, d) for q in [*range(200), None] for d in (1, 2, None)] * 2, "query_id long, doc_id long")
+    files = spark.createDataFrame([(d, f"{d}_{i}.pdf") for d in (1, 2, 3, None) for i in range(50)] * 2, "doc_id long, path string")
+    want = sorted((-1 if q is None else q, d, f"{d}_{i}.pdf") for q in [*range(200), None] for d in (1, 2) for i in range(50))
+    for limit in (1 << 20, 0):  # files sent to every task, and too many for that
+        monkeypatch.setattr(media, "measure", lambda df: Measured(1, 1 if limit else 1 << 40))
+        found = media.hits_to_media(hits, files).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((-1 if r["query_id"] is None else r["query_id"], r["doc_id"], r["path"]) for r in found) == want
+        sizes = Counter(r["task"] for r in found)
+        assert len(sizes) >= 6 and max(sizes.values()) < len(want) / 2
