@@ -10,21 +10,32 @@ task may run again anywhere. Ids take 16 bits where the vocabulary allows.
 
 from __future__ import annotations
 
+import json
+import re
+import string
 import uuid
 import zlib
+from array import array
 from collections import deque
+from operator import attrgetter
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import new_table_path
-from .bpe import TOGETHER, Units, vocabulary_file
+from .bpe import TOGETHER, Units, _byte_letters, vocabulary_file
 from .common import join_side, kept_in_process, stored, text_rows
+from .hashing import pieces
 
 LENGTH = 1024
 ROWS = 128
 LINES = 20_000  # units encoded as one text
+AT_ONCE = 2 << 20  # bytes of text whose words meet the cache together
+BLANK = "Ġ"     # fixed value: stands for a blank in a byte-level vocabulary
+# Letters of blocks that have been letters since long: newer ones may be unknown to the library. Marks are ASCII, so no contraction follows.
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ώА-ҁぁ-ゔァ-ヺ一-龥가-힣]+[!-/:-@\[-`{-~]*").fullmatch
+MARKED = string.punctuation
 END = 2  # fixed value: the id that ends a document
 
 
@@ -103,20 +114,41 @@ class Reader:
         return np.concatenate(parts) if len(parts) != 1 else parts[0]
 
 
-def _library(tok, kind: str):
-    """Ids of many units by the tokenizers library, as few texts: the units without white space a line each, the rest one a text.
+def _whole_words(content: str) -> bool:
+    """Whether a run of letters with or without a blank before it, and one of marks after it, are a pre-token each, which go to the model byte by byte."""
+    data = json.loads(content)
+    before = data.get("pre_tokenizer") or {}
+    return (before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
+            and data.get("normalizer") is None and data["model"].get("type") == "BPE" and not data["model"].get("dropout"))
 
-    A line break before a blank or a visible character is a pre-token, and no id of
-    other text is its id, so the ids part where the units do.
+
+def _library(tok, kind: str, whole: bool = False):
+    """Ids of many units by the tokenizers library: with ``whole``, words of common letters and marks after them by its model, whose
+    pre-tokens need no search; other units without white space as lines of few texts, the rest one a text.
+
+    A line break before a blank or a visible character is a pre-token, and no id of other text is its id, so the ids part where the units do.
     """
     def ids_of(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, kind) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     mark = ids_of(["\n"])[0]
 
+    merge, number, code = tok.model.tokenize, attrgetter("id"), "H" if kind == "<u2" else "I"
+    letters = _byte_letters()
+
     def encode(many: list[str]) -> list[bytes]:
-        plain = [i for i, unit in enumerate(many) if len(mark) == 1 and _visible(unit)]
         out: list[bytes] = [b""] * len(many)
+        words = [i for i, unit in enumerate(many) if _WORD(unit)] if whole else []
+        for start in range(0, len(words), LINES):
+            part = words[start:start + LINES]
+            spelt = "\n".join([many[i] for i in part]).encode().decode("latin-1").translate(letters).split(letters[10])
+            for i, unit in zip(part, spelt):
+                word = unit.rstrip(MARKED)
+                ids = array(code, map(number, merge(word)))
+                if word is not unit:
+                    ids.extend(map(number, merge(unit[len(word):])))
+                out[i] = ids.tobytes()
+        plain = [i for i, unit in enumerate(many) if not out[i] and len(mark) == 1 and _visible(unit)]
         for start in range(0, len(plain), LINES):
             part = plain[start:start + LINES]
             ids = ids_of(["\n".join([many[i] for i in part])])[0]
@@ -150,7 +182,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, length: int = LENGT
     """
     content = open(tokenizer or vocabulary_file(), encoding="utf-8").read()
     folder = new_table_path(docs.sparkSession, "llm-ids")
-    mark = zlib.crc32(content.encode())
+    mark, whole = zlib.crc32(content.encode()), _whole_words(content)
 
     def run(batches):
         import gc
@@ -171,29 +203,27 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, length: int = LENGT
         tok.no_padding()
         kind = "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4"
         special = {t.content: np.array([i], kind).tobytes() for i, t in tok.get_added_tokens_decoder().items()}
-        units = kept_in_process(f"library_{mark}", lambda: Units(_library(tok, kind), special))
+        units = kept_in_process(f"library_{mark}", lambda: Units(_library(tok, kind, whole), special))
         end, size = np.array([END], kind).tobytes(), np.dtype(kind).itemsize
         writer, at, part = None, 0, TaskContext.get().partitionId()
         system, path = _open(folder)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.arrow"
         sink = None
-        for batch in batches:
-            for i in range(0, batch.num_rows, TOGETHER):
-                piece = batch.slice(i, TOGETHER)
-                if writer is None:
-                    system.create_dir(path, recursive=True)
-                    sink = system.open_output_stream(f"{path}/{name}")
-                    writer = Writer(sink, kind, length, rows)
-                places, counts = [], []
-                for ids in units.texts(piece.column(1).to_pylist()):
-                    writer.add(ids + end)
-                    places.append(at)
-                    counts.append(len(ids) // size + 1)
-                    at += counts[-1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(places), pa.int32()), pa.array([f"{folder}/{name}"] * len(places)),
-                     piece.column(0), pa.array(places, pa.int64()), pa.array(counts, pa.int64())],
-                    names=["part", "file", "doc_id", "place", "n_tokens"])
+        for piece in pieces(batches, 1, AT_ONCE):
+            if writer is None:
+                system.create_dir(path, recursive=True)
+                sink = system.open_output_stream(f"{path}/{name}")
+                writer = Writer(sink, kind, length, rows)
+            places, counts = [], []
+            for ids in units.texts(piece.column(1).to_pylist()):
+                writer.add(ids + end)
+                places.append(at)
+                counts.append(len(ids) // size + 1)
+                at += counts[-1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(places), pa.int32()), pa.array([f"{folder}/{name}"] * len(places)),
+                 piece.column(0), pa.array(places, pa.int64()), pa.array(counts, pa.int64())],
+                names=["part", "file", "doc_id", "place", "n_tokens"])
         if writer is not None:
             writer.close()
             sink.close()

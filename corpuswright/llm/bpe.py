@@ -27,7 +27,7 @@ PRE_TOKENS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{
               r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 NONE = np.int64(1) << np.int64(62)
 SHORT = 64          # bytes; longer words have a tree of their own
-CACHED = 96 << 20   # bytes of units a worker process keeps, with what Python needs for them
+CACHED = 128 << 20  # bytes of units a worker process keeps, with what Python needs for them
 TREE_CACHED = 64 << 20  # the same for the trees here, whose process also holds the vocabulary
 ENTRY = 170         # bytes of an entry beside its text and ids
 TOGETHER = 256      # texts encoded together

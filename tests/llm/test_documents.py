@@ -126,6 +126,25 @@ def test_arrow_files(docs, nothing, tokenizer):
     assert arrow_ids.write_ids(nothing).count() == 0
 
 
+def test_words_of_letters_need_no_search_for_pre_tokens(tokenizer):
+    """Their ids come from the library's model alone; what the pattern would part goes through it."""
+    searched = []
+
+    class Counted:
+        model = tokenizer.model
+
+        def encode_batch_fast(self, texts, **options):
+            searched.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    content = open(bpe.vocabulary_file(), encoding="utf-8").read()
+    plain = ["word", " word", " ñandú$$$", " Ünion.", " 漢字か한글", " it's", " don'", " Straße]'s", "'s", " a1", " '", " x\u00adx", " ªº", " ǅ''", " é\u0301x"]
+    encode = arrow_ids._library(Counted(), "<u2", arrow_ids._whole_words(content))
+    assert encode(plain) == [np.array(tokenizer.encode(u, add_special_tokens=False).ids, "<u2").tobytes() for u in plain]
+    seen = "\n".join(searched).split("\n")
+    assert not {"word", " word", " ñandú$$$", " Ünion.", " 漢字か한글", " don'"} & set(seen) and {" it's", "'s", " a1"} <= set(seen)
+
+
 @pytest.mark.parametrize("gathered", [suffix_dedup.GATHERED, 3, 1])
 def test_repeats(docs, nothing, gathered, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GATHERED", gathered)
