@@ -166,6 +166,28 @@ def test_repeats(docs, nothing, gathered, monkeypatch):
         assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_a_common_passage_is_one_row_of_each_text(spark, monkeypatch):
+    """Places of a crowded passage grow with the texts that have it, not with its classes of distances too."""
+    monkeypatch.setattr(suffix_dedup, "GATHERED", 5)
+    passage = " ".join(f"p{i * 7919 % 10007}" for i in range(200))
+    docs = spark.createDataFrame([(i, f"{i} " * 30 + passage + f" {i * i}" * 20) for i in range(40)], "doc_id long, text string")
+    made = []
+    keep = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: made.append((name, out := keep(df, name))) or out)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs).collect()}
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    counts = Counter(t[k:k + 400] for t in texts.values() for k in range(len(t) - 399))
+    for i, t in texts.items():
+        gone = bytearray(len(t))
+        for k in range(len(t) - 399):
+            if counts[t[k:k + 400]] > 1:
+                gone[k:k + 400] = b"\1" * 400
+        assert got[i] == sum(gone)
+    found = {name: df for name, df in made}
+    contexts = found["contexts"].where(f"members > {suffix_dedup.GATHERED}").count()
+    assert contexts and found["starts"].where("print is null").count() <= 2 * contexts
+
+
 @pytest.mark.parametrize("frequent", [language_model.FREQUENT, 40, 0])
 def test_language_model(docs, nothing, frequent, monkeypatch):
     monkeypatch.setattr(language_model, "FREQUENT", frequent)
