@@ -188,6 +188,28 @@ def test_a_common_passage_is_one_row_of_each_text(spark, monkeypatch):
     assert contexts and found["starts"].where("print is null").count() <= 2 * contexts
 
 
+@pytest.mark.parametrize("together", [suffix_dedup.TOGETHER, 40])
+def test_a_pattern_that_goes_on_is_not_an_anchor_a_period(spark, monkeypatch, together):
+    """Its strings stay at one place of each text, and what starts twice in a text is known there."""
+    monkeypatch.setattr(suffix_dedup, "GATHERED", 5)
+    monkeypatch.setattr(suffix_dedup, "TOGETHER", together)
+    texts = [*("ab cd ef " * 200 + f"tail {i} " * 3 for i in range(12)), f"{'xy zw uv ' * 60}end", "ab cd ef " * 60 + "q", "ab cd ef " * 45]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {}
+    keep = suffix_dedup.stored
+    monkeypatch.setattr(suffix_dedup, "stored", lambda df, name: made.update({name: (out := keep(df, name))}) or out)
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.remove_repeats(docs).collect()}
+    counts = Counter(t[k:k + 400] for t in texts for k in range(len(t) - 399))
+    for i, t in enumerate(texts):
+        gone = bytearray(len(t))
+        for k in range(len(t) - 399):
+            if counts[t[k:k + 400]] > 1:
+                gone[k:k + 400] = b"\1" * 400
+        assert got[i] == sum(gone)
+    if together > 1000:
+        assert made["contexts"].count() <= 10 * len(texts)  # 200 periods a text
+
+
 @pytest.mark.parametrize("frequent", [language_model.FREQUENT, 40, 0])
 def test_language_model(docs, nothing, frequent, monkeypatch):
     monkeypatch.setattr(language_model, "FREQUENT", frequent)
