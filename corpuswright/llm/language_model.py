@@ -1,11 +1,11 @@
 """Scores of texts under a word unigram and under a causal self-attention model.
 
 One pass encodes every text to subword ids, kept as a table, and counts words and ids of
-the training rows. The attention model is trained on every window of every training
-row, dealt to ``ROUNDS`` rounds. Rows are dealt to shards by a hash of their ids, one for each ``SHARD`` ids of the corpus, so
-neither the table's partitions nor the executors decide what is learned: each shard starts from the same weights, trains on its
-rows' windows of the round in hash order, and the weights are averaged by their number of targets. A last pass scores all tokens of all
-rows in overlapping windows and adds up word counts.
+the training rows. The attention model gives probabilities of single ids and is trained on every window of every training
+row, the rows dealt to ``ROUNDS`` rounds. Rows are dealt to rounds and shards by a hash of their ids, a shard for each ``SHARD`` ids of the
+corpus, so neither the table's partitions nor the executors decide what is learned: each shard starts from the same weights, trains on its
+rows' windows in hash order, and the weights are averaged by their number of targets, a block of them at a time. A last pass scores all
+tokens of all rows in overlapping windows and adds up word counts.
 
 The counts of at most ``FREQUENT`` words of at most ``WORD_BYTES`` bytes, the most frequent ones, are
 broadcast; all others are joined on the word, no list of which is long. The corpus counts are exact.
@@ -24,15 +24,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import attention as model
 from .bpe import TOGETHER, kept_in_process, vocabulary_file
-from .common import mix, stored, text_rows
-from .hashing import block_rows, summed_cells
+from .common import stored, text_rows
+from .hashing import BLOCK, block_rows, summed_cells
 
 HELD_OUT, FOLDS = 2, 7     # fixed values: the fold that is not learned from
 FREQUENT = 1 << 17         # words whose counts are broadcast
 WORD_BYTES = 64            # of the longest such word
 FLUSH = 200_000            # distinct words a task holds before it passes their counts on
-ROUNDS = 2                 # each trains on its share of the windows
-SHARD = 1 << 22            # ids of a training shard, on average
+ROUNDS = 2                 # each trains on its share of the rows
+SHARD = 1 << 24            # ids of a training shard, on average; the weights a shard returns are a small part of them
 AT_ONCE = 250              # windows scored together; their arrays fit a core's cache
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -101,36 +101,48 @@ def _kind(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def _learn(state, turn: int, rounds: int):
-    """Trains on the windows of the task's rows that are this round's; rows ``place, value`` weighted by the number of targets.
-
-    Neighbouring windows go to different rounds, and each window to exactly one; ``row`` is a hash of the ids.
-    """
+def _learn(state, turn: int):
+    """Trains on all windows of the task's rows; the weights as rows ``block, weight, values``, weighted by the number of targets."""
     def run(batches):
         import pyarrow as pa
-        weights, label, kind = state.value
-        trainer = model.Trainer(model.shaped(weights), seed=turn)
+        weights, trees, kind = state.value
+        ids = model.Ids(*trees)
+        trainer = model.Trainer(model.shaped(weights, ids.start), seed=turn, ids=ids)
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
-                piece = batch.slice(at, TOGETHER)
-                ids = [np.frombuffer(i, kind) for i in piece.column(1).to_pylist()]
-                seeds = mix(piece.column(0).to_numpy())
-                for a, b in _parts([len(i) for i in ids]):
-                    x, y, owner = model.windows([label[i] for i in ids[a:b]])
-                    mine = (np.arange(len(x), dtype=np.uint64) + seeds[a:b][owner]) % np.uint64(rounds) == turn
-                    trainer.add(x[mine], y[mine])
+                rows = [np.frombuffer(i, kind) for i in batch.slice(at, TOGETHER).column(0).to_pylist()]
+                for a, b in _parts([len(i) for i in rows]):
+                    trainer.add(*model.windows(rows[a:b], ids.start, ids.pad)[:2])
         trainer.flush()
         if trainer.targets:
-            values = model.flat(trainer.w).astype(np.float64).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([float(trainer.targets)]), pa.array([values])], names=["weight", "values"])
+            values = model.flat(trainer.w)
+            blocks = [values[at:at + BLOCK].tobytes() for at in range(0, len(values), BLOCK)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(blocks)), pa.int32()), pa.array([float(trainer.targets)] * len(blocks)), pa.array(blocks, pa.binary())],
+                names=["block", "weight", "values"])
     return run
 
 
+def _mean(batches):
+    """The weighted mean of each block of the task."""
+    import pyarrow as pa
+    total: dict[int, np.ndarray] = {}
+    weights: Counter = Counter()
+    for batch in batches:
+        for block, weight, values in zip(*(c.to_pylist() for c in batch.columns)):
+            total[block] = total.get(block, 0.0) + weight * np.frombuffer(values, np.float32).astype(np.float64)
+            weights[block] += weight
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(list(total), pa.int32()), pa.array([(v / weights[b]).astype(np.float32).tobytes() for b, v in total.items()], pa.binary())],
+        names=["block", "values"])
+
+
 def _score(state, content: str, mark: int):
     def run(batches):
         import pyarrow as pa
-        weights, label, kind, share, common = state.value
-        w = model.shaped(weights)
+        weights, trees, kind, common = state.value
+        net = model.Ids(*trees)
+        w = model.shaped(weights, net.start)
         table = kept_in_process(f"bytes_{mark}", lambda: [*sorted(r := _ranks(content), key=r.get), b""])
         names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "n"]
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
@@ -142,13 +154,12 @@ def _score(state, content: str, mark: int):
                 ids = [np.frombuffer(i, kind) for i in piece.column(4).to_pylist()]
                 total = np.zeros(len(ids))
                 for a, b in _parts([len(i) for i in ids]):
-                    x, y, owner = model.windows([label[i] for i in ids[a:b]])
+                    x, y, owner = model.windows(ids[a:b], net.start, net.pad)
                     for s in range(0, len(x), AT_ONCE):
-                        got = model.class_scores(w, x[s:s + AT_ONCE], y[s:s + AT_ONCE]).sum(axis=1)
+                        got = model.id_scores(w, x[s:s + AT_ONCE], y[s:s + AT_ONCE], net).sum(axis=1)
                         total[a:b] += np.bincount(owner[s:s + AT_ONCE], got, b - a)
                 known, base, rare_row, rare_word, rare_n = [], [], [], [], []
                 for i, (row, tokens) in enumerate(zip(rows, ids)):
-                    total[i] += share[tokens].sum()
                     n_known, logs = end_known, end_log
                     for word, n in Counter(b"".join([table[t] for t in tokens[:-1].tolist()]).split()).items():
                         value = common.get(word)
@@ -222,19 +233,20 @@ def score(docs: DataFrame, tokenizer: str | None = None, rounds: int = ROUNDS) -
 
     size = len(_ranks(content)) + 1
     counts = summed_cells(survey, -(-size // 4096) * 4096)[:size].astype(np.float64)
-    label, share = model.classes_of(counts)
-    weights = model.flat(model.fresh(np.bincount(label, counts, model.CLASSES)))
+    label, _ = model.classes_of(counts)
+    trees = model.code_trees(label, counts)
+    weights = model.flat(model.fresh(np.bincount(label, counts, model.CLASSES), ids=size))
     shards = int(-(-counts.sum() // SHARD)) or 1
-    learned = (texts.where("not held_out").select(F.xxhash64("ids").alias("row"), "ids").repartition(shards, "row")
-               .sortWithinPartitions("row", "ids"))
+    learned = texts.where("not held_out").select(F.xxhash64("ids").alias("row"), "ids")
     for turn in range(rounds if ends else 0):
-        state = spark.sparkContext.broadcast((weights, label, _kind(size)))
-        parts = learned.mapInArrow(_learn(state, turn, rounds), "weight double, values array<double>")
-        mean = (parts.select("weight", F.posexplode("values").alias("place", "value")).groupBy("place")
-                .agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("value")).collect())
-        weights = np.array([r["value"] for r in sorted(mean, key=lambda r: r["place"])])
-
-    state = spark.sparkContext.broadcast((weights, label, _kind(size), share, common))
+        state = spark.sparkContext.broadcast((weights, trees, _kind(size)))
+        mine = learned.where(F.pmod("row", F.lit(rounds)) == turn).repartition(shards, "row").sortWithinPartitions("row", "ids").select("ids")
+        mean = (mine.mapInArrow(_learn(state, turn), "block int, weight double, values binary").repartition("block")
+                .mapInArrow(_mean, "block int, values binary").collect())
+        if mean:
+            weights = np.frombuffer(b"".join([r["values"] for r in sorted(mean, key=lambda r: r["block"])]), np.float32)
+
+    state = spark.sparkContext.broadcast((weights, trees, _kind(size), common))
     scored = stored(texts.mapInArrow(
         _score(state, content, mark), "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint,"
         " base double, score double, word binary, n bigint"), "lm-scores")
