@@ -20,7 +20,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import kept_in_process, text_rows
+from .common import kept_in_process, releasing, text_rows
 
 # Fixed value: the pre-token pattern of the vocabulary, white space written as the Unicode property.
 PRE_TOKENS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
@@ -210,22 +210,28 @@ class Units:
     def _learn(self, missing: set[str], known: dict[str, bytes], lead: str) -> None:
         marked = {u: u[:-1] for u in missing if u.endswith(ENDS) and u[:-1].isalpha()}
         new = [u for u in (missing - marked.keys()) | set(marked.values()) if u not in known]
-        known.update(zip(new, self.encode([lead + u for u in new])))
-        known.update((u, known[word] + self.marks[u[-1]]) for u, word in marked.items())
-        self.held[lead] += self._bytes(known, {*new, *marked})
+        learned = dict(zip(new, self.encode([lead + u for u in new])))
+        known.update(learned)
+        ended = {u: known[word] + self.marks[u[-1]] for u, word in marked.items()}
+        known.update(ended)
+        self.held[lead] += self._bytes(learned) + self._bytes(ended)
 
     @staticmethod
-    def _bytes(known: dict[str, bytes], units) -> int:
-        return 2 * sum(map(len, units)) + sum(map(len, map(known.__getitem__, units))) + ENTRY * len(units)
+    def _bytes(known: dict[str, bytes], units=None) -> int:
+        """What ``units`` of the cache take, all if none are named."""
+        ids = known.values() if units is None else map(known.__getitem__, units)
+        units = known if units is None else units
+        return 2 * sum(map(len, units)) + sum(map(len, ids)) + ENTRY * len(units)
 
     def _room(self) -> None:
         """Keeps the words met in more than one batch; none if these alone fill most of the cache."""
         if self.held[" "] > self.cached * 3 // 4:
-            lasting = {u for u in self.again if u in self.spaced}
-            if self._bytes(self.spaced, lasting) > self.cached // 2:
-                lasting = set()
-            self.spaced = {u: self.spaced[u] for u in lasting}
-            self.again, self.held[" "] = lasting, self._bytes(self.spaced, lasting)
+            known = self.spaced.get
+            lasting = {u: ids for u in self.again if (ids := known(u)) is not None}  # one look at a word: the cache is cold
+            held = self._bytes(lasting)
+            if held > self.cached // 2:
+                lasting, held = {}, 0
+            self.spaced, self.again, self.held[" "] = lasting, set(lasting), held
         if self.held[""] > self.cached // 4:
             self.heads.clear()
             self.held[""] = 0
@@ -315,4 +321,4 @@ def _task(tokenizer: str | None, encoding: bool, decoding: bool):
                     columns.append(pa.array([None if i is None else words.decode(i) for i in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names[:len(columns)])
 
-    return run
+    return releasing(run)

@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import components, fresh, join_side, mix, stored, text_rows
+from .common import components, fresh, join_side, mix, releasing, stored, text_rows
 from .hashing import block_rows, pieces, shingle_sets, summed_cells
 
 SHINGLE = 3
@@ -199,7 +199,7 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tu
     """
     texts = text_rows(docs)
     survey = stored(texts.withColumn("body", F.xxhash64("text")).mapInArrow(
-        _survey(shingle), "doc_id bigint, body bigint, n bigint, digest binary, block int, counts binary"), "survey")
+        releasing(_survey(shingle)), "doc_id bigint, body bigint, n bigint, digest binary, block int, counts binary"), "survey")
     rows = survey.where("block is null").select("doc_id", "body", "n", "digest")
     # A table of CELLS counts, a fixed size whatever the corpus.
     cells = np.minimum(summed_cells(survey, CELLS), np.iinfo(np.int32).max).astype(np.int32)
@@ -209,7 +209,7 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tu
     chosen = texts.join(join_side(nodes.select("doc", "digest", "node").withColumnRenamed("digest", "_digest")),
                         F.col("doc_id").eqNullSafe(F.col("doc"))).select("text", "node", F.col("_digest").alias("digest"))
     frequency = docs.sparkSession.sparkContext.broadcast(cells)
-    keys = chosen.mapInArrow(_keys(frequency, often, shingle, percent), "key bigint, node bigint, n int, k int, place int")
+    keys = chosen.mapInArrow(releasing(_keys(frequency, often, shingle, percent)), "key bigint, node bigint, n int, k int, place int")
     shared = stored(_shared(keys, percent), "shared")
     star = (shared.where("node <> head.node")
             .selectExpr("struct(node, n, k, place) as x", "struct(head.node as node, head.n as n, k, head.place as place) as y")
@@ -240,9 +240,9 @@ def _verified(pairs: DataFrame, chosen: DataFrame, shingle: int, percent: int) -
 def _compared(pairs: DataFrame, chosen: DataFrame, sets, verify, name: str) -> DataFrame:
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = chosen.join(join_side(stored(needed, "needed")), "node", "left_semi").select("text", "node", "digest")
-    sets = stored(texts.mapInArrow(sets, "node bigint, size bigint, tokens binary"), "sets").dropDuplicates(["node"])
+    sets = stored(texts.mapInArrow(releasing(sets), "node bigint, size bigint, tokens binary"), "sets").dropDuplicates(["node"])
     full = (pairs.join(sets.toDF("a", "n", "x"), "a").join(sets.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y"))
-    return stored(full.mapInArrow(verify, "a bigint, b bigint"), name)
+    return stored(full.mapInArrow(releasing(verify), "a bigint, b bigint"), name)
 
 
 def linked(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
