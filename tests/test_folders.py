@@ -92,3 +92,13 @@ def test_files_of_few_folders_are_many_tasks_work(spark, monkeypatch):
         assert sorted((-1 if r["query_id"] is None else r["query_id"], r["doc_id"], r["path"]) for r in found) == want
         sizes = Counter(r["task"] for r in found)
         assert len(sizes) >= 6 and max(sizes.values()) < len(want) / 2
+
+
+def test_files_of_a_folder_follow_in_lists_that_compress(spark, tmp_path):
+    hits = spark.range(64).select(F.col("id").alias("query_id"), F.lit(7).cast("long").alias("doc_id"))
+    files = spark.range(30000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit(".pdf")).alias("path"))
+    media.hits_to_media(hits, files).write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    assert rows.count() == 64 * 30000 and rows.select("path").distinct().count() == 30000
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert size < rows.count() * 68 / 4  # names more than fill a dictionary and, in a row, a compressor's window
