@@ -29,8 +29,12 @@ def token_f1(answer: Column, truth: Column) -> Column:
 
 def covered_share(wanted: Column, present: Column) -> Column:
     """Share of the distinct tokens of ``wanted`` that occur in ``present``; 0 if there are none."""
-    return let(distinct_tokens(wanted), lambda w: F.round(
-        _ratio(F.size(F.array_intersect(w, distinct_tokens(present))), F.size(w)), SCORE_DIGITS))
+    return let(distinct_tokens(wanted), lambda w: covered_of(w, distinct_tokens(present)))
+
+
+def covered_of(wanted: Column, present: Column) -> Column:
+    """``covered_share`` of lists of distinct tokens."""
+    return F.round(_ratio(F.size(F.array_intersect(wanted, present)), F.size(wanted)), SCORE_DIGITS)
 
 
 def answer_support(answer: Column, contexts: Column) -> Column:

@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from ..functions.contexts import source_label
-from ..functions.measures import covered_share
-from ..functions.text import preview
+from ..functions.measures import covered_of, covered_share
+from ..functions.text import distinct_tokens, preview
+from ..session import materialise
 from ..sizing import BROADCAST_BYTES, measure
 from .dense import dense_topk
 from .ordinals import top_k
 
 DIGITS = 6
 BYTES_PER_HIT = 128
+PAIRS_WITH_TEXTS = 1 << 14  # of question and candidate that are joined with their texts before they are scored
 Scorer = Callable[[Column, Column], Column]
 
 
@@ -92,8 +94,29 @@ def hybrid_search(chunks: DataFrame, questions: DataFrame, vectors: DataFrame |
     """
     candidates = hybrid_candidates(chunks, questions, vectors, question_vectors, retrieve_k,
                                    drop_ratio=drop_ratio)
-    return rerank(with_texts(candidates, chunks, questions, retrieve_k), final_k,
-                  scorer=scorer, normalise=normalise)
+    return rerank_candidates(candidates, chunks, questions, retrieve_k, final_k, scorer, normalise)
+
+
+def rerank_candidates(candidates: DataFrame, chunks: DataFrame, questions: DataFrame, retrieve_k: int, final_k: int,
+                      scorer: Scorer, normalise: bool) -> DataFrame:
+    """``rerank`` of ``with_texts``. Where pairs are many and ids tell rows apart, the coverage of a pair is counted from
+    token lists made once a chunk and once a question, and only the best ``final_k`` get their texts."""
+    asked = measure(questions)
+    if (scorer is not coverage_scorer or asked.rows * retrieve_k <= PAIRS_WITH_TEXTS
+            or not _tells_apart(chunks, "chunk_id") or not _tells_apart(questions, "query_id")):
+        return rerank(with_texts(candidates, chunks, questions, retrieve_k), final_k, scorer=scorer, normalise=normalise)
+    held = materialise(chunks.select("chunk_id", distinct_tokens("text").alias("__held")), "chunk-tokens")
+    wanted = questions.select("query_id", distinct_tokens("question").alias("__wanted"))
+    pairs = attach(candidates, held, asked.rows * retrieve_k).join(F.broadcast(wanted) if asked.fits() else wanted, "query_id")
+    raw = covered_of(F.col("__wanted"), F.col("__held"))
+    scored = pairs.select("query_id", "chunk_id", "score", F.round(sigmoid(raw) if normalise else raw, DIGITS).alias("rerank_score"))
+    best = top_k(scored, final_k, ["query_id"], [F.col("rerank_score").desc(), F.col("score").desc(), F.col("chunk_id")])
+    rows = with_texts(materialise(best, "best-of-pairs"), chunks, questions, final_k)
+    return rows.select(*[c for c in rows.columns if c != "rerank_score"], "rerank_score")
+
+
+def _tells_apart(rows: DataFrame, key: str) -> bool:
+    return rows.groupBy(key).count().filter("count > 1").isEmpty()
 
 
 def stored_candidates(collection, questions: DataFrame, question_vectors: DataFrame | None, retrieve_k: int,
@@ -173,7 +196,7 @@ def refill_contexts(rows: DataFrame, row_id: str, question: str, contexts: str,
     from ..functions.contexts import clean_list, label_only_contexts
 
     needy = rows.filter(label_only_contexts(clean_list(F.col(contexts))))
-    hits = search(needy.select(F.col(row_id).alias("query_id"), F.col(question).alias("question")))
+    hits = search(materialise(needy.select(F.col(row_id).alias("query_id"), F.col(question).alias("question")), "needy"))
     fresh = hits.groupBy("query_id").agg(F.transform(
         F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda h: h["text"]).alias("__fresh"))
     return (rows.join(fresh.withColumnRenamed("query_id", row_id), row_id, "left")

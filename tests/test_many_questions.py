@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuswright.operators import lexical
+from corpuswright.operators import lexical, search
 
 
 def test_groups_of_questions_give_the_hits_of_one_set(spark, monkeypatch):
@@ -60,3 +60,37 @@ def test_documents_are_read_once_for_all_groups(spark, monkeypatch):
                                         broadcast_bytes=1)
             assert rows(many) == one
             assert seen.value - before <= 2 * len(texts)  # counted, then coded
+
+
+def test_refilled_rows_are_read_once_and_only_the_best_get_texts(spark, monkeypatch):
+    words = [f"w{i}" for i in range(50)] + ["the", "of"] * 8
+    texts = [(i, " ".join(words[(i * 7 + j * j) % len(words)] for j in range(3 + i % 19)), f"s{i}") for i in range(90)]
+    chunks = spark.createDataFrame(texts, "chunk_id bigint, text string, source string")
+    twice = chunks.unionByName(spark.createDataFrame([(4, "w1 w2 the", "other")], chunks.schema))
+    listed = [(i, " ".join(words[(i * 5 + j * 3) % len(words)] for j in range(1 + i % 9)), ["label"] if i % 3 else ["x" * 200]) for i in range(40)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame(listed, "qa_id bigint, question string, contexts array<string>")
+    counted = rows.mapInArrow(count, rows.schema)
+
+    def refilled(data, of):
+        out = search.refill_contexts(data, "qa_id", "question", "contexts", lambda needy: search.hybrid_search(of, needy, retrieve_k=20, final_k=3))
+        return sorted((r["qa_id"], r["refilled"], tuple(r["contexts"])) for r in out.collect())
+
+    for of in (chunks, twice):
+        want = refilled(rows, of)
+        with monkeypatch.context() as m:
+            m.setattr(search, "PAIRS_WITH_TEXTS", 0)
+            before = seen.value
+            assert refilled(counted, of) == want and sum(r[1] for r in want) > 20
+            assert seen.value - before <= 2 * len(listed)
+    asked = rows.select(F.col("qa_id").alias("query_id"), "question")
+    want = search.hybrid_search(chunks, asked, retrieve_k=20, final_k=3, normalise=True)
+    monkeypatch.setattr(search, "PAIRS_WITH_TEXTS", 0)
+    got = search.hybrid_search(chunks, asked, retrieve_k=20, final_k=3, normalise=True)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
